@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +27,16 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WIDE_SPACE = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+#: Kinds of bytes: white space, ASCII letters, other ASCII, and what may begin white space outside ASCII.
+OTHER, SPACE, LETTER, MARK, WIDE = range(5)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[33:127] = MARK
+KINDS[[9, 10, 11, 12, 13, 32]] = SPACE
+KINDS[[*range(65, 91), *range(97, 123)]] = LETTER
+KINDS[48:58] = OTHER
+KINDS[[0xC2, 0xE1, 0xE2, 0xE3]] = WIDE
+
+
 def _byte_of_char() -> dict[str, int]:
     """Byte-level BPE writes printable bytes as themselves and the others as characters from U+0100 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -51,48 +62,59 @@ class Tokens:
     """Ids of many texts at once; the ids of each distinct stretch of white space and word are found once."""
 
     def __init__(self, path: str) -> None:
-        self.bpe, self.known = encoder(path), {}
-
-    def _ids(self, piece: bytes) -> np.ndarray:
-        ids = self.known.get(piece)
-        if ids is None:
-            ids = self.known[piece] = np.array(self.bpe.encode_ordinary(piece.decode()), np.uint32)
-        return ids
+        self.bpe = encoder(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.first, self.size, self.flat = {}, array("q"), array("q"), array("I")
+
+    def _places(self, pieces: list[bytes]) -> np.ndarray:
+        """For each piece its number among the remembered ones."""
+        known, encode = self.known, self.bpe.encode_ordinary
+        for piece in pieces:
+            if piece not in known:
+                ids = encode(piece.decode())
+                known[piece] = len(known)
+                self.first.append(len(self.flat))
+                self.size.append(len(ids))
+                self.flat.extend(ids)
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
     def of(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by `end`, and the n + 1 offsets of the texts in them.
 
-        A token never holds characters from both sides of the point before a run of white space, and
-        the pattern doesn't look back, so texts can be cut there.
+        A token never holds characters from both sides of the point before a run of white space, nor of
+        that between an ASCII letter and an ASCII mark, and the pattern doesn't look back, so texts can be
+        cut there.
         """
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        wide = pc.match_substring_regex(texts, WIDE_SPACE).to_numpy(zero_copy_only=False)
-        texts = pa.concat_arrays([texts])
         at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
         at = at - at[0]
-        space = (data == 32) | ((data >= 9) & (data <= 13))
-        cut = space.copy()
-        cut[1:] &= ~space[:-1]
-        for r in np.flatnonzero(wide):
-            cut[at[r] : at[r + 1]] = False
-        starts = np.flatnonzero(cut)
-        begins = np.unique(np.concatenate([starts, at[:-1][np.diff(at) > 0]]))
-        offsets = np.append(begins, len(data)).astype(np.int64)
+        kind = KINDS[data]
+        cut = kind == SPACE
+        cut[1:] &= kind[:-1] != SPACE
+        cut[1:] |= (kind[1:] == MARK) & (kind[:-1] == LETTER)
+        if (kind == WIDE).any():
+            for r in np.flatnonzero(pc.match_substring_regex(texts, WIDE_SPACE).to_numpy(zero_copy_only=False)):
+                cut[at[r] : at[r + 1]] = False
+        cut[at[:-1][np.diff(at) > 0]] = True
+        begins = np.flatnonzero(cut)
+        offsets = np.append(begins, len(data))
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        found = [self._ids(p) for p in coded.dictionary.to_pylist()]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
-        first = np.cumsum(lengths) - lengths
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        size = lengths[codes]
-        place = np.cumsum(size) - size
-        ids = flat[np.arange(size.sum()) + np.repeat(first[codes] - place, size)]
-        counts = np.add.reduceat(np.append(size, 0), np.searchsorted(begins, at[:-1]))
-        counts[np.diff(at) == 0] = 0
+            self._forget()
+        number = self._places(coded.dictionary.to_pylist())
+        number = number[coded.indices.to_numpy(zero_copy_only=False)]
+        size = np.frombuffer(self.size, np.int64)[number] if len(number) else np.zeros(0, np.int64)
+        stop = np.cumsum(size)
+        counts = np.diff(np.concatenate([[0], stop])[np.searchsorted(begins, at)])
+        if len(number):
+            shift = np.frombuffer(self.first, np.int64)[number] - (stop - size)
+            ids = np.frombuffer(self.flat, np.uint32)[np.arange(stop[-1]) + np.repeat(shift, size)]
+        else:
+            ids = np.zeros(0, np.uint32)
         ends = np.cumsum(counts)
         return np.insert(ids, ends, np.uint32(end)), np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
 
@@ -109,7 +131,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, before = Tokens(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in common.slices(batch, "text", common.SLICE_BYTES // 2):
+            for piece in common.slices(batch, "text"):
                 ids, at = tokens.of(piece.column("text"), end)
                 n, raw = len(piece), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))
                 stored = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(4 * at.astype(np.int64)), raw])

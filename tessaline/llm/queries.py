@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.llm import packing, simhash, tiling, winnow
+from tessaline.llm import packing, simhash, suffixes, tiling, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +37,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_packing, op6_line_dedup, op7_decontamination, op9_simhash]
+    found = [op4_packing, op6_line_dedup, op7_decontamination, op9_simhash, op10_suffix_dedup]
     return {f.__name__: f for f in found}
 
 
