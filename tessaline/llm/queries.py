@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.llm import packing, simhash, suffixes, tiling, winnow
+from tessaline.llm import ctw, packing, simhash, suffixes, tiling, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scored(_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), bpe_path())
 
@@ -42,7 +46,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_packing, op6_line_dedup, op7_decontamination, op9_simhash, op10_suffix_dedup]
+    found = [op3_ctw, op4_packing, op6_line_dedup, op7_decontamination, op9_simhash, op10_suffix_dedup]
     return {f.__name__: f for f in found}
 
 
