@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.llm import ctw, packing, simhash, suffixes, tiling, winnow
+from tessaline.llm import ctw, packing, pii, simhash, suffixes, tiling, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_ctw, op4_packing, op6_line_dedup, op7_decontamination, op9_simhash, op10_suffix_dedup]
+    found = [op3_ctw, op4_packing, op6_line_dedup, op7_decontamination, op8_pii, op9_simhash, op10_suffix_dedup]
     return {f.__name__: f for f in found}
 
 
