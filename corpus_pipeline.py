@@ -1,18 +1,43 @@
-"""The corpus pipeline: each stage works on all that the one before it kept."""
+"""The corpus pipeline: each stage works on all that the one before it kept.
+
+Stages take (spark, docs, sf_dir); all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.llm import common, queries, simhash
+from tessaline.llm import common, cotrain, queries, simhash, tiling, winnow
 from tessaline.llm.packing import pack
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the co-trained classifier rejects."""
+    out = cotrain.classify(docs, _table(spark, sf_dir, "labels")).where("not accepted").select("doc_id").distinct()
+    return docs.join(out, "doc_id", "left_anti")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes later repeated runs of lines out of the texts; all documents stay."""
+    kept = winnow.dedup_lines(docs).select(docs.columns)
+    return kept.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document that names its component of near-duplicates: one of each."""
     near = simhash.near_duplicates(docs)
-    return docs.join(near.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    return docs.join(near.where("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that cover a benchmark item."""
+    found = tiling.contaminated(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,13 +45,17 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, queries.bpe_path())
 
 
-STAGES = [("simhash_near_dedup", near_dedup), ("packing", packing)]
+STAGES = [
+    ("quality_cotraining", quality), ("line_dedup", line_dedup), ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination), ("packing", packing),
+]
+#: No SQL: learned weights and greedy tiles; the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.llm import ctw, packing, pii, simhash, suffixes, tiling, winnow
+from tessaline.llm import cotrain, ctw, htmltext, packing, pii, simhash, suffixes, tiling, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.scored(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = winnow.dedup_lines(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", F.col("n_removed_lines").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -50,7 +58,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_ctw, op4_packing, op6_line_dedup, op7_decontamination, op8_pii, op9_simhash, op10_suffix_dedup]
+    found = [op1_cotraining, op3_ctw, op4_packing, op5_main_text, op6_line_dedup, op7_decontamination, op8_pii, op9_simhash, op10_suffix_dedup]
     return {f.__name__: f for f in found}
 
 
