@@ -1,23 +1,418 @@
-"""Named queries over the key-value, incremental-table and related operators, with their SQL."""
+"""Named queries over the key-value, incremental-table and related operators, each with its SQL.
+
+The bundled tables carry them: events are a key-value log (key: user, value: event type, a free for `error`),
+conversations are incremental tables (one for each conversation), orders, customers, nations and regions
+are a chain of references.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessaline.functions import codec, names
+from tessaline.operators import inc, kv, metrics, refs, space
+from tessaline.schemas import ADD, BOTTOM, DROP, FREE, INSERT, OVERWRITE, SAVE, TOP
 from tessaline.session import table
+from tessaline.sources import store, wal
+from tessaline.streaming import feed
+
+SECRET = "correct horse"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+ORDER = "ORDER BY ts, event_id"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def event_log(spark: SparkSession, sf: str) -> DataFrame:
+    """events as a log: seq orders by time and event."""
+    e = table(spark, sf, "events")
+    op = F.when(F.col("event_type") == "error", FREE).otherwise(SAVE)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return e.select(
+        F.lit("events").alias("table"), F.col("user_id").cast("string").alias("key"), op.alias("op"), F.struct(micros.alias("us"), "event_id").alias("order"),
+        (micros * 1_000 + F.col("event_id") % 1_000).alias("seq"), F.col("event_type").cast("binary").alias("payload"), F.lit(False).alias("encrypted"), F.col("ts").cast("timestamp").alias("ts"),
+    )
 
 
+def _ordered(spark: SparkSession, sf: str) -> DataFrame:
+    """The event log with seq unique: the number of the event."""
+    return event_log(spark, sf).withColumn("seq", F.col("order.event_id"))
+
+
+LAST = "SELECT user_id, event_type, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {} DESC) = 1"
+
+
+@query(f"SELECT user_id AS key, event_type AS value FROM ({LAST.format('ts DESC, event_id')})")
 def kv_latest(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     return e.groupBy(F.col("user_id").alias("key")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("value"))
 
 
+@query(f"SELECT CAST(user_id AS VARCHAR) AS key, event_type AS value FROM ({LAST.format('event_id')}) WHERE event_type <> 'error'")
+def kv_latest_after_free(spark: SparkSession, sf: str) -> DataFrame:
+    return kv.latest(_ordered(spark, sf)).select("key", codec.as_text(F.col("payload")).alias("value"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderpriority AS value FROM orders WHERE o_orderkey = 7")
+def kv_point_read(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").where(F.col("o_orderkey") == 7)
+    log = kv.save(o, F.lit("orders"), F.col("o_orderkey"), F.col("o_orderkey"), F.col("o_orderpriority"))
+    return kv.read(log, "orders", "7").select("key", codec.as_text(F.col("payload")).alias("value"))
+
+
+@query("SELECT o_orderkey AS key, o_totalprice AS value FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity >= 49)")
+def kv_multi_read(spark: SparkSession, sf: str) -> DataFrame:
+    keys = table(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    return table(spark, sf, "orders").join(keys, "o_orderkey", "left_semi").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"))
+
+
+def _names(spark: SparkSession, sf: str) -> DataFrame:
+    return kv.save(table(spark, sf, "customer"), F.lit("customer"), F.col("c_name"), F.col("c_custkey"), F.col("c_mktsegment"))
+
+
+@query("SELECT c_name AS key FROM customer WHERE regexp_matches(c_name, '[[:digit:]]*7[0-3]$')")
+def kv_keys_by_regex(spark: SparkSession, sf: str) -> DataFrame:
+    return kv.keys_by_regex(_names(spark, sf), "customer", "[[:digit:]]*7[0-3]$")
+
+
+@query("SELECT DISTINCT c_name AS key FROM customer WHERE regexp_matches(c_name, '^C.*5') ORDER BY key LIMIT 10")
+def kv_keys_by_regex_limit(spark: SparkSession, sf: str) -> DataFrame:
+    return kv.keys_by_regex(_names(spark, sf), "customer", "^C.*5", 10)
+
+
+@query("SELECT conv_id, turn, text FROM conversations")
+def kv_encrypted_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations")
+    sealed = c.withColumn("sealed", codec.encrypt(F.col("text").cast("binary"), SECRET))
+    return sealed.select("conv_id", "turn", codec.decrypt(F.col("sealed"), SECRET).cast("string").alias("text"))
+
+
+@query("SELECT conv_id, turn, CAST(NULL AS VARCHAR) AS text, CAST(octet_length(encode(text)) + 28 AS BIGINT) AS sealed_bytes FROM conversations")
+def kv_wrong_key(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations")
+    sealed = c.withColumn("sealed", codec.encrypt(F.col("text").cast("binary"), SECRET))
+    return sealed.select("conv_id", "turn", codec.decrypt(F.col("sealed"), "wrong").cast("string").alias("text"), F.octet_length("sealed").cast("bigint").alias("sealed_bytes"))
+
+
+HEADER = """'01' || CASE WHEN n + 2 < 256 THEN '0102' || lpad(to_hex(n + 2), 2, '0')
+    WHEN n + 2 < 65536 THEN '0202' || lpad(to_hex((n + 2) % 256), 2, '0') || lpad(to_hex((n + 2) // 256), 2, '0')
+    ELSE '0402' || lpad(to_hex((n + 2) % 256), 2, '0') || lpad(to_hex((n + 2) // 256 % 256), 2, '0') || lpad(to_hex((n + 2) // 65536 % 256), 2, '0') || lpad(to_hex((n + 2) // 16777216), 2, '0') END"""
+
+
+@query(f"SELECT doc_id, {HEADER} || hex(encode(text)) AS envelope FROM (SELECT doc_id, text, octet_length(encode(text)) AS n FROM documents)")
+def envelope_encode(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.hex(codec.encode_envelope(F.col("text").cast("binary"))).alias("envelope"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def envelope_decode(spark: SparkSession, sf: str) -> DataFrame:
+    raw = table(spark, sf, "documents").withColumn("raw", codec.encode_envelope(F.col("text").cast("binary")))
+    return raw.select("doc_id", codec.as_text(codec.decode_envelope(F.col("raw"))).alias("text"))
+
+
+@query("SELECT conv_id, turn, lpad('01' || hex(encode(role)), 38, '0') AS record FROM conversations")
+def inc_record_encode(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.hex(codec.encode_record(F.col("role").cast("binary"), 16)).alias("record"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations")
+def inc_record_decode(spark: SparkSession, sf: str) -> DataFrame:
+    raw = table(spark, sf, "conversations").withColumn("raw", codec.encode_record(F.col("role").cast("binary"), 16))
+    return raw.select("conv_id", "turn", codec.decode_record(F.col("raw")).cast("string").alias("role"))
+
+
+@query("SELECT p_partkey, regexp_replace(regexp_replace(trim(p_brand || '/' || p_type), '[/\\\\:*?\"<>|]', '_', 'g'), '\\.\\.', '__', 'g') AS name FROM part")
+def sanitized_names(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", names.sanitize(F.concat_ws("/", "p_brand", "p_type")).alias("name"))
+
+
+@query("SELECT o_orderkey, 'orders' AS tab, CAST(o_orderkey AS VARCHAR) AS key FROM orders")
+def parsed_paths(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.concat(F.lit("/read/orders/"), F.col("o_orderkey").cast("string"), F.lit("/extra"))
+    return table(spark, sf, "orders").select("o_orderkey", names.path_argument(path, 0).alias("tab"), names.path_argument(path, 1).alias("key"))
+
+
+# --- incremental tables ------------------------------------------------------------------------------------------
+
+
+def _positions(spark: SparkSession, sf: str) -> DataFrame:
+    return inc.positions(table(spark, sf, "conversations"), ["conv_id"], ["turn"])
+
+
+def _adds(spark: SparkSession, sf: str) -> DataFrame:
+    none = F.lit(None)
+    return table(spark, sf, "conversations").select(
+        F.lit("chat").alias("table"), F.col("conv_id").cast("string").alias("key"), F.col("turn").cast("bigint").alias("seq"), F.lit(ADD).alias("op"), none.cast("bigint").alias("pos"),
+        none.cast("string").alias("count_from"), F.concat_ws("-", "conv_id", "turn").alias("entry_key"), F.col("role").cast("binary").alias("payload"),
+    )
+
+
+def _change(log: DataFrame, op: str, pos: int, count_from: str, payload: str, seq: int = 1 << 40) -> DataFrame:
+    one = log.select("table", "key").distinct()
+    return log.unionByName(one.select(
+        "table", "key", F.lit(seq).cast("bigint").alias("seq"), F.lit(op).alias("op"), F.lit(pos).cast("bigint").alias("pos"), F.lit(count_from).alias("count_from"),
+        F.lit(None).cast("string").alias("entry_key"), F.lit(payload).cast("binary").alias("payload"),
+    ))
+
+
+def _shown(lists: DataFrame) -> DataFrame:
+    return lists.select(F.col("key").cast("bigint").alias("conv_id"), "id", codec.as_text(F.col("payload")).alias("role"))
+
+
+PLACED = "SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS id, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations"
+
+
+@query(f"SELECT conv_id, turn, CAST(id AS BIGINT) AS id FROM ({PLACED})")
+def inc_positions(spark: SparkSession, sf: str) -> DataFrame:
+    return _positions(spark, sf).select("conv_id", "turn", "id")
+
+
+@query(f"SELECT conv_id, CAST(id AS BIGINT) AS id, role FROM ({PLACED}) WHERE id = 2")
+def inc_read_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    return inc.by_id(_positions(spark, sf).withColumn("skip", F.lit(False)), 2).select("conv_id", "id", "role")
+
+
+@query(f"SELECT conv_id, CAST(n - 1 - id AS BIGINT) AS local_id, role, text FROM ({PLACED}) WHERE n - 1 - id < 3")
+def inc_last_n(spark: SparkSession, sf: str) -> DataFrame:
+    return inc.last_entries(_positions(spark, sf).withColumn("skip", F.lit(False)), 3, ["conv_id"]).select("conv_id", "local_id", "role", "text")
+
+
+@query(f"SELECT conv_id, CAST(id AS BIGINT) AS id, role, text FROM ({PLACED}) WHERE id < 2")
+def inc_first_n(spark: SparkSession, sf: str) -> DataFrame:
+    return inc.first_entries(_positions(spark, sf).withColumn("skip", F.lit(False)), 2, ["conv_id"]).select("conv_id", "id", "role", "text")
+
+
+@query(f"SELECT conv_id, CAST(n - 1 - id AS BIGINT) AS local_id, role FROM ({PLACED}) WHERE n - 1 - id < 3 AND role <> 'user'")
+def inc_last_n_skip(spark: SparkSession, sf: str) -> DataFrame:
+    return inc.last_entries(_positions(spark, sf).withColumn("skip", F.col("role") == "user"), 3, ["conv_id"]).select("conv_id", "local_id", "role")
+
+
+@query(f"SELECT conv_id, CAST(id AS BIGINT) AS id, CASE WHEN id = n - 1 THEN 'edited' ELSE role END AS role FROM ({PLACED})")
+def inc_overwrite(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(inc.state(_change(_adds(spark, sf), OVERWRITE, 0, TOP, "edited")))
+
+
+def _inserted(at: str) -> str:
+    return f"SELECT conv_id, CAST(CASE WHEN id >= {at} THEN id + 1 ELSE id END AS BIGINT) AS id, role FROM ({PLACED}) UNION ALL SELECT conv_id, CAST({at} AS BIGINT), 'inserted' FROM (SELECT DISTINCT conv_id, n FROM ({PLACED}))"
+
+
+@query(_inserted("n - 1"))
+def inc_insert_top(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(inc.state(_change(_adds(spark, sf), INSERT, 1, TOP, "inserted")))
+
+
+@query(_inserted("1"))
+def inc_insert_bottom(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(inc.state(_change(_adds(spark, sf), INSERT, 1, BOTTOM, "inserted")))
+
+
+@query(f"SELECT conv_id, CAST(id AS BIGINT) AS id, role FROM ({PLACED}) WHERE conv_id || '-' || turn = '3-1'")
+def inc_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(inc.by_key(inc.state(_adds(spark, sf)), "3-1"))
+
+
+@query("SELECT conv_id, count(*) AS n, CAST(count(*) * 19 AS BIGINT) AS file_bytes FROM conversations GROUP BY conv_id")
+def inc_record_count(spark: SparkSession, sf: str) -> DataFrame:
+    log = _adds(spark, sf)
+    meta = inc.sizes(log.withColumn("entry_size", F.lit(16)))
+    return inc.record_count(log, meta).select(F.col("key").cast("bigint").alias("conv_id"), "n", "file_bytes")
+
+
+@query("SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS id, event_type FROM events e WHERE event_id > coalesce((SELECT max(event_id) FROM events d WHERE d.user_id = e.user_id AND d.event_type = 'error'), -1)")
+def inc_delete_reset(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    log = e.select(
+        F.lit("events").alias("table"), F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", DROP).otherwise(ADD).alias("op"),
+        F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast("string").alias("count_from"), F.lit(None).cast("string").alias("entry_key"), F.col("event_type").cast("binary").alias("payload"),
+    )
+    return inc.state(log).select(F.col("key").cast("bigint").alias("user_id"), "id", codec.as_text(F.col("payload")).alias("event_type"))
+
+
+@query("SELECT conv_id, role, max(octet_length(encode(text))) AS longest, CASE WHEN max(octet_length(encode(text))) <> 16 THEN 'entry size differs; the stored one is used' END AS warning FROM conversations GROUP BY conv_id, role")
+def inc_size_warning(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations").groupBy("conv_id", "role").agg(F.max(F.octet_length("text").cast("bigint")).alias("entry_size"))
+    log = c.select(F.lit("chat").alias("table"), F.col("conv_id").cast("string").alias("key"), "role", "entry_size", F.lit("x").cast("binary").alias("payload"))
+    meta = log.select("table", "key").distinct().withColumn("entry_size", F.lit(16).cast("bigint"))
+    return inc.checked(log, meta).select(F.col("key").cast("bigint").alias("conv_id"), "role", F.col("entry_size").alias("longest"), "warning")
+
+
+# --- references --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, c_name, n_name, r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def ptr_resolve_all(spark: SparkSession, sf: str) -> DataFrame:
+    t = lambda n: table(spark, sf, n)
+    steps = [("o_custkey", t("customer"), "c_custkey", "c"), ("c.c_nationkey", t("nation"), "n_nationkey", "n"), ("n.n_regionkey", t("region"), "r_regionkey", "r")]
+    return refs.resolve(t("orders"), steps).select("o_orderkey", "c.c_name", "n.n_name", "r.r_name")
+
+
+@query("SELECT o_orderkey, c_name, c_nationkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def ptr_resolve_some(spark: SparkSession, sf: str) -> DataFrame:
+    t = lambda n: table(spark, sf, n)
+    return refs.resolve(t("orders"), [("o_custkey", t("customer"), "c_custkey", "c")]).select("o_orderkey", "c.c_name", "c.c_nationkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 5)")
+def ptr_dangling(spark: SparkSession, sf: str) -> DataFrame:
+    found = table(spark, sf, "part").where("p_size > 5")
+    return refs.dangling(table(spark, sf, "lineitem"), "l_partkey", found, "p_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+EDGES = "SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation UNION ALL SELECT 'r' || r_regionkey, 'n' || (r_regionkey * 3) FROM region"
+
+
+@query(f"""WITH RECURSIVE e AS ({EDGES}), walk AS (
+  SELECT src AS root, src AS node, 0 AS depth, [src] AS path, false AS loop FROM (SELECT DISTINCT src FROM e)
+  UNION ALL SELECT root, dst, depth + 1, list_append(path, dst), list_contains(path, dst) FROM walk JOIN e ON node = src WHERE NOT loop)
+SELECT root, node, CAST(min(depth) AS BIGINT) AS depth, bool_or(loop) AS loop FROM walk GROUP BY root, node""")
+def ptr_recursive_depth(spark: SparkSession, sf: str) -> DataFrame:
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    edges = n.select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst")).union(
+        r.select(F.concat(F.lit("r"), "r_regionkey"), F.concat(F.lit("n"), F.col("r_regionkey") * 3)))
+    return refs.reachable(edges, edges.select(F.col("src").alias("root")))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key, 'nation' AS to_table, CAST(c_nationkey AS VARCHAR) AS to_key FROM customer")
+def ptr_fields(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    body = F.to_json(F.struct(F.array(F.col("c_nationkey").cast("string"), F.lit("nation")).alias("$ptr_nation"), F.col("c_name").alias("name"), F.array(F.lit(1), F.lit(2)).alias("pair")))
+    objects = c.select(F.lit("customer").alias("table"), F.col("c_custkey").cast("string").alias("key"), body.alias("json"))
+    return refs.pointers(objects).select("key", "to_table", "to_key")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE o_orderpriority END AS value FROM orders WHERE o_orderkey % 6 <> 1")
+def read_with_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").where("o_orderkey % 6 != 1")
+    key, seq = F.col("o_orderkey"), F.col("o_orderkey")
+    local = kv.save(o.where("o_orderkey % 2 = 0"), F.lit("orders"), key, seq, F.col("o_orderstatus"))
+    peer = kv.save(o, F.lit("orders"), key, seq, F.col("o_orderpriority"))
+    return kv.with_fallback(local, peer).select("key", codec.as_text(F.col("payload")).alias("value"))
+
+
+# --- storage -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'events' AS tab, count(*) AS rows, CAST(sum(octet_length(encode(event_type))) AS BIGINT) AS bytes FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn > 1 AND event_type <> 'error'")
+def space_reclaimable(spark: SparkSession, sf: str) -> DataFrame:
+    return space.reclaimable(_ordered(spark, sf)).withColumnRenamed("table", "tab")
+
+
+@query("SELECT 'events' AS tab, count(*) FILTER (event_type = 'error') AS frees, count(*) FILTER (event_type <> 'error') AS saves FROM events")
+def space_counters(spark: SparkSession, sf: str) -> DataFrame:
+    return space.counters(_ordered(spark, sf)).withColumnRenamed("table", "tab")
+
+
+BLOCKS = "SELECT p_brand AS file, CAST(p_partkey * 100 AS BIGINT) AS s, CAST(p_partkey * 100 + p_size AS BIGINT) AS e FROM part"
+
+
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_brand").alias("file"), (F.col("p_partkey") * 100).alias("start"), (F.col("p_partkey") * 100 + F.col("p_size")).alias("end"))
+
+
+@query(f"SELECT file, s AS first, e AS last, e - s AS size FROM ({BLOCKS}) WHERE e - s >= 20 QUALIFY row_number() OVER (PARTITION BY file ORDER BY e - s, s, e) = 1")
+def space_best_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return space.best_fit(_blocks(spark, sf), 20).select("file", F.col("start").alias("first"), F.col("end").alias("last"), "size")
+
+
+@query(f"SELECT file, s AS first, s + 3 AS last FROM ({BLOCKS}) WHERE e - s > 5 UNION ALL SELECT file, s + 5, e FROM ({BLOCKS}) WHERE e - s > 5 UNION ALL SELECT file, s, e FROM ({BLOCKS}) WHERE e - s <= 5 AND s < e")
+def space_subtract(spark: SparkSession, sf: str) -> DataFrame:
+    b = _blocks(spark, sf)
+    used = b.where("end - start > 5").select("file", (F.col("start") + 3).alias("start"), (F.col("start") + 5).alias("end"))
+    return space.subtract(b, used).select("file", F.col("start").alias("first"), F.col("end").alias("last"))
+
+
+@query(f"SELECT CAST(user_id AS VARCHAR) AS key, event_type AS file, CAST(event_id AS BIGINT) AS first, CAST(event_id + 5 AS BIGINT) AS last FROM ({LAST.format('event_id')}) WHERE event_type <> 'error'")
+def wal_replay(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    user, event = F.col("user_id").cast("string"), F.col("event_id")
+    line = F.when(F.col("event_type") == "error", F.concat_ws("|", F.lit("D"), user)).otherwise(F.concat_ws("|", F.lit("S"), user, "event_type", event.cast("string"), (event + 5).cast("string")))
+    broken = e.limit(0).select(F.lit("S|bad|x|5|2").alias("value"), event.alias("seq")).union(e.sparkSession.createDataFrame([("S|bad|x|5|2", 1 << 50), ("nonsense", 1 << 51)], "value string, seq bigint"))
+    return wal.replay(e.select(line.alias("value"), event.alias("seq")).union(broken)).select("key", "file", F.col("start").alias("first"), F.col("end").alias("last"))
+
+
+@query("SELECT doc_id, CAST(i AS BIGINT) AS chunk_no, substr(text, CAST(i * 1000 + 1 AS BIGINT), 1000) AS chunk FROM documents, generate_series(0, greatest(CAST(ceil(length(text) / 1000.0) AS BIGINT) - 1, 0)) AS g(i) WHERE octet_length(encode(text)) = length(text)")
+def value_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").where("octet_length(text) = char_length(text)").select("doc_id", F.col("text").cast("binary").alias("payload"))
+    return store.chunks(d, "payload", 1000).select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), codec.as_text(F.col("chunk")).alias("chunk"))
+
+
+# --- metrics and feed --------------------------------------------------------------------------------------------
+
+
+@query("SELECT count(*) AS requests, CAST(sum(CAST(trunc(value * 1000) AS BIGINT)) AS BIGINT) AS total_ns, CAST(floor(sum(CAST(trunc(value * 1000) AS BIGINT)) / count(*)) AS BIGINT) AS avg_ns, max(event_id) AS last_request FROM events")
+def health_request_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.requests(table(spark, sf, "events"), (F.col("value") * 1000).cast("bigint"), F.col("event_id"))
+
+
+@query("SELECT event_type AS name, count(*) AS calls, round(sum(value), 4) AS total, round(avg(value), 6) AS average FROM events GROUP BY event_type")
+def timing_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    t = metrics.timings(table(spark, sf, "events"), F.col("event_type"), F.col("value"))
+    return t.select("name", "calls", F.round("total", 4).alias("total"), F.round("average", 6).alias("average"))
+
+
+BOUND = "SELECT DISTINCT 'conn' || (user_id % 7) AS conn, CAST(user_id AS VARCHAR) AS key FROM events WHERE user_id % 3 = 0"
+
+
+def _bindings(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").where("user_id % 3 = 0")
+    return e.select(F.concat(F.lit("conn"), F.col("user_id") % 7).alias("conn"), F.lit("events").alias("table"), F.col("user_id").cast("string").alias("key")).distinct()
+
+
+@query(f"SELECT count(DISTINCT conn) AS clients, count(DISTINCT key) AS keys, count(*) AS bindings FROM ({BOUND})")
+def subscription_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return feed.stats(_bindings(spark, sf))
+
+
+@query(f"SELECT conn, event_id AS seq, CASE WHEN event_type = 'error' THEN '{{\"event\":\"deleted\",\"key\":\"' || b.key || '\"}}' ELSE '{{\"event\":\"updated\",\"key\":\"' || b.key || '\",\"data\":\"' || event_type || '\"}}' END AS message FROM events JOIN ({BOUND}) b ON b.key = CAST(user_id AS VARCHAR)")
+def feed_fanout(spark: SparkSession, sf: str) -> DataFrame:
+    return feed.fan_out(feed.events(_ordered(spark, sf)), _bindings(spark, sf))
+
+
+@query(f"SELECT conn, key FROM ({BOUND}) WHERE CAST(key AS BIGINT) % 2 = 1")
+def feed_disable(spark: SparkSession, sf: str) -> DataFrame:
+    b = _bindings(spark, sf)
+    return feed.disable(b, b.where("cast(key as bigint) % 2 = 0")).select("conn", "key")
+
+
+@query(f"SELECT conv_id, CAST(id AS BIGINT) AS seq, '{{\"type\":\"add\",\"new_data\":{{\"id\":\"' || id || '\",\"data\":\"' || role || '\"}}}}' AS data FROM ({PLACED})")
+def feed_inc_update_json(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _positions(spark, sf).select(F.lit("chat").alias("table"), F.col("conv_id").alias("key"), F.col("id").alias("seq"), F.lit(ADD).alias("op"), "id", F.col("role").cast("binary").alias("payload"))
+    return feed.list_events(rows).select(F.col("key").alias("conv_id"), "seq", "data")
+
+
+@query(SQL["kv_latest"])
+def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest values, kept by a stream over the event files."""
+    changes = feed.stream(spark, sf, table(spark, sf, "events").schema, "events.parquet")
+    name = f"latest_{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        import tempfile
+
+        root = f"file://{tempfile.mkdtemp()}"
+    running = feed.latest_stream(changes, F.col("user_id"), F.col("event_type"), F.struct("ts", "event_id"), name, f"{root}/{name}")
+    running.awaitTermination()
+    return spark.table(name)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"kv_latest": kv_latest}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"kv_latest": "SELECT user_id AS key, event_type AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"}
+    return dict(SQL)
