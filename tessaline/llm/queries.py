@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.llm import cotrain, ctw, htmltext, packing, pii, simhash, suffixes, tiling, winnow
+from tessaline.llm import chroma, cotrain, ctw, htmltext, packing, pii, simhash, suffixes, tiling, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chroma.search(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.scored(_table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_cotraining, op3_ctw, op4_packing, op5_main_text, op6_line_dedup, op7_decontamination, op8_pii, op9_simhash, op10_suffix_dedup]
+    found = [op1_cotraining, op2_chroma, op3_ctw, op4_packing, op5_main_text, op6_line_dedup, op7_decontamination, op8_pii, op9_simhash, op10_suffix_dedup]
     return {f.__name__: f for f in found}
 
 
