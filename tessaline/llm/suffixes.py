@@ -3,14 +3,16 @@
 Ranking every byte position at every doubling would shuffle some hundred bytes for each byte of text. Here
 the doubling runs on names of strings of 8, 16, 32 and 64 bytes within a task; only the smallest name in
 each window of the threshold's length stands for the windows that it lies in (an anchor). Spark then sorts
-anchors by name: a unique name ends all of its windows. The rest are named at growing precision (the whole
-range of windows of an anchor, sixteen windows, one window) until unique or found twice at the threshold.
+anchors by name: a unique name ends all of its windows. The rest are sorted by longer and longer strings
+around the anchor (the bytes that 64, 16, 4 windows and one window share: 137, 185, 197 and 200 bytes of a
+threshold of 200), and a node of windows ends where its string is unique. Where all bytes that a node's
+windows cover are found twice, all of them are repeated at once.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,8 @@ from tessaline.llm import common
 
 #: Bytes whose names are made at once; arrays of their names stay in a core's cache.
 PIECE = 1 << 18
-#: Windows that one node of the middle level holds.
-NODE = 16
+#: Windows that a node of each level holds.
+SIZES = (64, 16, 4, 1)
 #: Low bits of a name that give way to the place of its string, the later first.
 PLACE = np.uint64((1 << 20) - 1)
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -92,7 +94,9 @@ def runs(data: np.ndarray, at: np.ndarray, most: np.ndarray, length: int) -> tup
     return text[cut], name[anchor[cut]], anchor[cut], cut, last
 
 
-RUNS = "fp long, own long, id long, body long, anchor long, first long, last long"
+#: at: anchor, and the least and greatest distance from a window's start to it, RANGE values each.
+RUNS = "fp long, own long, id long, body long, at long"
+RANGE = 1 << 10
 
 
 def _pieces(rows: list[tuple], length: int) -> Iterator[list[tuple]]:
@@ -127,80 +131,77 @@ def anchored(rows: DataFrame, length: int) -> DataFrame:
                     shift = np.array([g[2] for g in group])[text] - at[text]
                     ids = pa.array([g[0] for g in group], pa.int64()).take(pa.array(text))
                     body = np.array([g[1] for g in group], np.int64)[text]
-                    out.append([pa.array(name.view(np.int64)), pa.array(own.view(np.int64)), ids, pa.array(body), *map(pa.array, (anchor + shift, first + shift, last + shift))])
+                    packed = ((anchor + shift) * RANGE + anchor - last) * RANGE + anchor - first
+                    out.append([pa.array(name.view(np.int64)), pa.array(own.view(np.int64)), ids, pa.array(body), pa.array(packed)])
                 if out:
                     columns = [pa.concat_arrays(c) for c in zip(*out)]
-                    yield pa.record_batch(columns, names=["fp", "own", "id", "body", "anchor", "first", "last"])
+                    yield pa.record_batch(columns, names=["fp", "own", "id", "body", "at"])
 
     return rows.mapInArrow(run, RUNS)
 
 
-def _release(spark) -> None:
-    """Lets Spark delete the shuffle files of what is no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int, sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """Rows (id, body, spans) of (id, body, text): byte ranges covered by strings that also start elsewhere."""
-    spark = docs.sparkSession
     every = common.written(anchored(docs, length), "suffix-runs")
     twice = every.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
     some = common.written(every.join(twice, "fp", "left_semi"), "suffix-candidates")
-    _release(spark)
+    common.discard(every)
 
-    # The whole range: classes of runs with the same bytes, one of each standing for all.
-    who = ["id", "body", "anchor", "first", "last"]
-    classes = some.groupBy("fp", "own").agg(F.count("*").alias("m"), F.min(F.struct(*who)).alias("one"))
+    # The whole range of an anchor's windows: one run stands for all with the same bytes.
+    classes = some.groupBy("fp", "own").agg(F.count("*").alias("m"), F.min(F.struct("id", "body", "at")).alias("one"))
     classes = common.written(classes.select("fp", "own", "m", "one.*"), "suffix-classes")
     whole = some.join(classes.where("m > 1").select("fp", "own"), ["fp", "own"], "left_semi")
-    spans = common.written(whole.select("id", "body", F.col("first").alias("a"), (F.col("last") + length).alias("b")), "suffix-spans")
+    spans = common.written(whole.select("id", "body", "at"), "suffix-whole")
+    common.discard(some)
     mixed = classes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    open_ = classes.join(mixed, "fp", "left_semi")
-    asked = open_.groupBy("id", "body").agg(F.collect_list(F.struct("fp", "m", "anchor", "first", "last")).alias("asked"))
+    asked = classes.join(mixed, "fp", "left_semi").groupBy("id", "body").agg(F.collect_list(F.struct("fp", "m", "at")).alias("asked"))
     met = docs.join(asked, docs.id.eqNullSafe(asked.id) & (docs.body == asked.body)).select(docs.id, docs.body, "text", "asked")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                raw = memoryview(batch.column("text").slice(i, 1).cast(pa.binary())[0].as_buffer())
+                raw = memoryview(batch.column("text")[i].as_buffer())
                 rows = batch.column("asked")[i].as_py()
+                where = [(r["at"] // RANGE // RANGE, r["at"] // RANGE % RANGE, r["at"] % RANGE) for r in rows]
                 yield pa.record_batch(
                     [pa.array([batch.column(c)[i].as_py()] * len(rows), pa.int64()) for c in ("id", "body")]
-                    + [pa.array([r[c] for r in rows], pa.int64()) for c in ("fp", "m", "anchor", "first", "last")]
-                    + [pa.array([bytes(raw[r["first"] : r["last"] + length]) for r in rows], pa.binary())],
-                    names=["id", "body", "fp", "m", "anchor", "first", "last", "bytes"],
+                    + [pa.array([r[c] for r in rows], pa.int64()) for c in ("fp", "m", "at")]
+                    + [pa.array([bytes(raw[p - hi : p - lo + length]) for p, lo, hi in where], pa.binary())],
+                    names=["id", "body", "fp", "m", "at", "bytes"],
                 )
 
-    ctx = met.mapInArrow(contexts, "id long, body long, fp long, m long, anchor long, first long, last long, bytes binary")
-    ctx = ctx.withColumns({"rid": F.xxhash64("fp", "id", "body", "first"), "lo": F.col("anchor") - F.col("last"), "hi": F.col("anchor") - F.col("first")})
-    ctx = common.written(ctx, "suffix-contexts")
-    _release(spark)
-
-    # Sixteen windows: d counts bytes from a window's start to its anchor.
-    def named(a: str, b: str):
-        return F.xxhash64(F.expr(f"substring(bytes, int(hi - {b} + 1), int({length} + {b} - {a}))"))
-
-    nodes = ctx.select("*", F.explode(F.sequence(F.floor(F.col("lo") / NODE), F.floor(F.col("hi") / NODE))).alias("g"))
-    nodes = nodes.withColumns({"a": F.greatest("lo", F.col("g") * NODE), "b": F.least("hi", F.col("g") * NODE + NODE - 1)})
-    nodes = nodes.select("rid", "fp", "m", "id", "body", "anchor", "g", "a", "b", named("a", "b").alias("key"))
-    nodes = common.written(nodes, "suffix-nodes")
-    by = ["fp", "g", "a", "b", "key"]
-    kinds = common.written(nodes.groupBy(*by).agg(F.count("*").alias("c"), F.min(F.struct("rid", "m")).alias("one")).select(*by, "c", "one.*"), "suffix-kinds")
-    both = nodes.where("m = 1").join(kinds.where("c > 1").select(*by), by, "left_semi")
-    spans = spans.union(both.select("id", "body", F.expr("anchor - b"), F.expr(f"anchor - a + {length}")))
-    mixed = kinds.groupBy("fp", "g").agg(F.count("*").alias("n")).where("n > 1").select("fp", "g")
-    last = kinds.join(mixed, ["fp", "g"], "left_semi").select("rid", "a", "b", (F.greatest("c", "m") == 1).alias("alone"))
-
-    # One window.
-    single = last.join(ctx, "rid").select("fp", "id", "body", "anchor", "hi", "bytes", "alone", F.explode(F.sequence("a", "b")).alias("d"))
-    single = common.written(single.select("fp", "id", "body", "anchor", "d", "alone", named("d", "d").alias("key")), "suffix-windows")
-    met = single.groupBy("fp", "d", "key").agg(F.count("*").alias("c")).where("c > 1").select("fp", "d", "key")
-    found = single.where("alone").join(met, ["fp", "d", "key"], "left_semi")
-    spans = spans.union(found.select("id", "body", F.expr("anchor - d"), F.expr(f"anchor - d + {length}")))
-    spans = common.written(spans.groupBy("id", "body").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "suffix-removed")
-    _release(spark)
-    return spans
+    packed, lo, hi = F.col("at"), F.expr(f"at div {RANGE} % {RANGE}"), F.expr(f"at % {RANGE}")
+    ctx = met.mapInArrow(contexts, "id long, body long, fp long, m long, at long, bytes binary")
+    ctx = common.written(ctx.select(F.xxhash64("fp", "id", "body", packed).alias("rid"), "*", lo.alias("lo"), hi.alias("hi")), "suffix-contexts")
+    common.discard(classes)
+
+    # Ever longer strings of ever fewer windows: d counts bytes from a window's start to its anchor; alone: not known to be repeated.
+    cells = ctx.select("rid", "fp", "bytes", "hi", F.col("lo").alias("x"), F.col("hi").alias("y"), (F.col("m") == 1).alias("alone"))
+    found, used = [], []
+    for size in [s for s in sizes if s == 1 or s <= length // 3]:
+        g = F.explode(F.sequence(F.floor(F.col("x") / size), F.floor(F.col("y") / size)))
+        nodes = cells.select("*", g.alias("g")).withColumns({"a": F.greatest("x", F.col("g") * size), "b": F.least("y", F.col("g") * size + (size - 1))})
+        # core: the bytes that all windows of a whole node share; key: the bytes that they cover, as far as asked.
+        core = F.expr(f"substring(bytes, int(hi - g * {size} + 1), int({length - size + 1}))")
+        named = F.expr(f"substring(bytes, int(hi - b + 1), int({length} + b - a))")
+        nodes = nodes.select("rid", "alone", F.xxhash64(core, "fp", "g").alias("core"), F.xxhash64(named, "fp", "a", "b").alias("key"), (F.col("a") * RANGE + F.col("b")).alias("ab"))
+        nodes = common.written(nodes, f"suffix-nodes{size}")
+        kinds = nodes.groupBy("core", "key", "ab").agg(F.count("*").alias("c"), F.min("rid").alias("rid"), F.bool_and("alone").alias("alone"))
+        kinds = common.written(kinds, f"suffix-kinds{size}")
+        twice = kinds.where("c > 1").select("core", "key", "ab")
+        found.append(common.written(nodes.where("alone").join(twice, ["core", "key", "ab"], "left_semi").select("rid", "ab"), f"suffix-found{size}"))
+        if size > 1:
+            mixed = kinds.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+            open_ = kinds.join(mixed, "core", "left_semi").select("rid", F.expr(f"ab div {RANGE}").alias("x"), F.expr(f"ab % {RANGE}").alias("y"), F.expr("alone and c = 1").alias("alone"))
+            cells = open_.join(ctx.select("rid", "fp", "bytes", "hi"), "rid")
+        used += [nodes, kinds]
+    part = reduce(DataFrame.union, found).join(ctx.select("rid", "id", "body", "at"), "rid")
+    anchor = F.expr(f"at div {RANGE} div {RANGE}")
+    part = part.select("id", "body", (anchor - F.expr(f"ab % {RANGE}")).alias("a"), (anchor - F.expr(f"ab div {RANGE}") + length).alias("b"))
+    whole = spans.select("id", "body", (anchor - hi).alias("a"), (anchor - lo + length).alias("b"))
+    out = common.written(whole.union(part).groupBy("id", "body").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "suffix-removed")
+    common.discard(spans, ctx, *found, *used)
+    return out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep_bytes: bool = False) -> DataFrame:
@@ -211,8 +212,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts lose nothing. Repeated rows are copies of each other; null ids are rows like others. An empty
     table gives no rows. Other columns of docs are ignored. Names have 64 bits, two of them for each string.
     """
-    if length < 16:
-        raise ValueError("length must be 16 bytes or more")
+    if not 16 <= length < RANGE:
+        raise ValueError(f"length must be 16 to {RANGE} bytes")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("body"), text.alias("text"))
     spans = repeated_spans(rows, length)
