@@ -66,5 +66,42 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+LINE_SQL = """
+WITH lines AS (
+  SELECT doc_id, CAST(unnest(range(1, len(l) + 1)) AS BIGINT) AS i, unnest(l) AS line, l
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+counted AS (
+  SELECT *, len(regexp_extract_all(line, '\\S+')) AS w, sum(len(regexp_extract_all(line, '\\S+'))) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM lines),
+windows AS (
+  SELECT a.doc_id, a.i AS a, b.i AS b, array_to_string(list_slice(a.l, a.i, b.i), chr(10)) AS key
+  FROM counted a JOIN counted b ON a.doc_id = b.doc_id AND a.i <= b.i
+  WHERE b.upto - a.upto + a.w >= 5 AND (b.upto - b.w - a.upto + a.w < 5 OR b.upto - a.upto < 5)),
+later AS (
+  SELECT doc_id, a, b FROM windows QUALIFY row(doc_id, a) <> min(row(doc_id, a)) OVER (PARTITION BY key)),
+marked AS (
+  SELECT c.doc_id, c.i, c.line, EXISTS (SELECT 1 FROM later x WHERE x.doc_id = c.doc_id AND c.i BETWEEN x.a AND x.b) AS gone FROM counted c)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+SUFFIX_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
+hit AS (SELECT doc_id, i FROM p WHERE s IN (SELECT s FROM p GROUP BY s HAVING count(*) > 1)),
+island AS (SELECT doc_id, i, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS g
+  FROM (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, true) AS fresh FROM hit)),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM island GROUP BY doc_id, g),
+kept AS (
+  SELECT doc_id, a, substr(h, 2 * prior + 1, 2 * (a - prior)) AS piece FROM (
+    SELECT doc_id, h, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prior FROM (
+      SELECT d.doc_id, h, a, b FROM d JOIN span USING (doc_id)
+      UNION ALL SELECT doc_id, h, length(h) // 2, NULL FROM d))),
+total AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  (SELECT sha256(unhex(coalesce(string_agg(piece, '' ORDER BY a), ''))) FROM kept k WHERE k.doc_id = d.doc_id) AS kept_sha256
+FROM d LEFT JOIN total USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": LINE_SQL, "op10_suffix_dedup": SUFFIX_SQL}
