@@ -41,7 +41,7 @@ def java_pattern(pattern: str) -> str:
     if re.search(r"\(\?(=|!|<=|<!|>)", pattern) or re.search(r"(?<!\\)(\\\\)*\\[1-9k]", pattern):
         raise InvalidRequest("lookaround and back references aren't supported")
     out = re.sub(r"\[:(\^?)(\w+):\]", lambda m: _posix(m[2], bool(m[1])), pattern)
-    out = out.replace("(?P<", "(?<").replace(r"\z", r"\z")
+    out = out.replace("(?P<", "(?<")
     try:
         re.compile(re.sub(r"\\p\{\w+\}", "a", pattern.replace("[:", "").replace(":]", "")))
     except re.error as e:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def requests(rows: DataFrame, duration: Column, at: Column) -> DataFrame:
     """One row: count, total, whole average and the last request."""
     d = duration.cast("bigint")
-    return rows.agg(F.count("*").alias("requests"), F.sum(d).alias("total_ns"), F.expr("0").alias("zero"), F.max(at).alias("last_request")).select(
+    return rows.agg(F.count("*").alias("requests"), F.sum(d).alias("total_ns"), F.max(at).alias("last_request")).select(
         "requests", "total_ns", F.when(F.col("requests") > 0, F.floor(F.col("total_ns") / F.col("requests"))).alias("avg_ns"), "last_request"
     )
 

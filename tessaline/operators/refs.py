@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ def reachable(edges: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
     loop marks a node that its own path already has; there the path ends. Of several paths the shortest counts.
     """
     spark = edges.sparkSession
-    names = [f"refs_{abs(hash((id(edges), id(roots), k)))}" for k in ("e", "r")]
+    names = [f"refs_{uuid.uuid4().hex}" for _ in range(2)]
     edges.select("src", "dst").createOrReplaceTempView(names[0])
     roots.select("root").distinct().createOrReplaceTempView(names[1])
     return spark.sql(f"""

@@ -23,7 +23,6 @@ from tessaline.streaming import feed
 SECRET = "correct horse"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-ORDER = "ORDER BY ts, event_id"
 
 
 def query(sql: str | None = None):

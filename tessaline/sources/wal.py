@@ -21,10 +21,9 @@ def parse(lines: DataFrame) -> DataFrame:
     at = lambda i: F.try_element_at(p, (shift + i + 1).cast("int"))
     rows = lines.select(
         F.when(freed, FREE).otherwise(SAVE).alias("op"), F.when(freed, part(1)).otherwise(at(0)).alias("key"),
-        F.when(~freed, at(1)).alias("file"), F.when(~freed, F.expr("NULL").cast("string")).alias("none"),
-        F.when(~freed, at(2)).try_cast("bigint").alias("start"), F.when(~freed, at(3)).try_cast("bigint").alias("end"), "seq",
+        F.when(~freed, at(1)).alias("file"), F.when(~freed, at(2)).try_cast("bigint").alias("start"), F.when(~freed, at(3)).try_cast("bigint").alias("end"), "seq",
         (saved | freed | (n == 4)).alias("known"),
-    ).drop("none")
+    )
     valid = (F.col("op") == FREE) | ((F.col("start") >= 0) & (F.col("end") > F.col("start")))
     return rows.where(F.col("known") & F.coalesce(valid, F.lit(False)) & (F.col("key") != "")).drop("known")
 
