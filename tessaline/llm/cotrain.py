@@ -23,7 +23,7 @@ WORD_VALUE, LEAST_ROWS = 0.3, 5
 #: Slots of the metadata view: sources, languages, lengths.
 META_SLOTS = 1 << 10
 #: Labelled rows and unlabelled rows that training takes at most, the smallest by hash of their id.
-MOST_LABELLED, POOL = 5000, 3000
+MOST_LABELLED, POOL = 4000, 2000
 
 
 # --- views -------------------------------------------------------------------------------------------------------
@@ -42,20 +42,31 @@ class Rows:
 
     @property
     def row(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self)), np.diff(self.at))
+        return np.repeat(np.arange(len(self), dtype=np.int32), np.diff(self.at))
+
+    def common(self, slots: int, sparse_from: int) -> Rows:
+        """Without entries of slots from sparse_from on that fewer than LEAST_ROWS rows have."""
+        keep = (self.slot < sparse_from) | (np.bincount(self.slot, minlength=slots) >= LEAST_ROWS)[self.slot]
+        ends = np.concatenate([[0], np.cumsum(keep)])
+        return Rows(self.slot[keep], self.value[keep], ends[self.at])
 
     def take(self, which: np.ndarray) -> Rows:
         size = np.diff(self.at)[which]
         at = np.concatenate([[0], np.cumsum(size)])
-        index = np.arange(at[-1]) + np.repeat(self.at[:-1][which] - at[:-1], size)
+        index = np.arange(at[-1], dtype=np.int32) + np.repeat((self.at[:-1][which] - at[:-1]).astype(np.int32), size)
         return Rows(self.slot[index], self.value[index], at)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def unit(rows: Rows) -> Rows:
     """The rows of a text view, their words scaled to length one: for what a text is like, not what it holds."""
     words = rows.slot >= STATS
     norm = np.sqrt(np.maximum(np.bincount(rows.row, words, len(rows)), 1))
-    return Rows(rows.slot, np.where(words, 1 / norm[rows.row], rows.value), rows.at)
+    return Rows(rows.slot, np.where(words, (1 / norm).astype(np.float32)[rows.row], rows.value), rows.at)
 
 
 def text_view(texts: pa.Array) -> Rows:
@@ -69,10 +80,10 @@ def text_view(texts: pa.Array) -> Rows:
     slots = np.stack([np.fromiter((zlib.crc32(w, k) for w in x.cast(pa.large_binary()).to_pylist()), np.int64, len(x)) % WORD_SLOTS for k, x in enumerate(spelled)], axis=1)
     count = np.bincount(row, minlength=n)
     repeats = np.bincount(row[1:], (row[1:] == row[:-1]) & (codes[1:] == codes[:-1]), n)
-    pairs = np.unique(row * (len(slots) + 1) + codes)
+    pairs = _distinct(row * (len(slots) + 1) + codes)
     kinds = np.bincount(pairs // (len(slots) + 1), minlength=n)
     owner, code = np.divmod(pairs, len(slots) + 1)
-    owner, slot = np.divmod(np.unique((owner[:, None] * WORD_SLOTS + slots[code]).ravel()), WORD_SLOTS)
+    owner, slot = np.divmod(_distinct((owner[:, None] * WORD_SLOTS + slots[code]).ravel()), WORD_SLOTS)
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
     at = at - at[0]
@@ -127,7 +138,7 @@ def logistic(rows: Rows, y: np.ndarray, slots: int, sparse_from: int, rounds: in
     """
     count = np.bincount(rows.slot, minlength=slots)
     kept = np.flatnonzero((count >= LEAST_ROWS) | ((np.arange(slots) < sparse_from) & (count > 0)))
-    number = np.full(slots, -1)
+    number = np.full(slots, -1, np.int32)
     number[kept] = np.arange(len(kept))
     used = number[rows.slot] >= 0
     slot, value, row = number[rows.slot][used], rows.value[used], rows.row[used]
@@ -259,8 +270,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most:
     for s, v in (("ts", "tv"), ("ms", "mv")):
         lists = table.column(s).combine_chunks()
         at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        values = table.column(v).combine_chunks().flatten().to_numpy().astype(np.float64)
-        views.append(Rows(lists.flatten().to_numpy().astype(np.int64), values, at))
+        views.append(Rows(lists.flatten().to_numpy(), table.column(v).combine_chunks().flatten().to_numpy(), at))
+    views[0] = views[0].common(STATS + WORD_SLOTS, STATS)
     given = [pc.fill_null(table.column(c), -1).to_numpy() for c in ("quality", "toxic")]
     return *views, *given, table.column("id").to_numpy()
 
