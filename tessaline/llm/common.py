@@ -31,19 +31,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(schema).parquet(path)
     table.written_to = path
     return table
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing will read again, and lets Spark drop shuffle files of lost plans."""
+    """Deletes written tables that nothing will read again."""
     for table in tables:
         path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to."""
     gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

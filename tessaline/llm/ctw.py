@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     y, p = x + 8, x.copy()
     for i in range(1, 8):
         p = p * (x + i)
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) - np.log(p)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(p)
 
 
 def log_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -136,7 +137,7 @@ def _log_gamma(x: Column) -> Column:
     y, p = x + 8, x
     for i in range(1, 8):
         p = p * (x + i)
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) - F.log(p)
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - F.log(p)
 
 
 def _weighted(nodes: DataFrame) -> DataFrame:
@@ -169,7 +170,7 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH, first: int = FIRST, task_
     """Rows (gram, logp) of rows (gram, n): log10 probability of the gram's byte in its context."""
     parts = max(1, -(-counts.count() // task_grams))
     # The context of `first` bytes, the latest highest, names the subtree; a subtree lies in one part.
-    part = F.pmod(F.xxhash64(F.shiftright("gram", 8 * (depth - first) + 8)), F.lit(parts))
+    part = F.pmod(F.xxhash64(F.shiftrightunsigned("gram", 8 * (depth - first) + 8)), F.lit(parts))
     counts = counts.withColumn("part", part)
 
     def tops(table: pa.Table) -> pa.Table:
@@ -207,7 +208,10 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH, first: int = FIRST, task_
             given.append(tuple(s[at] for s in state))
         return pa.table({"gram": keys.view(np.int64), "logp": log10_bytes(keys, levels, given)})
 
-    return counts.groupBy("part").cogroup(above.groupBy("part")).applyInArrow(bottom, "gram long, logp double")
+    scores = counts.groupBy("part").cogroup(above.groupBy("part")).applyInArrow(bottom, "gram long, logp double")
+    scores = common.written(scores, "ctw-scores")
+    common.discard(top, *levels)
+    return scores
 
 
 def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +222,16 @@ def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 # --- texts and words ---------------------------------------------------------------------------------------------
 
-CODED = "chunk long, code int, word string, n long, id long, held boolean, codes array<int>"
+#: codes: the low bytes of all codes, then the second, third and fourth bytes; frequent words have small codes.
+CODED = "chunk long, code int, word string, n long, id long, held boolean, size long, codes binary"
+
+
+def _planes(codes: np.ndarray) -> bytes:
+    return codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _codes(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def coded(rows: DataFrame) -> DataFrame:
@@ -230,29 +243,37 @@ def coded(rows: DataFrame) -> DataFrame:
         size = 0
 
         def chunk() -> Iterator[pa.RecordBatch]:
-            words = pa.chunked_array([w for *_, w in held_rows]).combine_chunks()
-            counts = np.concatenate([c for _, _, c, _ in held_rows])
-            held = np.concatenate([h for _, h, _, _ in held_rows])
-            dictionary = words.dictionary_encode() if len(words) else pa.array([], pa.large_string()).dictionary_encode()
-            codes = dictionary.indices.to_numpy(zero_copy_only=False).astype(np.int32) + np.int32(1)
-            texts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(codes))
-            train = np.repeat(~held, counts)
-            n = np.bincount(codes[train], minlength=len(dictionary.dictionary) + 1)
+            words = pa.chunked_array([w for *_, w in held_rows]).unify_dictionaries()
+            counts = np.concatenate([c for _, _, c, *_ in held_rows])
+            held = np.concatenate([h for _, h, *_ in held_rows])
+            dictionary = words.chunk(0).dictionary
+            codes = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in words.chunks]).astype(np.int32)
+            order = np.argsort(-np.bincount(codes, minlength=len(dictionary)), kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(1, len(order) + 1, dtype=np.int32)
+            codes = rank[codes]
+            n = np.bincount(codes[np.repeat(~held, counts)], minlength=len(order) + 1)
             n[0] = (~held).sum()
-            spelled = pa.concat_arrays([pa.array([END]), dictionary.dictionary.cast(pa.string())])
+            ends = np.cumsum(counts)
+            texts = pa.array([_planes(codes[e - c : e]) for c, e in zip(counts.tolist(), ends.tolist())], pa.binary())
+            spelled = pa.concat_arrays([pa.array([END]), dictionary.take(pa.array(order)).cast(pa.string())])
             empty = lambda kind, k: pa.nulls(k, kind)
             k, m = len(n), len(held)
-            names = ["chunk", "code", "word", "n", "id", "held", "codes"]
+            names = ["chunk", "code", "word", "n", "id", "held", "size", "codes"]
+            bytes_of = np.concatenate([b for *_, b, _ in held_rows])
             here = part + number
-            yield from pa.table([pa.array(np.full(k, here)), pa.array(np.arange(k), pa.int32()), spelled, pa.array(n, pa.int64()), empty(pa.int64(), k), empty(pa.bool_(), k), empty(pa.list_(pa.int32()), k)], names=names).to_batches(max_chunksize=1 << 16)
+            yield from pa.table([pa.array(np.full(k, here)), pa.array(np.arange(k), pa.int32()), spelled, pa.array(n, pa.int64()), empty(pa.int64(), k), empty(pa.bool_(), k), empty(pa.int64(), k), empty(pa.binary(), k)], names=names).to_batches(max_chunksize=1 << 16)
             ids = pa.chunked_array([i for i, *_ in held_rows]).combine_chunks()
-            yield from pa.table([pa.array(np.full(m, here)), empty(pa.int32(), m), empty(pa.string(), m), empty(pa.int64(), m), ids, pa.array(held), texts], names=names).to_batches(max_chunksize=1 << 12)
+            yield from pa.table([pa.array(np.full(m, here)), empty(pa.int32(), m), empty(pa.string(), m), empty(pa.int64(), m), ids, pa.array(held), pa.array(bytes_of), texts], names=names).to_batches(max_chunksize=1 << 12)
 
         for batch in batches:
             for piece in common.slices(batch, "text"):
                 words, row = common.words_of(piece.column("text"))
-                held_rows.append((piece.column("id"), piece.column("held").to_numpy(zero_copy_only=False).astype(bool), np.bincount(row, minlength=len(piece)), words))
-                size += words.nbytes
+                spelled = pc.binary_length(words).to_numpy(zero_copy_only=False)
+                coded_bytes = np.bincount(row, spelled + 1, len(piece)).astype(np.int64) + 1
+                held = piece.column("held").to_numpy(zero_copy_only=False).astype(bool)
+                held_rows.append((piece.column("id"), held, np.bincount(row, minlength=len(piece)), coded_bytes, words.dictionary_encode()))
+                size += piece.column("text").nbytes
                 if size >= CHUNK_BYTES:
                     yield from chunk()
                     held_rows, size, number = [], 0, number + 1
@@ -275,7 +296,8 @@ def word_scores(words: DataFrame, depth: int = DEPTH, task_words: int = TASK_WOR
 
     found = common.written(words.groupBy("part").applyInArrow(local, "part long, gram long, n double"), "ctw-grams")
     counts = common.written(found.groupBy("gram").agg(F.sum("n").alias("n")), "ctw-counts")
-    scores = common.written(gram_scores(counts, depth), "ctw-scores")
+    scores = gram_scores(counts, depth)
+    common.discard(counts)
     known = found.select("part", "gram").join(scores, "gram")
 
     def score(table: pa.Table, known: pa.Table) -> pa.Table:
@@ -285,7 +307,10 @@ def word_scores(words: DataFrame, depth: int = DEPTH, task_words: int = TASK_WOR
         logp = known.column("logp").to_numpy()[order][np.searchsorted(gram[order], keys)]
         return pa.table({"word": table.column("word"), "c": table.column("c"), "logp": np.bincount(word, logp, len(table))})
 
-    return words.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(score, "word string, c long, logp double")
+    out = words.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(score, "word string, c long, logp double")
+    out = common.written(out, "ctw-word-scores")
+    common.discard(found, scores)
+    return out
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, depth: int = DEPTH) -> DataFrame:
@@ -302,19 +327,21 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     table = common.written(coded(rows), "ctw-coded")
     dictionary, texts = table.where("word is not null"), table.where("word is null")
     words = common.written(dictionary.groupBy("word").agg(F.sum("n").alias("c")), "ctw-words")
+    common.release(docs.sparkSession)
     total = words.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     n_all, v = total[0] or 0, total[1]
     scores = word_scores(words, depth)
-    known = dictionary.select("chunk", "code", "word").join(scores, "word").select("chunk", "code", "c", "logp", F.octet_length("word").alias("size"))
+    known = dictionary.select("chunk", "code", "word").join(scores, "word").select("chunk", "code", "c", F.col("logp").cast("float").alias("logp"))
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
         code = known.column("code").to_numpy()
-        c, logp, size = (np.zeros(len(code)) for _ in range(3))
-        for out, name in ((c, "c"), (logp, "logp"), (size, "size")):
+        c, logp = np.zeros(len(code)), np.zeros(len(code))
+        for out, name in ((c, "c"), (logp, "logp")):
             out[code] = known.column(name).to_numpy()
-        lists = texts.column("codes").combine_chunks()
-        counts = lists.value_lengths().to_numpy()
-        flat, ends = lists.flatten().to_numpy(), np.cumsum(counts)
+        lists = [_codes(x.as_buffer()) for x in texts.column("codes")]
+        counts = np.array([len(x) for x in lists], np.int64)
+        flat, ends = np.concatenate(lists), np.cumsum(counts)
+        del lists
         base = np.log10((c + 1) / (n_all + v + 1))
 
         def per_text(values: np.ndarray) -> np.ndarray:
@@ -328,9 +355,9 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
         return pa.table({
             id_col: texts.column("id"), "held_out": texts.column("held"), "n_tokens": counts.astype(np.int64) + 1,
             "n_known": per_text((c > 0).astype(np.float64)).astype(np.int64), "train_tokens": np.full(len(counts), n_all),
-            "base_score": per_text(base), "score": total, "bits_per_byte": -total / math.log10(2) / per_text(size + 1),
+            "base_score": per_text(base), "score": total, "bits_per_byte": -total / math.log10(2) / texts.column("size").to_numpy(),
         })
 
     schema = f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    texts = texts.select(F.col("chunk").alias("of"), "id", "held", "codes")
+    texts = texts.select(F.col("chunk").alias("of"), "id", "held", "size", "codes")
     return texts.groupBy("of").cogroup(known.groupBy("chunk")).applyInArrow(score, schema)
