@@ -17,6 +17,8 @@ from tessaline.llm import common
 SEED = 42
 #: Shingles whose 64 bits are counted at once.
 BLOCK = 1 << 16
+#: Text bytes at once: words, their triples and hashes take some forty times as much.
+SLICE_BYTES = 1 << 20
 
 
 def _shingles(words: pa.Array, rows: np.ndarray, n: int, k: int) -> tuple[pa.Array, np.ndarray]:
@@ -68,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, "text"):
+            for part in common.slices(batch, "text", SLICE_BYTES):
                 fp = fingerprint_array(part.column("text"), k)
                 yield pa.record_batch([part.column("id"), pa.array(fp)], names=["id", "fp"])
 
@@ -94,7 +96,9 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     if radius % 2 or radius < 0:
         raise ValueError("radius must be even: balls of half the radius must meet")
     ball = F.array(*[F.lit(m).cast("long") for m in masks(radius // 2)])
-    near = fps.select("fp").distinct().select("fp", F.explode(F.transform(ball, lambda m: m.bitwiseXOR(F.col("fp")))).alias("word"))
+    # Each row becomes a ball: dealt over all partitions anew, as few small ones would be merged.
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = fps.select("fp").distinct().repartition(parts, "fp").select("fp", F.explode(F.transform(ball, lambda m: m.bitwiseXOR(F.col("fp")))).alias("word"))
     met = near.groupBy("word").agg(F.collect_list("fp").alias("all")).where(F.size("all") > 1)
     pairs = met.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a != b").distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
