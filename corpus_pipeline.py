@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.llm import common, cotrain, queries, simhash, tiling, winnow
+from tessaline.llm import common, cotrain, minhash, queries, tiling, winnow
 from tessaline.llm.packing import pack
 
 
@@ -29,9 +29,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document that names its component of near-duplicates: one of each."""
-    near = simhash.near_duplicates(docs)
-    return docs.join(near.where("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    """Keeps one row of each component of near copies (5-word shingles, similarity 0.8): the smallest id, nulls last."""
+    near = minhash.near_copies(docs)
+    first = near.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "own")).alias("first"))
+    first = first.select(F.coalesce(F.col("first.id").cast("string"), F.lit("")).alias("__id"), F.col("first.own").alias("__own"))
+    keys = {"__id": F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), "__own": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
+    # Copies under one id have one key: a single row of it stays.
+    return docs.withColumns(keys).join(first, ["__id", "__own"], "left_semi").dropDuplicates(["__id", "__own"]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

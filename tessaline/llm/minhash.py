@@ -1,0 +1,131 @@
+"""Near copies by similarity of word shingles: MinHash bands find pairs, the shingles themselves decide."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessaline.llm import common, simhash
+
+#: Words of a shingle and least similarity (shared share of all distinct shingles) of near copies.
+WORDS, LEAST = 5, 0.8
+#: A pair of similarity s shares no band with probability (1 - s**ROWS)**BANDS: 3e-6 at 0.8.
+BANDS, ROWS = 24, 4
+_RANDOM = np.random.default_rng(42)
+SALT = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+ODD = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, end to end, and n + 1 offsets."""
+    words, rows = common.words_of(texts)
+    joined, owner = simhash._shingles(words, rows, len(texts), k)
+    h = simhash._hashes(joined)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    if len(h):
+        keep = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]
+        h, owner = h[keep], owner[keep]
+    return h, common.bounds(owner, len(texts))
+
+
+def band_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Texts x BANDS: a key of each band's minima. Texts without shingles must not be among them."""
+    keys = np.zeros((len(at) - 1, BANDS), np.uint64)
+    for i in range(BANDS * ROWS):
+        low = np.minimum.reduceat((h ^ SALT[i]) * ODD[i], at[:-1])
+        mixed = (keys[:, i // ROWS] ^ low ^ np.uint64(i)) * ODD[-1 - i]
+        keys[:, i // ROWS] = mixed ^ (mixed >> np.uint64(29))
+    return keys
+
+
+def _sketches(rows: DataFrame, k: int) -> DataFrame:
+    """Rows (id, own, node, bands): node is the hash of the text's shingle set; no shingles, no bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, "text", simhash.SLICE_BYTES):
+                h, at = shingle_sets(part.column("text"), k)
+                raw = memoryview(h.tobytes())
+                node = np.array([xxhash.xxh64_intdigest(raw[8 * a : 8 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], np.uint64)
+                some = np.flatnonzero(np.diff(at))
+                keys = band_keys(h, np.append(at[some], len(h))) if len(some) else np.zeros((0, BANDS), np.uint64)
+                ends = np.concatenate([[0], np.cumsum(np.where(np.diff(at) > 0, BANDS, 0))]).astype(np.int32)
+                bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
+                yield pa.record_batch([part.column("id"), part.column("own"), pa.array(node.view(np.int64)), bands], names=["id", "own", "node", "bands"])
+
+    return rows.mapInArrow(run, "id long, own long, node long, bands array<long>")
+
+
+def _sets(rows: DataFrame, k: int) -> DataFrame:
+    """Rows (node, shingles) of rows (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, "text", simhash.SLICE_BYTES):
+                h, at = shingle_sets(part.column("text"), k)
+                raw = [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+                yield pa.record_batch([part.column("node"), pa.array(raw, pa.binary())], names=["node", "shingles"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, shingles binary")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets are at least so similar."""
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = 0
+                if min(len(x), len(y)) >= least * max(len(x), len(y)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.record_batch([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+
+    # Sets of too different sizes can't be alike and are not sent on.
+    size = F.octet_length
+    short = pairs.join(sets.select(F.col("node").alias("a"), size("shingles").alias("m")), "a").join(sets.select(F.col("node").alias("b"), size("shingles").alias("n")), "b")
+    short = short.where(F.least("m", "n") >= least * F.greatest("m", "n")).select("a", "b")
+    return short.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, least: float = LEAST) -> DataFrame:
+    """Rows (id, own, root) for every row of docs: own is xxhash64 of its text ("" of a null), root its component.
+
+    Texts are linked if at least the share `least` of all distinct k-word shingles of the two is in both; texts of
+    equal shingle sets (all blank and null texts among themselves) are one node. Every pair that shares a band is
+    compared by its shingles, or else lies in one component already: first each with the smallest of its band,
+    then all that this left apart. Repeated rows give repeated rows; an empty table gives none.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("own"), text.alias("text"))
+    prints = common.written(_sketches(rows, k), "near-prints")
+    bands = prints.select("node", F.explode("bands").alias("key")).distinct()
+    lead = bands.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = common.written(bands.join(lead, "key"), "near-met")
+    chosen = met.select("node").distinct().join(prints.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "own")).alias("first")), "node")
+    chosen = chosen.select("node", F.col("first.id").alias("__id"), F.col("first.own").alias("__own"))
+    texts = rows.join(chosen, F.col("id").eqNullSafe(F.col("__id")) & (F.col("own") == F.col("__own"))).select("node", "text").dropDuplicates(["node"])
+    sets = common.written(_sets(texts, k), "near-sets")
+    stars = common.written(met.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
+    edges = common.written(_alike(stars, sets, least), "near-edges")
+    roots = common.components(edges, "near-links")
+    rest = met.where("node != lead").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
+    apart = rest.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key")
+    rest = common.written(rest.join(apart, "key", "left_semi"), "near-rest")
+    one, other = rest.select("key", F.col("node").alias("a"), F.col("part").alias("p")), rest.select("key", F.col("node").alias("b"), F.col("part").alias("q"))
+    pairs = one.join(other, "key").where("a < b and p != q").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    more = common.written(_alike(pairs, sets, least), "near-more")
+    roots = common.components(edges.union(more), "near-links").withColumnRenamed("node", "of")
+    common.discard(met, sets, stars, rest)
+    return prints.join(roots, prints.node == roots.of, "left").select("id", "own", F.coalesce("root", "node").alias("root"))

@@ -94,6 +94,47 @@ def test_ball_links_lose_nothing(spark):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), 3)
 
 
+# --- near copies -------------------------------------------------------------------------------------------------
+
+
+def brute_kept(rows, k=5, least=0.8):
+    """Of rows (id, text), the smallest (id, text) of each component of similar shingle sets; nulls last."""
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append({" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    part = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                part = [part[b] if p == part[a] else p for p in part]
+    order = lambda r: (r[0] is None, r[0] or 0)
+    return sorted((min((r for r, p in zip(rows, part) if p == q), key=order) for q in set(part)), key=order)
+
+
+def test_near_copies_reach_their_similarity(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    texts = []
+    for n in (1, 4, 30, 60, 120, 120, 200, 200, 400, 400):
+        base = [f"w{x}" for x in rng.integers(0, 5000, n)]
+        texts.append(" ".join(base))
+        for changes in (1, 2, 3, 4, 5, 6, 8, 10):
+            copy = list(base)
+            for at in rng.integers(0, n, changes):
+                copy[at] = f"x{rng.integers(0, 5000)}"
+            texts.append(" ".join(copy))
+            base = copy if n == 120 else base  # chains: each step near, the ends far apart
+    texts += [None, "", "  ", texts[20], texts[20].upper()]
+    rows = [*enumerate(texts), (20, texts[20]), (20, texts[40]), (None, texts[50]), (None, "only a null id has this text here"), (None, "only a null id has this text here")]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, odd(spark, [t for _, t in rows], [i for i, _ in rows]), "").collect()]
+    want = brute_kept(rows)
+    assert 20 < len(want) < len(rows) - 20
+    assert sorted((r[0] is None, r[0] or 0) for r in got) == [(r[0] is None, r[0] or 0) for r in want]
+    assert corpus_pipeline.near_dedup(spark, odd(spark, []), "").count() == 0
+
+
 # --- packing -----------------------------------------------------------------------------------------------------
 
 
