@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ RATE, FRAME, HOP = 4000, 512, 256
 LOW, HIGH, FILTERS, SPAN = 55.0, 1800.0, 16, 16
 #: Edges between a filter's four values, and their two bits (neighbours differ in one).
 EDGES, GRAY = (-0.2, 0.0, 0.2), np.array([0, 1, 3, 2], np.uint32)
-#: Recordings of a block of queries.
-BLOCK = 2000
+#: Recordings of a block of queries, codes of a group whose transforms are in memory at once, rows aligned at once.
+BLOCK, GROUP_CODES, TOGETHER = 2000, 1 << 17, 32
 
 
 @lru_cache(maxsize=4)
@@ -135,38 +136,80 @@ def align(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
     return hi - lo, float(wrong) / (32 * (hi - lo))
 
 
+def _whole(least: int) -> int:
+    """The smallest 2**a or 3 * 2**a from 8 and `least` on: a length that transforms are fast at."""
+    power = 1 << max(3, (least - 1).bit_length())
+    return power * 3 // 4 if power * 3 // 4 >= max(8, least) else power
+
+
+def _spectra(rows: list[np.ndarray], n: int, kind: type) -> np.ndarray:
+    """Bins x rows x 32: transforms over n places of the codes' bits as -1 and 1, zero after the end."""
+    x = np.zeros((len(rows), 32, n), kind)
+    for out, r in zip(x, rows):
+        out[:, : len(r)] = 2.0 * ((r >> np.arange(32, dtype=np.uint32)[:, None]) & 1) - 1
+    return np.ascontiguousarray(np.fft.rfft(x, axis=2).transpose(2, 0, 1))
+
+
 class Queries:
-    """A block of query fingerprints with all their codes in order."""
+    """A block of query fingerprints, in groups of bounded size."""
 
     def __init__(self, ids: list[int], rows: list[np.ndarray]) -> None:
         self.ids, self.rows = ids, rows
-        code = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
-        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        place = np.concatenate([np.arange(len(r)) for r in rows]) if rows else np.zeros(0, int)
-        order = np.argsort(code, kind="stable")
-        self.code, self.owner, self.place = code[order], owner[order], place[order]
+        order = sorted(range(len(rows)), key=lambda q: len(rows[q]))
+        self.groups, self.kept = [], {}
+        for q in order:
+            if not self.groups or (len(self.groups[-1]) + 1) * len(rows[q]) > GROUP_CODES:
+                self.groups.append([])
+            self.groups[-1].append(q)
+
+    def _group(self, g: int, n: int, kind: type) -> np.ndarray:
+        if len(self.groups) > 1:
+            return _spectra([self.rows[q] for q in self.groups[g]], n, kind).conj()
+        if n not in self.kept:
+            self.kept = {n: _spectra([self.rows[q] for q in self.groups[g]], n, kind).conj()}
+        return self.kept[n]
 
     def matches(self, row: np.ndarray, overlap: int, error: float) -> list[tuple[float, int, int, int]]:
-        """(bit error, query id, offset, overlap) of the queries that a recording aligns with.
+        return self.matches_of([row], overlap, error)[0]
+
+    def matches_of(self, rows: list[np.ndarray], overlap: int, error: float) -> list[list[tuple[float, int, int, int]]]:
+        """For each of some equally long rows: (bit error, query id, offset, overlap) of the queries that it aligns with.
 
-        Shared codes vote for an offset; each query's fullest offset (the smallest of equals) is compared bit by bit.
+        Every offset with enough overlap is compared, all bits of it: equal less different bits of all offsets
+        are one correlation. Of a query's offsets the one with the least error counts, of equals the one with
+        the greatest overlap, then the smallest.
         """
-        left, right = np.searchsorted(self.code, row), np.searchsorted(self.code, row, side="right")
-        count = right - left
-        if not count.sum():
-            return []
-        index = np.repeat(left, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        shift = np.repeat(np.arange(len(row)), count) - self.place[index]
-        votes, n = np.unique(self.owner[index] * (1 << 32) + shift + (1 << 31), return_counts=True)
-        owner, shift = votes >> 32, (votes & ((1 << 32) - 1)) - (1 << 31)
-        order = np.lexsort((shift, -n, owner))
-        first = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
-        out = []
-        for k in first:
-            q = int(owner[k])
-            size, wrong = align(row, self.rows[q], int(shift[k]))
-            if size >= overlap and wrong <= error:
-                out.append((wrong, self.ids[q], int(shift[k]), size))
+        out: list[list[tuple[float, int, int, int]]] = [[] for _ in rows]
+        size = len(rows[0]) if rows else 0
+        for g, group in enumerate(self.groups if size else []):
+            length = np.array([len(self.rows[q]) for q in group])
+            n = _whole(size + int(length.max()) - max(overlap, 1))  # lags of less overlap may coincide
+            # Sums are whole numbers of at most 32 n: single precision holds those of short rows exactly enough to round.
+            kind = np.float32 if n <= 1024 else np.float64
+            shift = np.arange(-int(length.max()) + 1, size)
+            common_ = np.minimum(size, length[:, None] + shift) - np.maximum(0, shift)
+            shift, common_ = shift[(common_ >= overlap).any(0)], common_[:, (common_ >= overlap).any(0)]
+            if not len(shift):
+                continue
+            # Equal less different bits that the greatest error needs; more than there can be where the overlap is too short.
+            least = np.where(common_ >= max(overlap, 1), 32 * common_ * (1 - 2 * error) - 0.5, np.inf).astype(kind).T
+            place = shift % n
+            mine, theirs = _spectra(rows, n, kind), self._group(g, n, kind)
+            step = max(1, GROUP_CODES * 64 // (len(group) * n))
+            for start in range(0, len(rows), step):
+                some = mine[:, start : start + step] @ theirs.transpose(0, 2, 1)
+                agree = np.fft.irfft(some, n, axis=0)
+                hit = np.zeros(agree.shape[1:], bool)
+                for at, enough in zip(place, least):
+                    hit |= agree[at] >= enough
+                for r, q in zip(*np.nonzero(hit)):
+                    found = agree[place, r, q]
+                    at = np.flatnonzero(found >= least[:, q])
+                    both = common_[q, at]
+                    wrong = (32 * both - np.rint(found[at].astype(np.float64))) / 2 / (32 * both)
+                    k = np.lexsort((shift[at], -both, wrong))[0]
+                    if wrong[k] <= error:
+                        out[start + r].append((float(wrong[k]), self.ids[group[q]], int(shift[at[k]]), int(both[k])))
         return out
 
 
@@ -176,7 +219,7 @@ def search(recordings: DataFrame, id_col: str, column: str, every: int = 50, ove
     Recordings with the same codes form a class, named by its smallest id. Queries are the classes that hold
     an id divisible by `every`; each other class is aligned with all of them, a block of queries at a time.
     n_matches counts the query classes with `overlap` places or more in common and at most `error` of the bits
-    different; the best has the least error, then the smallest id. Nulls, silence and sounds shorter than a
+    different, at any offset; the best has the least error, then the smallest id. Nulls, silence and sounds shorter than a
     code have no codes, share a class and match nothing; null ids are in classes but name none unless alone;
     repeated rows are copies; an empty table gives no rows. Other columns are ignored.
     """
@@ -194,12 +237,16 @@ def search(recordings: DataFrame, id_col: str, column: str, every: int = 50, ove
             queries = Queries(*shared.value)
             for batch in batches:
                 out = []
-                for key, own, row in zip(*(batch.column(c) for c in ("key", "class_id", "codes"))):
-                    got = queries.matches(row.values.to_numpy().view(np.uint32), overlap, error) if len(row) else []
-                    got = [g for g in got if g[1] != own.as_py()]
+                keys, owners = batch.column("key").to_pylist(), batch.column("class_id").to_pylist()
+                codes_of = [row.values.to_numpy().view(np.uint32) for row in batch.column("codes")]
+                order = sorted(range(len(keys)), key=lambda k: len(codes_of[k]))
+                alike = [list(x) for _, x in groupby(order, key=lambda k: len(codes_of[k]))]
+                runs = [x[a : a + TOGETHER] for x in alike for a in range(0, len(x), TOGETHER)]
+                for k, got in ((k, got) for x in runs for k, got in zip(x, queries.matches_of([codes_of[k] for k in x], overlap, error))):
+                    got = [g for g in got if g[1] != owners[k]]
                     if got:
                         e, q, s, o = min(got)
-                        out.append((key.as_py(), len(got), {"error": e, "query": q, "shift": s, "overlap": o}))
+                        out.append((keys[k], len(got), {"error": e, "query": q, "shift": s, "overlap": o}))
                 if out:
                     a, b, c = zip(*out)
                     kind = pa.struct([("error", pa.float64()), ("query", pa.int64()), ("shift", pa.int64()), ("overlap", pa.int64())])

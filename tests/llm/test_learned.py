@@ -102,6 +102,44 @@ def test_sound(spark):
     assert chroma.search(table.limit(0), "vec_id", "embedding").count() == 0
 
 
+def brute_matches(row, queries, overlap, error):
+    out = []
+    for i, q in queries:
+        found = [(wrong, -size, shift) for shift in range(-len(q), len(row) + 1) for size, wrong in [chroma.align(row, q, shift)] if size >= overlap and wrong <= error]
+        if found:
+            wrong, size, shift = min(found)
+            out.append((wrong, i, shift, -size))
+    return sorted(out)
+
+
+def test_sound_is_compared_at_every_offset(spark):
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 1 << 32, 112, dtype=np.uint32)
+    b = a ^ np.uint32(1)  # no code in common
+    assert chroma.Queries([5], [a]).matches(b, 32, 0.25) == [(1 / 32, 5, 0, 112)]
+    b[3] = a[93]  # one equal code, where 22 places overlap
+    a[40] = b[40]
+    assert chroma.Queries([5], [a]).matches(b, 32, 0.25)[0][1:] == (5, 0, 112)
+    tunes = [rng.normal(size=n) for n in (64, 64, 30, 64, 40, 9, 2)]
+    tunes += [np.concatenate([tunes[0][20:], tunes[1][:20]]), np.tile(tunes[2][:6], 10), np.repeat(tunes[3][:8], 8), np.zeros(64)]
+    sounds = [chroma.codes(chroma.chroma(chroma.notes(t))) for t in tunes]
+    asked = [(i, c) for i, c in enumerate(sounds) if len(c)]
+    queries = chroma.Queries(*map(list, zip(*asked)))
+    for row in sounds:
+        for overlap, error in ((32, 0.25), (8, 0.3)):
+            got = sorted(queries.matches(row, overlap, error))
+            assert got == brute_matches(row, asked, overlap, error)
+    table = spark.createDataFrame([(50 * i if i < 6 else i, t.tolist()) for i, t in enumerate(tunes)], "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r for r in chroma.search(table, "vec_id", "embedding").collect()}
+    asked = [(50 * i, c) for i, c in enumerate(sounds) if i < 6 and len(c)]
+    for i, c in enumerate(sounds):
+        own = 50 * i if i < 6 else i
+        want = [w for w in brute_matches(c, asked, 32, 0.25) if w[1] != own]
+        assert found[own]["n_matches"] == len(want)
+        if want:
+            assert tuple(found[own][f"best_{x}"] for x in ("query", "offset", "overlap")) == min(want)[1:]
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as c
 
