@@ -350,6 +350,13 @@ def value_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return store.chunks(d, "payload", 1000).select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), codec.as_text(F.col("chunk")).alias("chunk"))
 
 
+@query("SELECT doc_id, CAST(i AS BIGINT) AS chunk_no, substr(hex(encode(text)), CAST(i * 2000 + 1 AS BIGINT), 2000) AS chunk FROM documents, generate_series(0, greatest(CAST(ceil(octet_length(encode(text)) / 1000.0) AS BIGINT) - 1, 0)) AS g(i)")
+def value_chunks_hex(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks of every document, as hex: a chunk may end within a letter."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("payload"))
+    return store.chunks(d, "payload", 1000).select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.hex("chunk").alias("chunk"))
+
+
 # --- metrics and feed --------------------------------------------------------------------------------------------
 
 

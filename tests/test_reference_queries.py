@@ -48,3 +48,12 @@ def test_point_read_is_pushed_to_the_scan(spark, sf):
 
 def test_last_n_limits_groups_before_the_window(spark, sf):
     assert "WindowGroupLimit" in reference.inc_last_n(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_hold_every_document(spark, tmp_path):
+    texts = {1: "plain", 2: "é" * 900 + "日本", 3: "", 4: None, 5: "x" * 999 + "ü" + "y" * 1000}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = reference.queries()["value_chunks_hex"](spark, str(tmp_path)).orderBy("doc_id", "chunk_no").collect()
+    assert {r["doc_id"] for r in rows} == set(texts) and all(len(r["chunk"] or "") <= 2000 for r in rows)
+    for i, t in texts.items():
+        assert bytes.fromhex("".join(r["chunk"] or "" for r in rows if r["doc_id"] == i)) == (t or "").encode()
