@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -45,47 +46,69 @@ def _byte_of_char() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> tiktoken.Encoding:
-    """The encoder of a byte-level BPE file (JSON of the tokenizers library), ids in order of merging."""
+def encoder(path: str) -> tuple[tiktoken.Encoding, dict[str, int]]:
+    """The encoder of a byte-level BPE file (JSON of the tokenizers library), ids in order of merging, and the ids
+    of its added tokens, which the library looks for in texts before it encodes what lies between them."""
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        file = json.load(f)
+    model, added = file["model"], file.get("added_tokens") or []
+    if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens must be plain strings")
     byte_of, vocab = _byte_of_char(), model["vocab"]
     for rank, pair in enumerate(model["merges"]):
         pair = pair.split(" ") if isinstance(pair, str) else pair
         if vocab["".join(pair)] != 256 + rank:
             raise ValueError("ids aren't in order of merging")
     ranks = {bytes(byte_of[c] for c in piece): i for piece, i in vocab.items() if i < 256 + len(model["merges"])}
-    return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), {t["content"]: t["id"] for t in added}
 
 
 class Tokens:
     """Ids of many texts at once; the ids of each distinct stretch of white space and word are found once."""
 
     def __init__(self, path: str) -> None:
-        self.bpe = encoder(path)
+        self.bpe, self.added = encoder(path)
+        # Longest first, as the library prefers the longest of those that begin at one place.
+        names = sorted(self.added, key=len, reverse=True)
+        self.marker = re.compile(b"|".join(re.escape(x.encode()) for x in names)) if names else None
         self._forget()
 
     def _forget(self) -> None:
         self.known, self.first, self.size, self.flat = {}, array("q"), array("q"), array("I")
+        for name, number in self.added.items():
+            self._remember(name.encode(), [number])
+
+    def _remember(self, piece: bytes, ids: list[int]) -> None:
+        self.known[piece] = len(self.known)
+        self.first.append(len(self.flat))
+        self.size.append(len(ids))
+        self.flat.extend(ids)
 
     def _places(self, pieces: list[bytes]) -> np.ndarray:
         """For each piece its number among the remembered ones."""
         known, encode = self.known, self.bpe.encode_ordinary
         for piece in pieces:
             if piece not in known:
-                ids = encode(piece.decode())
-                known[piece] = len(known)
-                self.first.append(len(self.flat))
-                self.size.append(len(ids))
-                self.flat.extend(ids)
+                self._remember(piece, encode(piece.decode()))
         return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
+    def _marked(self, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Where added tokens begin and end in texts that lie end to end."""
+        raw, begin = memoryview(data), 0
+        while self.marker and (m := self.marker.search(raw, begin)):
+            row_end = at[np.searchsorted(at, m.start(), side="right")]
+            begin = m.end()
+            if m.end() <= row_end:
+                yield m.span()
+            else:  # it runs into the next text
+                begin = m.start() + 1
+
     def of(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by `end`, and the n + 1 offsets of the texts in them.
 
         A token never holds characters from both sides of the point before a run of white space, nor of
         that between an ASCII letter and an ASCII mark, and the pattern doesn't look back, so texts can be
-        cut there.
+        cut there. An added token found in a text, the leftmost first, is a piece of its own.
         """
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -98,6 +121,11 @@ class Tokens:
         if (kind == WIDE).any():
             for r in np.flatnonzero(pc.match_substring_regex(texts, WIDE_SPACE).to_numpy(zero_copy_only=False)):
                 cut[at[r] : at[r + 1]] = False
+        for a, b in self._marked(data, at):
+            cut[a + 1 : b] = False
+            cut[a] = True
+            if b < len(cut):
+                cut[b] = True
         cut[at[:-1][np.diff(at) > 0]] = True
         begins = np.flatnonzero(cut)
         offsets = np.append(begins, len(data))
@@ -152,13 +180,14 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     totals (one row for each partition) to global places and cuts at multiples of `window`, so only the last
     sequence needs padding. Columns: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with
     `keep_ids` ids (binary, little-endian unsigned 32 bits). A null or empty text is its end id alone; null and
-    repeated ids are packed as they come; an empty table gives no rows. Strings of special tokens are
-    ordinary text. Other columns of docs are ignored.
+    repeated ids are packed as they come; an empty table gives no rows. The string of a special token is that token, as
+    the library has it. Other columns of docs are ignored.
     """
     rows = common.written(tokenized(docs, path, id_col, text_col, end), "packing-ids")
     totals = rows.groupBy("part").agg(F.sum("n").alias("total"))
     shift = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("shift"))
-    placed = rows.join(F.broadcast(shift), "part").select("id", (F.col("shift") + F.col("before")).alias("place"), "n", "ids")
+    # One row for each task of the first pass. Written, its size is known: the planner broadcasts it up to its own limit.
+    placed = rows.join(common.written(shift, "packing-shifts"), "part").select("id", (F.col("shift") + F.col("before")).alias("place"), "n", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -138,13 +138,34 @@ def test_near_copies_reach_their_similarity(spark):
 # --- packing -----------------------------------------------------------------------------------------------------
 
 
+def test_ids_are_those_of_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, tokens = Tokenizer.from_file(path), packing.Tokens(path)
+    rng = np.random.default_rng(11)
+    mark = "<|endoftext|>"
+    parts = [mark, mark, "<|endo", "ftext|>", "|>", "<", " ", "  ", "\n", "a", "don't", "12", "é", "\u00a0", "日本", "!!", "word", " Word", "\t"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(3000)] + [f"a {mark} b", mark, mark + mark, f"x{mark}", "<|endo", "ftext|>", None]
+    ids, at = tokens.of(pa.array(texts, pa.large_string()), 0)
+    assert all(ids[a:b].tolist() == [*t.encode(x or "", add_special_tokens=False).ids, 0] for x, a, b in zip(texts, at, at[1:]))
+
+
+def test_packing_repeated_ids(spark):
+    import public_tokenizers
+
+    rows = packing.pack(odd(spark, ["one two three", "one two three", "four", None], [1, 1, 1, None]), public_tokenizers.path("byte_bpe_50k.json"), window=4).collect()
+    assert sum(r["length"] for r in rows if r["doc_id"] == 1) == 10 and sum(r["length"] for r in rows if r["doc_id"] is None) == 1
+    assert sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)[0][:2] == (0, 0) and sum(r["length"] for r in rows) == 11
+
+
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     ids = [*range(len(TEXTS) - 1), None]
     want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in zip(ids, TEXTS)}
     rows = packing.pack(odd(spark, TEXTS, ids), path, window=64, keep_ids=True).collect()
