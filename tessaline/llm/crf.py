@@ -104,16 +104,16 @@ class Model:
             place = np.minimum(begin[group][:, None] + np.arange(t), len(emissions) - 1)
             inside = np.arange(t) < size[:, None]
             best = self.first + emissions[place[:, 0]]
-            back = np.zeros((len(group), t, len(self.labels)), np.int64)
+            back = np.zeros((t, len(group), len(self.labels)), np.int8)
             for i in range(1, t):
                 paths = best[:, :, None] + self.pairs
-                back[:, i] = np.where(inside[:, i, None], paths.argmax(1), np.arange(len(self.labels)))
+                back[i] = np.where(inside[:, i, None], paths.argmax(1), np.arange(len(self.labels)))
                 best = np.where(inside[:, i, None], paths.max(1) + emissions[place[:, i]], best)
             label = best.argmax(1)
             for i in range(t - 1, -1, -1):
                 here = inside[:, i]
                 out[place[here, i]] = label[here]
-                label = back[np.arange(len(group)), i, label]
+                label = back[i, np.arange(len(group)), label]
         return out
 
 

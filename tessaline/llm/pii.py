@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +26,16 @@ PATTERNS = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
+PHONE = re.compile(PATTERNS["phone"])
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = ".,;:!?\"'<>"
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
-#: What may be part of personal data: words with digits or an at sign, bracketed at and dot, and their neighbours.
-SPECIAL = re.compile(r"[0-9@]|[\[({](at|dot)[\])}]", re.IGNORECASE)
+#: Distances of the neighbours whose features a word has, and words that a worker remembers before it starts anew.
+SIDES, REMEMBERED = (-2, -1, 1, 2), 1 << 19
+#: A word of letters, at most the first a capital.
+PLAIN = re.compile(r"([^\W\d_a-zß-öø-ÿ]?)([a-zß-öø-ÿ]+)")
+#: Without any of these a text has nothing that `_plausible` lets through.
+SIGNS = r"[0-9@]|(?i:[\[({]at[\])}])"
 #: Rows of the labelled table that training takes at most.
 MOST_LABELLED = 5000
 
@@ -42,39 +48,50 @@ def _luhn(digits: str) -> bool:
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(c), 10)) for c in even)) % 10 == 0
 
 
+def _at_most_255(number: str) -> bool:
+    return len(number.lstrip("0")) <= 3 and int(number.lstrip("0") or "0") <= 255
+
+
 def _holds(kind: str, found: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(int(x) <= 255 for x in found.split("."))
+        return all(map(_at_most_255, found.split(".")))
     digits = re.sub(r"[^0-9]", "", found)
     if kind == "card":
         return 16 <= len(digits) <= 19 and _luhn(digits)
     return 8 <= len(digits) <= 15
 
 
-def _emails(text: str) -> Iterator[tuple[int, int]]:
-    """The pattern's matches, looked for at the at signs only: a match begins where the run of its first part does."""
-    done, at = 0, text.find("@")
-    local, domain = re.compile(r"[A-Za-z0-9._%+-]"), re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-    while at >= 0:
-        start = at
-        while start > done and local.match(text[start - 1]):
-            start -= 1
-        m = domain.match(text, at) if start < at else None
-        if m:
-            yield start, m.end()
-            done = m.end()
-        at = text.find("@", max(at + 1, done))
+#: The same matches in time linear in the text: each run of letters that a match can begin in is read once.
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)?+")
+DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+
+
+def _matches(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    """The spans that the kind's pattern finds from left to right.
+
+    email: a match begins where a run of its first part does, at the first run that an address follows.
+    ip: of a run of numbers between dots every four in turn. The other two begin once for each run.
+    """
+    if kind == "email":
+        yield from (m.span() for m in LOCAL.finditer(text) if m[1]) if "@" in text else ()
+    elif kind == "ip":
+        for m in DOTTED.finditer(text):
+            at = m.start()
+            numbers = m[0].split(".") if "." in m[0] else ()
+            for k in range(0, len(numbers) - 3, 4):
+                size = sum(map(len, numbers[k : k + 4])) + 3
+                yield at, at + size
+                at += size + 1
+    else:
+        yield from (m.span() for m in (CARD if kind == "card" else PHONE).finditer(text))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points by kind, then start."""
-    out = []
-    for kind in KINDS:
-        spans = _emails(text) if kind == "email" else (m.span() for m in COMPILED[kind].finditer(text))
-        out += [(kind, a, b) for a, b in spans if _holds(kind, text[a:b])]
-    return out
+    return [(kind, a, b) for kind in KINDS for a, b in _matches(kind, text) if _holds(kind, text[a:b])]
 
 
 # --- the field ---------------------------------------------------------------------------------------------------
@@ -112,7 +129,7 @@ def features(words: list[str]) -> list[list[str]]:
     out = []
     for i in range(len(words)):
         f = ["bias", *own[i]]
-        for k in (-2, -1, 1, 2):
+        for k in SIDES:
             f += [f"{k}{x}" for x in (own[i + k] if 0 <= i + k < len(words) else ["edge"])]
         f += ["near:" + x for j in range(max(0, i - 3), i) for x in own[j] if x.startswith("w:")]
         out.append(f)
@@ -183,6 +200,11 @@ def train(labelled: DataFrame, most: int = MOST_LABELLED) -> Model:
     model = Model(LABELS)
     if rows:
         model.fit([features(r["words"]) for r in rows], [r["labels"] for r in rows])
+    return ruled(model)
+
+
+def ruled(model: Model) -> Model:
+    """The model without paths on which a span goes on that didn't begin."""
     for i, a in enumerate(LABELS):
         for j, b in enumerate(LABELS):
             if b[0] == "I" and a[1:] != b[1:]:
@@ -192,49 +214,78 @@ def train(labelled: DataFrame, most: int = MOST_LABELLED) -> Model:
     return model
 
 
-def added_spans(model: Model, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """Spans that the field marks in each text.
+class Scorer:
+    """Emissions of all words of texts: what a word adds at each distance is found once for each kind of word.
 
-    Words that are neither special nor next to a special word are outside; so the best path goes through
-    outside there, and each stretch between two such words is decoded by itself, all in one batch.
+    A word's features are its own and its neighbours', so a score is a sum of vectors of the words around. Plain
+    words (letters, at most the first a capital) are of one kind if their features that the model knows are equal.
     """
-    out: list[list] = [[] for _ in texts]
-    stretches, owners, feats = [], [], []
-    for t, text in enumerate(texts):
-        spans = [m.span() for m in WORD.finditer(text)]
-        words = [text[a:b] for a, b in spans]
-        special = [i for i, w in enumerate(words) if SPECIAL.search(w)]
-        near = sorted({j for i in special for j in (i - 1, i, i + 1) if 0 <= j < len(words)})
-        i = 0
-        while i < len(near):
-            k = i
-            while k + 1 < len(near) and near[k + 1] == near[k] + 1:
-                k += 1
-            a, b = near[i], near[k] + 1
-            left, right = max(0, a - 3), min(len(words), b + 2)
-            feats += features(words[left:right])[a - left : b - left]
-            stretches.append(spans[a:b])
-            owners.append(t)
-            i = k + 1
-    if not stretches:
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.kinds, self.known, self.rows = model, {}, {}, []
+        e = model.emissions([["bias"], *([f"{k}edge"] for k in SIDES)])
+        self.bias, self.edges = e[0], dict(zip(SIDES, e[1:]))
+
+    def _kind(self, word: str) -> int:
+        core = word.strip(EDGES)
+        m = PLAIN.fullmatch(core)
+        name = "w:" + core.lower()[:12]
+        told = [f for k in ("", *SIDES, "near:") if (f := f"{k}{name}") in self.model.index] if m else None
+        key = (bool(m[1]), min(len(m[2]), 5), min(len(core), 24) // 4, word[-1:] in EDGES, *told) if m else word
+        if key not in self.kinds:
+            own = _own(word)
+            self.kinds[key] = len(self.rows)
+            self.rows.append(self.model.emissions([own, *([f"{k}{x}" for x in own] for k in SIDES), [f"near:{x}" for x in own if x.startswith("w:")]]))
+        return self.kinds[key]
+
+    def emissions(self, texts: list[list[str]]) -> np.ndarray:
+        """Scores (words x labels) of texts' words, one text after the other."""
+        if len(self.known) > REMEMBERED:
+            self.kinds, self.known, self.rows = {}, {}, []
+        words = [w for t in texts for w in t]
+        for w in set(words):
+            if w not in self.known:
+                self.known[w] = self._kind(w)
+        if not words:
+            return np.zeros((0, len(self.model.labels)))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        table = np.stack(self.rows, axis=1)
+        length = np.array([len(t) for t in texts])
+        place = np.arange(len(words)) - np.repeat(np.cumsum(length) - length, length)
+        left = np.repeat(length, length) - 1 - place
+        out = table[0][at] + self.bias
+        for i, k in enumerate(SIDES, 1):
+            inside = np.flatnonzero(place >= -k if k < 0 else left >= k)
+            add = np.tile(self.edges[k], (len(words), 1))
+            add[inside] = table[i][at[inside + k]]
+            out += add
+        for k in (1, 2, 3):
+            inside = np.flatnonzero(place >= k)
+            out[inside] += table[-1][at[inside - k]]
         return out
-    outside = model.labels.index("O")
-    e = model.emissions(feats)
-    length = np.array([len(s) for s in stretches])
-    begin = np.cumsum(length) - length
-    # the word before a stretch is outside: its label's pair takes the place of the first label's score
-    e[begin] += model.pairs[outside] - model.first
+
+
+def added_spans(model: Model, texts: list[str], scorer: Scorer | None = None) -> list[list[tuple[str, int, int]]]:
+    """Spans on the best path of each text, over all of its words, in their order."""
+    spans = [[m.span() for m in WORD.finditer(text)] for text in texts]
+    length = np.array([len(s) for s in spans], np.int64)
+    e = (scorer or Scorer(model)).emissions([[text[a:b] for a, b in s] for text, s in zip(texts, spans)])
     best = model.decode(e, length)
-    for t, spans, b in zip(owners, stretches, begin):
-        now = None
-        for (s, f), y in zip([*spans, (0, 0)], [*(model.labels[x] for x in best[b : b + len(spans)]), "O"]):
+    begin = np.cumsum(length) - length
+    out: list[list] = [[] for _ in texts]
+    outside = model.labels.index("O")
+    for t in np.unique(np.repeat(np.arange(len(texts)), length)[best != outside]).tolist():
+        now, labels = None, best[begin[t] : begin[t] + length[t]]
+        inside = np.flatnonzero(labels != outside)
+        for i in np.unique(np.concatenate([inside, inside + 1])).tolist():
+            y = model.labels[labels[i]] if i < length[t] else "O"
             if now and y != "I-" + now[0]:
                 out[t].append(_trimmed(texts[t], *now))
                 now = None
             if y[0] == "B":
-                now = (y[2:], s, f)
+                now = (y[2:], *spans[t][i])
             elif y[0] == "I" and now:
-                now = (now[0], now[1], f)
+                now = (now[0], now[1], spans[t][i][1])
     return out
 
 
@@ -255,21 +306,23 @@ def _plausible(kind: str, found: str) -> bool:
         return 7 <= len(digits) <= 15 and not re.search(r"[^0-9 ().+/-]", found)
     if kind == "ip":
         m = re.match(r"[0-9.]+", found)
-        return bool(m) and len(m[0].split(".")) == 4 and all(x and int(x) <= 255 for x in m[0].split("."))
+        return bool(m) and len(m[0].split(".")) == 4 and all(x and _at_most_255(x) for x in m[0].split("."))
     return bool(re.search(r"@|[\[({]at[\])}]", found, re.IGNORECASE)) and bool(re.search(r"[\w-] ?@ ?[\w-]|\w ?[\[({]at[\])}] ?\w", found, re.IGNORECASE))
 
 
-def spans_of(model: Model, texts: list[str]) -> list[tuple[list, list]]:
+def spans_of(model: Model, texts: list[str], scorer: Scorer | None = None) -> list[tuple[list, list]]:
     """(base spans, all spans) of texts; an added span never touches a base one or an earlier added one."""
     out = []
-    for text, extra in zip(texts, added_spans(model, texts)):
+    for text, extra in zip(texts, added_spans(model, texts, scorer)):
         base = base_spans(text)
-        taken = [(a, b) for _, a, b in base]
-        more = []
-        for kind, a, b in extra:
-            if a < b and all(b <= x or y <= a for x, y in taken) and _plausible(kind, text[a:b]):
+        taken = sorted((a, b) for _, a, b in base)
+        starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+        more, until = [], 0
+        for kind, a, b in extra:  # in the order of the text
+            k = bisect_left(starts, b)
+            if until <= a < b and (not k or ends[k - 1] <= a) and _plausible(kind, text[a:b]):
                 more.append((kind, a, b))
-                taken.append((a, b))
+                until = b
         out.append((base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1]))))
     return out
 
@@ -282,7 +335,7 @@ def find(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
     """Rows (id, n_email, n_ip, n_card, n_phone, base_sha256, spans, base_spans) of all texts.
 
     The patterns' matches stay; the field, trained on `labelled` (words, labels; else the small table above),
-    adds spans where none is. Counts are of all spans. A null or empty text has none; null and repeated ids
+    adds spans where none is. Counts are of all spans. Time is linear in the text, digit runs of any length included. A null or empty text has none; null and repeated ids
     are rows like others; an empty table gives no rows; an empty labelled table adds none. Other columns of
     docs are ignored.
     """
@@ -293,15 +346,16 @@ def find(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        scorer = Scorer(model)
         for batch in batches:
             for part in common.slices(batch, "text"):
                 text = pc.fill_null(part.column("text"), "")
-                some = pc.match_substring_regex(text, r"[0-9@]|(?i:[\[({]at[\])}])").to_numpy(zero_copy_only=False)
+                some = pc.match_substring_regex(text, SIGNS).to_numpy(zero_copy_only=False)
                 n = len(part)
                 counts = {k: np.zeros(n, np.int64) for k in KINDS}
                 sha, every, fixed = [nothing] * n, [""] * n, [""] * n
                 at = np.flatnonzero(some)
-                for r, (base, all_) in zip(at, spans_of(model, text.take(pa.array(at)).to_pylist())):
+                for r, (base, all_) in zip(at, spans_of(model, text.take(pa.array(at)).to_pylist(), scorer)):
                     for kind, *_ in all_:
                         counts[kind][r] += 1
                     fixed[r], every[r] = joined(base), joined(all_)

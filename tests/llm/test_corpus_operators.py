@@ -421,6 +421,169 @@ def test_pii(spark):
     assert pii.find(odd(spark, [])).count() == 0
 
 
+def slow_base(text):
+    """The base rules read literally, a character at a time; nothing of the module."""
+    digit, name, local = set("0123456789"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-"), None
+    local = name | set("._%+")
+
+    def run(at, letters):
+        while at < len(text) and text[at] in letters:
+            at += 1
+        return at
+
+    def email(i):
+        j = run(i, local)
+        if j == i or text[j : j + 1] != "@":
+            return None
+        k = run(j + 1, name)
+        end = None
+        while k > j + 1 and text[k : k + 1] == "." and run(k + 1, name) > k + 1:
+            k = end = run(k + 1, name)
+        return end
+
+    def ip(i):
+        j = run(i, digit)
+        for _ in range(3):
+            if j == i or text[j : j + 1] != "." or run(j + 1, digit) == j + 1:
+                return None
+            j = run(j + 1, digit)
+        return j
+
+    def card(i):
+        if text[i] not in digit:
+            return None
+        j = i + 1
+        while True:
+            if text[j : j + 1] in digit and j < len(text):
+                j += 1
+            elif text[j : j + 1] in (" ", "-") and text[j + 1 : j + 2] in digit and j + 1 < len(text):
+                j += 2
+            else:
+                return j if j > i + 1 else None
+
+    def phone(i):
+        if text[i] != "+" or text[i + 1 : i + 2] not in digit or i + 1 >= len(text):
+            return None
+        j = run(i + 2, digit | set(" ().-"))
+        while j > i + 3 and text[j - 1] not in digit:
+            j -= 1
+        return j if j > i + 3 else None
+
+    def luhn(x):
+        return sum(sum(map(int, str(int(c) * (1 + k % 2)))) for k, c in enumerate(reversed(x))) % 10 == 0
+
+    def good(kind, found):
+        only = [c for c in found if c in digit]
+        return {
+            "email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in found.split(".")),
+            "card": lambda: 16 <= len(only) <= 19 and luhn(only), "phone": lambda: 8 <= len(only) <= 15,
+        }[kind]()
+
+    out = []
+    for kind, match in (("email", email), ("ip", ip), ("card", card), ("phone", phone)):
+        i = 0
+        while i < len(text):
+            end = match(i)
+            if end is None:
+                i += 1
+                continue
+            if good(kind, text[i:end]):
+                out.append((kind, i, end))
+            i = end
+    return out
+
+
+def test_pii_base_spans_by_hand():
+    rng = np.random.default_rng(12)
+    parts = [*"0123456789", "10.0.0.1", ".", ".", "-", " ", "+", "@", "a", "b.c", "(", ")", "4111 1111 1111 1111", "+1 555 123 4567", "x@y.de", "é", "٣", "_", "%", "\n", "255", "256"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts, rng.integers(0, 25)))
+        assert pii.base_spans(text) == slow_base(text), text
+    rows = [w for w, _ in pii.seed_rows(200, seed=5)]
+    for w in rows:
+        assert pii.base_spans(" ".join(w)) == slow_base(" ".join(w))
+
+
+@pytest.mark.parametrize("text", [
+    "7" * 5000 + ".1.1.1", "7" * 1_000_000, "1." * 500_000, "1 " * 500_000, "a@" * 300_000, "a." * 500_000 + "@", "+1" * 400_000, "+1 " + "(" * 900_000, "0" * 5000 + "1.2.3.4 x", "word " * 150_000,
+    "10.0.0.1 " * 60_000,
+])
+def test_pii_long_texts(text):
+    import time
+
+    began = time.perf_counter()
+    base = pii.base_spans(text)
+    assert time.perf_counter() - began < 2
+    if len(text) < 6000:
+        assert ("ip" in {k for k, *_ in base}) == text.startswith("0")
+    model = _pii_model()
+    began = time.perf_counter()
+    (found, every), = pii.spans_of(model, [text])
+    assert found == base and set(base) <= set(every) and time.perf_counter() - began < 60
+
+
+def _pii_model(cache=[]):  # noqa: B006
+    if not cache:
+        rows = pii.seed_rows()
+        cache.append(pii.ruled(crf.Model(pii.LABELS).fit([pii.features(w) for w, _ in rows], [y for _, y in rows])))
+    return cache[0]
+
+
+def test_pii_added_spans_by_brute_force():
+    """The best of all label paths over all words of short texts, special or not."""
+    import itertools
+
+    model, rng, checked = _pii_model(), np.random.default_rng(13), 0
+    pool = ["call", "phone", "555-123-4567", "(555)", "123-4567", "john", "[at]", "example.org", "4111", "1111", "host", "10.0.0.1:80", "and", "2019", "bob(at)site.com", "x", "+49"]
+    for _ in range(60):
+        w = list(rng.choice(pool, 4))
+        e = model.emissions(pii.features(w))
+        paths = itertools.product(range(len(model.labels)), repeat=len(w))
+        best = max(paths, key=lambda p: model.first[p[0]] + sum(e[i, y] for i, y in enumerate(p)) + sum(model.pairs[a, b] for a, b in zip(p, p[1:])))
+        want, at, now = [], 0, None
+        for word, y in zip([*w, ""], [*(model.labels[y] for y in best), "O"]):
+            if now and y != f"I-{now[0]}":
+                want.append(now)
+                now = None
+            if y[0] == "B":
+                now = (y[2:], at, at + len(word))
+            elif now:
+                now = (now[0], now[1], at + len(word))
+            at += len(word) + 1
+        text = " ".join(w)
+        want = [pii._trimmed(text, *x) for x in want]
+        got = pii.added_spans(model, [text])[0]
+        assert got == want, text
+        checked += bool(want)
+    assert checked > 20
+
+
+#: Sentences written by hand: the text, and what is personal in it.
+BY_HAND = [
+    ("Please ring 0171 555 0182 before noon.", ["phone"]), ("My address is jane.doe [at] mailbox [dot] org, thanks", ["email"]), ("Reach us at (212) 555-0147 any day", ["phone"]),
+    ("Chapter 12 was written in 1987 by two people", []), ("The ratio rose from 3.5 to 4.25 within 10 days", []), ("server 192.168.7.14:8080 answered", ["ip"]), ("Visa 4111.1111.1111.1111 exp 04/27", ["card"]),
+    ("ISBN 978-3-16-148410-0 is out of print", []), ("on 2021-03-04 at 12:30 we met", []), ("call 1-800-555-0199 now!", ["phone"]), ("tom(at)fields.net wrote first", ["email"]), ("prices of $19.99 and 20% off", []),
+]
+
+
+def test_pii_scores_are_sums_over_words():
+    model, rng = _pii_model(), np.random.default_rng(14)
+    texts = [w for w, _ in pii.seed_rows(40, seed=3)] + [[], ["x"], ["Émile", "écrit,", "à", "Ça", "ÀB", "naïveté.", "call", "fax", "É"], list(rng.choice(["a", "call", "12", "visa."], 30))]
+    want = np.concatenate([model.emissions(pii.features(t)) for t in texts])
+    assert np.allclose(pii.Scorer(model).emissions(texts), want)
+
+
+def test_pii_on_sentences_by_hand():
+    found = [[k for k, *_ in every] for _, every in pii.spans_of(_pii_model(), [t for t, _ in BY_HAND])]
+    assert sum(f == want for f, (_, want) in zip(found, BY_HAND)) >= len(BY_HAND) - 2, found
+    assert not any(f for f, (_, want) in zip(found, BY_HAND) if not want)
+
+
+def test_pii_null_and_repeated_ids(spark):
+    rows = pii.find(odd(spark, ["a@b.de", "a@b.de", "10.0.0.1", None], [1, 1, None, None])).collect()
+    assert sorted((r["doc_id"] or 0, r["spans"]) for r in rows) == [(0, ""), (0, "ip:0:8"), (1, "email:0:6"), (1, "email:0:6")]
+
+
 def test_pii_field_on_held_out_rows():
     rows = pii.seed_rows()
     m = crf.Model(pii.LABELS).fit([pii.features(w) for w, _ in rows], [y for _, y in rows])
