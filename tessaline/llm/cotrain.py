@@ -9,21 +9,27 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaline.llm import common
 
 #: Slots that words are hashed to, and statistics of a text before them.
-WORD_SLOTS, STATS = 1 << 18, 12
+WORD_SLOTS, STATS = 1 << 18, 4
 #: Letters of the beginnings of words that count like words.
 BEGINNINGS = (4, 5)
 #: Value of a word that a text has; words of fewer training rows than LEAST_ROWS have no weight.
 WORD_VALUE, LEAST_ROWS = 0.3, 5
-#: Slots of the metadata view: sources, languages, lengths.
-META_SLOTS = 1 << 10
-#: Labelled rows and unlabelled rows that training takes at most, the smallest by hash of their id.
-MOST_LABELLED, POOL = 4000, 2000
+#: Slots of the metadata view: sources and languages, then lengths, then steps of each layout figure.
+META_SLOTS, NAMED_SLOTS, LENGTHS, STEPS = 1 << 10, 768, 40, 16
+#: Labelled rows that training takes at most (the smallest by hash of their id), and pseudo-labels that a view passes
+#: on in a round at most: the surest of all unlabelled documents.
+MOST_LABELLED, MOST_TAUGHT = 4000, 400
+#: Kinds of bytes that the layout is made of: capitals, small letters, digits, stops, shouts, signs, bars, line feeds, blanks.
+KINDS = np.zeros(256, np.uint8)
+for _k, _letters in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:", b"!?", b"*#$%&@~^=<>", b"|", b"\n", b" \t"), 1):
+    KINDS[np.frombuffer(_letters, np.uint8)] = _k
+N_KINDS = 10
 
 
 # --- views -------------------------------------------------------------------------------------------------------
@@ -69,59 +75,65 @@ def unit(rows: Rows) -> Rows:
     return Rows(rows.slot, np.where(words, (1 / norm).astype(np.float32)[rows.row], rows.value), rows.at)
 
 
-def text_view(texts: pa.Array) -> Rows:
-    """Statistics of each text and its distinct words and beginnings of words, hashed."""
-    n = len(texts)
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+def _hashed(texts: pa.Array, seed: int) -> np.ndarray:
+    """A slot for each text; equal ones are hashed once."""
+    coded = texts.cast(pa.large_binary()).dictionary_encode()
+    slots = np.fromiter((zlib.crc32(w, seed) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary)) % WORD_SLOTS
+    return slots[coded.indices.to_numpy(zero_copy_only=False)] if len(texts) else np.zeros(0, np.int64)
+
+
+def views_of(text: pa.Array, source: pa.Array, lang: pa.Array) -> tuple[Rows, Rows]:
+    """The two views of documents.
+
+    Text: a bias, how varied, repeated and long the words are, and the distinct words and beginnings of words,
+    hashed. Metadata: source, language, length, and the layout in steps (shares of kinds of letters, length of lines),
+    which tells nothing of the words.
+    """
+    n = len(text)
+    texts = pc.fill_null(text.cast(pa.large_string()), "")
     words, row = common.words_of(texts)
     coded = words.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    spelled = [coded.dictionary, *(pc.utf8_slice_codeunits(coded.dictionary, 0, k) for k in BEGINNINGS)]
-    slots = np.stack([np.fromiter((zlib.crc32(w, k) for w in x.cast(pa.large_binary()).to_pylist()), np.int64, len(x)) % WORD_SLOTS for k, x in enumerate(spelled)], axis=1)
+    spelled = coded.dictionary
+    size = len(spelled) + 1
+    slots = np.stack([_hashed(spelled, 0), *(_hashed(pc.utf8_slice_codeunits(spelled, 0, k), i) for i, k in enumerate(BEGINNINGS, 1))], axis=1)
     count = np.bincount(row, minlength=n)
-    repeats = np.bincount(row[1:], (row[1:] == row[:-1]) & (codes[1:] == codes[:-1]), n)
-    pairs = _distinct(row * (len(slots) + 1) + codes)
-    kinds = np.bincount(pairs // (len(slots) + 1), minlength=n)
-    owner, code = np.divmod(pairs, len(slots) + 1)
+    repeats = np.bincount(row[1:], (row[1:] == row[:-1]) & (codes[1:] == codes[:-1]), n) if len(row) else np.zeros(n)
+    owner, code = np.divmod(_distinct(row * size + codes), size)
+    kinds = np.bincount(owner, minlength=n)
     owner, slot = np.divmod(_distinct((owner[:, None] * WORD_SLOTS + slots[code]).ravel()), WORD_SLOTS)
-    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
-    at = at - at[0]
-    size = np.maximum(np.diff(at), 1)
-
-    def share(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(mask)])
-        return (total[at[1:]] - total[at[:-1]]) / size
-
-    upper, lower = share((data >= 65) & (data <= 90)), share((data >= 97) & (data <= 122))
     many = np.maximum(count, 1)
-    stats = np.stack([
-        np.ones(n), upper, lower, share(np.isin(data, np.frombuffer(b"!?", np.uint8))), share(np.isin(data, np.frombuffer(b"*#$%&@~^=<>", np.uint8))),
-        share(data == ord("|")), share((data >= 48) & (data <= 57)), share(np.isin(data, np.frombuffer(b".,;:", np.uint8))), kinds / many, repeats / many, np.log1p(count) / 10, np.minimum(size / many, 40) / 20,
-    ], axis=1)
+    stats = np.stack([np.ones(n), kinds / many, repeats / many, np.log1p(count) / 10], axis=1)
     found = np.bincount(owner, minlength=n)
     at = np.concatenate([[0], np.cumsum(found + STATS)])
-    slots = np.empty(at[-1], np.int64)
-    values = np.empty(at[-1])
+    all_slots, values = np.empty(at[-1], np.int64), np.empty(at[-1], np.float32)
     head = (at[:-1, None] + np.arange(STATS)).ravel()
-    slots[head], values[head] = np.tile(np.arange(STATS), n), stats.ravel()
+    all_slots[head], values[head] = np.tile(np.arange(STATS), n), stats.ravel()
     rest = np.ones(at[-1], bool)
     rest[head] = False
-    slots[rest], values[rest] = slot + STATS, WORD_VALUE
-    return Rows(slots, values, at)
+    all_slots[rest], values[rest] = slot + STATS, WORD_VALUE
+    return Rows(all_slots, values, at), _meta_view(texts, source, lang, count)
 
 
-def meta_view(source: pa.Array, lang: pa.Array, size: np.ndarray) -> Rows:
-    """One slot for each of: nothing, source, language, the power of two of the length."""
-    n = len(size)
-    columns = [np.zeros(n, np.int64)]
+def _meta_view(texts: pa.Array, source: pa.Array, lang: pa.Array, words: np.ndarray) -> Rows:
+    n = len(texts)
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    size = np.diff(at)
+    kind = np.bincount(np.repeat(np.arange(n) * N_KINDS, size) + KINDS[data], minlength=n * N_KINDS).reshape(n, N_KINDS) if n else np.zeros((0, N_KINDS))
+    named = []
     for name, values in (("source", source), ("lang", lang)):
         coded = pc.fill_null(values.cast(pa.large_string()), "\0").dictionary_encode()
-        slots = np.array([1 + zlib.crc32(f"{name}:{v}".encode()) % (META_SLOTS - 40) for v in coded.dictionary.to_pylist()], np.int64)
-        columns.append(slots[coded.indices.to_numpy(zero_copy_only=False)] if n else np.zeros(0, np.int64))
-    columns.append(META_SLOTS - 39 + np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
-    slot = np.stack(columns, axis=1).ravel()
-    return Rows(slot, np.ones(len(slot)), np.arange(0, 4 * n + 1, 4))
+        slots = np.array([1 + zlib.crc32(f"{name}:{v}".encode()) % (NAMED_SLOTS - 1) for v in coded.dictionary.to_pylist()], np.int64)
+        named.append(slots[coded.indices.to_numpy(zero_copy_only=False)] if n else np.zeros(0, np.int64))
+    bits = np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
+    share = kind[:, 1:] / np.maximum(size, 1)[:, None]
+    lines = size / (kind[:, 8] + 1)
+    figures = [*share.T, np.minimum(lines, 4096) / 4096, np.minimum(size / np.maximum(words, 1), 32) / 32]
+    # Steps of a figure's square root: fine where it is small.
+    steps = [np.minimum((np.sqrt(x) * STEPS).astype(np.int64), STEPS - 1) + NAMED_SLOTS + LENGTHS + STEPS * i for i, x in enumerate(figures)]
+    slot = np.stack([np.zeros(n, np.int64), *named, NAMED_SLOTS + np.minimum(bits, LENGTHS - 1), *steps], axis=1)
+    return Rows(slot.ravel(), np.ones(slot.size, np.float32), np.arange(0, slot.size + 1, slot.shape[1]))
 
 
 # --- models ------------------------------------------------------------------------------------------------------
@@ -183,76 +195,96 @@ class CoTrained:
     both: np.ndarray = field(default_factory=lambda: np.zeros(3))
     prior: float = 0.5
 
+    def logits(self, text: Rows, meta: Rows) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated log odds of each view."""
+        if self.text is None:
+            return np.full(len(text), np.nan), np.full(len(text), np.nan)
+        return self.of_text[0] + self.of_text[1] * margin(text, self.text), self.of_meta[0] + self.of_meta[1] * margin(meta, self.meta)
+
     def views(self, text: Rows, meta: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probability of each view, and of both."""
         if self.text is None:
             return tuple(np.full(len(text), self.prior) for _ in range(3))
-        a = self.of_text[0] + self.of_text[1] * margin(text, self.text)
-        b = self.of_meta[0] + self.of_meta[1] * margin(meta, self.meta)
+        a, b = self.logits(text, meta)
         return _sigmoid(a), _sigmoid(b), _sigmoid(self.both[0] + self.both[1] * a + self.both[2] * b)
 
+    def sure(self, confidence: float, lift: float) -> tuple[float, float]:
+        """Log odds from which a view is sure of class 1, and those of class 0.
+
+        A view must be `confidence` sure and `lift` times surer than the share of the class makes it: one that tells
+        the classes no better than chance teaches nothing, however rare a class is.
+        """
+        odds = np.log(max(self.prior, 1e-9) / max(1 - self.prior, 1e-9))
+        least = np.log(confidence / (1 - confidence))
+        return max(least, odds + np.log(lift)), max(least, -odds + np.log(lift))
 
-def cotrain(text: Rows, meta: Rows, y: np.ndarray, labelled: np.ndarray, fold: np.ndarray, rounds: int = 3, step: float = 0.1, sure: float = 0.95) -> CoTrained:
-    """Trains both views on labelled rows; each round every view teaches the other its surest unlabelled rows.
 
-    fold: rows kept for calibration, a part of the labelled ones. step: share of the pool that a view passes
-    on in a round, as many of each class as the labels have of it, at a calibrated probability of `sure`.
+def fitted(text: Rows, meta: Rows, y: np.ndarray, fold: np.ndarray, given: tuple[np.ndarray, np.ndarray]) -> CoTrained:
+    """Fits both views, each on its own labels `given` (-1: none).
+
+    y: the true labels (-1: none). fold: 0 calibrates the views and tells how sure they are, 1 fits their combination;
+    neither is trained on.
     """
-    train, check = labelled & ~fold, labelled & fold
-    if min((y[train] == 0).sum(), (y[train] == 1).sum(), (y[check] == 0).sum(), (y[check] == 1).sum()) == 0:
-        known = y[labelled]
-        return CoTrained(prior=float(known.mean()) if len(known) else 0.5)
-    views, sizes = (text, meta), (STATS + WORD_SLOTS, META_SLOTS)
-    given = [np.where(train, y, -1) for _ in views]
-    pool = ~labelled
-    ratio = y[train].mean()
-    for turn in range(rounds + 1):
-        models, maps, logits = [], [], []
-        for rows, slots, labels in zip(views, sizes, given):
-            at = np.flatnonzero(labels >= 0)
-            w = logistic(rows.take(at), labels[at], slots, STATS if slots > META_SLOTS else META_SLOTS)
-            m = margin(rows, w)
-            c = calibration(m[check][:, None], y[check])
-            models.append(w)
-            maps.append(c)
-            logits.append(c[0] + c[1] * m)
-        if turn == rounds:
-            break
-        for k in (0, 1):
-            p, other = _sigmoid(logits[k]), given[1 - k]
-            for label, confidence, share in ((1, p, ratio), (0, 1 - p, 1 - ratio)):
-                free = np.flatnonzero(pool & (other < 0) & (confidence >= sure))
-                most = int(np.ceil(step * pool.sum() * share))
-                other[free[np.argsort(-confidence[free], kind="stable")[:most]]] = label
-    both = calibration(np.column_stack([x[check] for x in logits]), y[check])
-    return CoTrained(*models, *maps, both, float(ratio))
+    known, first, second = y >= 0, (y >= 0) & (fold == 0), (y >= 0) & (fold == 1)
+    train = known & (fold > 1)
+    if min((y[part] == label).sum() for part in (train, first, second) for label in (0, 1)) == 0:
+        return CoTrained(prior=float(y[known].mean()) if known.any() else 0.5)
+    models, maps, logits = [], [], []
+    for rows, slots, sparse_from, labels in ((text, STATS + WORD_SLOTS, STATS, given[0]), (meta, META_SLOTS, META_SLOTS, given[1])):
+        at = np.flatnonzero(labels >= 0)
+        models.append(logistic(rows.take(at), labels[at], slots, sparse_from))
+        m = margin(rows, models[-1])
+        maps.append(calibration(m[first][:, None], y[first]))
+        logits.append(maps[-1][0] + maps[-1][1] * m)
+    both = calibration(np.column_stack([x[second] for x in logits]), y[second])
+    return CoTrained(*models, *maps, both, float(y[train].mean()))
+
+
+def own_labels(y: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What both views are trained on before any exchange."""
+    train = np.where((y >= 0) & (fold > 1), y, -1)
+    return train.copy(), train.copy()
 
 
 # --- the operator ------------------------------------------------------------------------------------------------
 
+TASKS = ("quality", "toxic")
+
 
 def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     have = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), have("source").alias("source"), have("lang").alias("lang"))
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), have("source").alias("source"), have("lang").alias("lang"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("own"))
 
 
 def _views(part: pa.RecordBatch) -> tuple[Rows, Rows]:
-    text = part.column("text")
-    size = pc.fill_null(pc.utf8_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return text_view(text), meta_view(part.column("source"), part.column("lang"), size)
+    return views_of(part.column("text"), part.column("source"), part.column("lang"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int, pool: int):
-    """The bounded training table on the driver: views, and quality and toxic (-1: unlabelled) of its rows."""
-    known = labels.where(F.col(id_col).isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull()))
-    known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    rows = _columns(docs, id_col, text_col)
-    ids = rows.select("id").where("id is not null").distinct()
-    first = lambda df, n: df.orderBy(F.xxhash64("id"), "id").limit(n)
-    some = first(known.join(ids, "id", "left_semi"), most)
-    free = first(ids.join(known, "id", "left_anti"), pool).select("id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
-    chosen = common.written(some.select("id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).union(free), "cotrain-chosen")
-    met = rows.join(F.broadcast(chosen), "id")  # most + pool rows at most
+def _of_task(task: int, text: Rows) -> Rows:
+    """quality: what a text is like, its words scaled; toxic: what it holds."""
+    return unit(text) if task == 0 else text
+
+
+@dataclass
+class Training:
+    """Training rows on the driver: both views, ids, and the labels of each task (-1: none)."""
+
+    text: Rows
+    meta: Rows
+    ids: np.ndarray
+    labels: list[np.ndarray]
+
+    def joined(self, other: Training) -> Training:
+        both = [Rows(*(np.concatenate([getattr(a, c), getattr(b, c)]) for c in ("slot", "value")), np.concatenate([a.at, b.at[1:] + a.at[-1]])) for a, b in ((self.text, other.text), (self.meta, other.meta))]
+        return Training(*both, np.concatenate([self.ids, other.ids]), [np.concatenate(x) for x in zip(self.labels, other.labels)])
+
+
+def _brought(rows: DataFrame, chosen: DataFrame, columns: list[str]) -> tuple[Training, list[np.ndarray]]:
+    """The views of the chosen rows (id, own, and int columns), each once: their number is bounded by parameters."""
+    met = rows.join(F.broadcast(chosen), ["id", "own"])
+    # Equal ids and texts may differ in source or lang: the smallest counts.
+    met = met.groupBy("id", "own").agg(F.min(F.struct("text", "source", "lang")).alias("d"), *(F.max(c).alias(c) for c in columns)).select("id", "own", "d.*", *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,45 +293,152 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most:
                 for view in _views(part):
                     at = pa.array(view.at.astype(np.int32))
                     lists += [pa.ListArray.from_arrays(at, pa.array(view.slot.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(view.value.astype(np.float32)))]
-                yield pa.record_batch([*(part.column(c) for c in ("id", "quality", "toxic")), *lists], names=["id", "quality", "toxic", "ts", "tv", "ms", "mv"])
+                yield pa.record_batch([*(part.column(c) for c in ("id", "own", *columns)), *lists], names=["id", "own", *columns, "ts", "tv", "ms", "mv"])
 
-    out = met.mapInArrow(run, "id long, quality int, toxic int, ts array<int>, tv array<float>, ms array<int>, mv array<float>")
-    # A repeated id gives one row: the text of the greatest slots.
-    table = out.dropDuplicates(["id"]).orderBy("id").toArrow().combine_chunks()
+    out = met.mapInArrow(run, "id long, own long, " + "".join(f"{c} int, " for c in columns) + "ts array<int>, tv array<float>, ms array<int>, mv array<float>")
+    table = out.orderBy("id", "own").toArrow().combine_chunks()
     views = []
     for s, v in (("ts", "tv"), ("ms", "mv")):
         lists = table.column(s).combine_chunks()
         at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
         views.append(Rows(lists.flatten().to_numpy(), table.column(v).combine_chunks().flatten().to_numpy(), at))
-    views[0] = views[0].common(STATS + WORD_SLOTS, STATS)
-    given = [pc.fill_null(table.column(c), -1).to_numpy() for c in ("quality", "toxic")]
-    return *views, *given, table.column("id").to_numpy()
+    ints = [pc.fill_null(table.column(c), -1).to_numpy() for c in columns]
+    return Training(*views, pc.fill_null(table.column("id"), 0).to_numpy(), []), ints
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED, pool: int = POOL, rounds: int = 3, good: float = 0.5, bad: float = 0.8) -> DataFrame:
+def labelled(rows: DataFrame, labels: DataFrame, id_col: str, most: int) -> Training:
+    """At most `most` labelled rows, the smallest by hash of their id; of a repeated id the text of the smallest hash."""
+    known = labels.where(F.col(id_col).isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull()))
+    known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
+    ids = rows.where("id is not null").groupBy("id").agg(F.min("own").alias("own"))
+    chosen = common.written(ids.join(known, "id").orderBy(F.xxhash64("id"), "id").limit(most), "cotrain-labelled")
+    out, ints = _brought(rows, chosen, list(TASKS))
+    out.text = out.text.common(STATS + WORD_SLOTS, STATS)
+    out.labels = ints
+    return out
+
+
+def taught(rows: DataFrame, known: DataFrame, models: list[CoTrained], most: int, confidence: float, lift: float) -> DataFrame:
+    """Rows (id, own, and what each view is to learn: to_text_quality, ... of 0 or 1): the surest of all unlabelled rows.
+
+    Every unlabelled row is scored by both views; of each task, view and class the `most` surest are taken, as many of
+    each class as the labels have of it. Ties go by id and text.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                text, meta = _views(part)
+                ids, own = part.column("id"), part.column("own")
+                for task, model in enumerate(models):
+                    if model.text is None:
+                        continue
+                    bounds = model.sure(confidence, lift)
+                    for view, x in enumerate(model.logits(_of_task(task, text), meta)):
+                        for label, odds, least in ((1, x, bounds[0]), (0, -x, bounds[1])):
+                            at = np.flatnonzero(odds >= least)
+                            if len(at):
+                                kind = np.full(len(at), (task * 2 + view) * 2 + label)
+                                yield pa.record_batch([ids.take(pa.array(at)), own.take(pa.array(at)), pa.array(kind), pa.array(odds[at])], names=["id", "own", "kind", "odds"])
+
+    free = rows.join(known, "id", "left_anti")
+    sure = free.mapInArrow(run, "id long, own long, kind long, odds double").dropDuplicates(["id", "own", "kind"])
+    share = F.lit(0.0)
+    for task, model in enumerate(models):
+        for view in (0, 1):
+            for label, part in ((1, model.prior), (0, 1 - model.prior)):
+                share = F.when(F.col("kind") == (task * 2 + view) * 2 + label, float(part)).otherwise(share)
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("odds"), "id", "own"))
+    best = sure.withColumn("place", place).where(F.col("place") <= most).where(F.col("place") <= F.ceil(F.lit(most) * share))
+    # View 0 is the text: it teaches the metadata view, and the other way round.
+    columns = [F.max(F.when(F.expr(f"kind div 2 = {2 * task + 1 - view}"), F.col("kind") % 2)).cast("int").alias(f"to_{name}_{TASKS[task]}") for task in (0, 1) for view, name in enumerate(("text", "meta"))]
+    return best.groupBy("id", "own").agg(*columns)
+
+
+def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int, most_taught: int, rounds: int, confidence: float = 0.95, lift: float = 10.0) -> list[CoTrained]:
+    """Co-trained models of quality and toxic.
+
+    Each round fits both views, scores all unlabelled documents with both, and adds the surest to what the other view is
+    trained on. A document may be taught once by each view; labels in the labels table are never overruled.
+    """
+    rows = _columns(docs, id_col, text_col)
+    training = labelled(rows, labels, id_col, most)
+    known = labels.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
+    known = common.written(known, "cotrain-known")
+    fold = np.array([zlib.crc32(str(i).encode()) % 5 for i in training.ids.tolist()], np.int64)
+    given = [own_labels(y, fold) for y in training.labels]
+    models = []
+    for turn in range(rounds + 1):
+        models = [fitted(_of_task(t, training.text), training.meta, y, fold, g) for t, (y, g) in enumerate(zip(training.labels, given))]
+        if turn == rounds or all(m.text is None for m in models):
+            break
+        columns = [f"to_{v}_{t}" for t in TASKS for v in ("text", "meta")]
+        chosen = common.written(taught(rows, known, models, most_taught, confidence, lift), f"cotrain-taught{turn}")
+        if chosen.isEmpty():
+            break
+        more, ints = _brought(rows, chosen, columns)
+        # What was taught in earlier rounds is chosen anew by better models.
+        n, k = int((fold >= 0).sum()), len(more.ids)
+        base = Training(training.text.take(np.arange(n)), training.meta.take(np.arange(n)), training.ids[:n], [y[:n] for y in training.labels])
+        more.labels = [np.full(k, -1, base.labels[0].dtype) for _ in TASKS]
+        training = base.joined(more)
+        fold = np.concatenate([fold[:n], np.full(k, -1)])
+        given = [tuple(np.concatenate([own, told]) for own, told in zip(own_labels(base.labels[t], fold[:n]), ints[2 * t : 2 * t + 2])) for t in (0, 1)]
+    if models[1].text is None and not (training.labels[1] >= 0).any():
+        models[1].prior = 0.0
+    return models
+
+
+def _scorer(models: list[CoTrained], good: float, bad: float):
+    def score(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        text, meta = _views(part)
+        a, b, q = models[0].views(_of_task(0, text), meta)
+        t = models[1].views(_of_task(1, text), meta)[2]
+        return a, b, q, t, (q >= good) & (t < bad)
+
+    return score
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED, most_taught: int = MOST_TAUGHT, rounds: int = 3, good: float = 0.5, bad: float = 0.8) -> DataFrame:
     """Rows (id, p_text, p_meta, quality, toxic, accepted) for every row of docs.
 
-    labels: rows (id, quality, toxic) of 0 or 1. The co-trained pair is fitted on at most `most` labelled and
-    `pool` unlabelled documents (the smallest by hash of their id; repeated labels: the worse), once for
-    quality and once for toxic; every document is scored. p_text and p_meta are the calibrated views of
+    labels: rows (id, quality, toxic) of 0 or 1. The co-trained pair is fitted on at most `most` labelled documents
+    (the smallest by hash of their id; repeated labels: the worse) and what the views teach each other of all the
+    others, once for quality and once for toxic; every document is scored. p_text and p_meta are the calibrated views of
     quality, quality and toxic the combined probabilities; accepted if quality is `good` or more and toxic below `bad`.
-    Where labels lack a class, all get the share of the other (0.5 without labels; without toxic labels toxic is 0). A null text is empty; a missing or null source or lang is a value of its own; null
-    and repeated ids are scored as they come; an empty table gives no rows.
+    Where labels lack a class, all get the share of the other (0.5 without labels; without toxic labels toxic is 0). A
+    null text is empty; a missing or null source or lang is a value of its own; null and repeated ids are scored as
+    they come; an empty table gives no rows.
     """
-    text, meta, quality, toxic, ids = sample(docs, labels, id_col, text_col, most, pool)
-    fold = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in ids.tolist()], bool)
-    models = [cotrain(view, meta, y, y >= 0, fold, rounds) for view, y in ((unit(text), quality), (text, toxic))]
-    if models[1].text is None and models[1].prior == 0.5 and not (toxic >= 0).any():
-        models[1].prior = 0.0
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, id_col, text_col, most, most_taught, rounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_quality, by_toxic = shared.value
+        score = _scorer(shared.value, good, bad)
         for batch in batches:
             for part in common.slices(batch, "text"):
-                text, meta = _views(part)
-                a, b, q = by_quality.views(unit(text), meta)
-                t = by_toxic.views(text, meta)[2]
-                yield pa.record_batch([part.column("id"), *map(pa.array, (a, b, q, t, (q >= good) & (t < bad)))], names=[id_col, "p_text", "p_meta", "quality", "toxic", "accepted"])
+                yield pa.record_batch([part.column("id"), *map(pa.array, score(part))], names=[id_col, "p_text", "p_meta", "quality", "toxic", "accepted"])
+
+    rows = _columns(docs, id_col, text_col).drop("own")
+    return rows.mapInArrow(run, f"{id_col} long, p_text double, p_meta double, quality double, toxic double, accepted boolean")
+
 
-    return _columns(docs, id_col, text_col).mapInArrow(run, f"{id_col} long, p_text double, p_meta double, quality double, toxic double, accepted boolean")
+def accepted_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: float = 0.5, bad: float = 0.8) -> DataFrame:
+    """The rows of docs that `classify` accepts, with all their columns: each row is judged by itself, whatever its id."""
+    shared = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, id_col, text_col, MOST_LABELLED, MOST_TAUGHT, 3))
+    names = docs.columns
+    at = {c: names.index(c) for c in ("source", "lang") if c in names}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(shared.value, good, bad)
+        for batch in batches:
+            text = batch.column(names.index(text_col)).cast(pa.string())
+            none = pa.nulls(len(batch), pa.string())
+            judged = pa.record_batch([text, *(batch.column(at[c]).cast(pa.string()) if c in at else none for c in ("source", "lang")), pa.array(np.arange(len(batch)))], names=["text", "source", "lang", "row"])
+            keep = np.zeros(len(batch), bool)
+            for part in common.slices(judged, "text"):
+                keep[part.column("row").to_numpy()] = score(part)[4]
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -136,7 +136,8 @@ class Seeds:
 def _blocks(bench: DataFrame, most: int) -> Iterator[tuple[list, list]]:
     ids, texts, size = [], [], 0
     for row in bench.toLocalIterator(prefetchPartitions=False):
-        ids, texts = [*ids, row[0]], [*texts, row[1] or ""]
+        ids.append(row[0])
+        texts.append(row[1] or "")
         size += 4 * len(texts[-1]) + 16
         if size >= most:
             yield ids, texts
@@ -145,6 +146,36 @@ def _blocks(bench: DataFrame, most: int) -> Iterator[tuple[list, list]]:
         yield ids, texts
 
 
+def _items(bench: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    return bench.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string"))
+
+
+def clean_rows(
+    docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    least: int = 5, threshold: float = 0.5, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of docs that cover no test item (as `contaminated` has it), with all their columns: each row is judged by
+    itself, whatever its id. Null and empty texts are clean; an empty benchmark leaves all rows."""
+    out, at = docs, docs.columns.index(text_col)
+    for ids, texts in _blocks(_items(bench, item_col, item_text_col), block_bytes):
+        block = docs.sparkSession.sparkContext.broadcast((ids, texts))
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            seeds = Seeds(*block.value, least)
+            for batch in batches:
+                keep = np.ones(len(batch), bool)
+                judged = pa.record_batch([batch.column(at).cast(pa.string()), pa.array(np.arange(len(batch)))], names=["text", "row"])
+                for part in common.slices(judged, "text"):
+                    rows = part.column("row").to_numpy()
+                    for r, i, shared in seeds.matches(part.column("text")):
+                        if keep[rows[r]] and sum(t[2] for t in tile(seeds.items[i], shared, least)) >= threshold * len(seeds.items[i]):
+                            keep[rows[r]] = False
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def contaminated(
     docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", least: int = 5, threshold: float = 0.5, block_bytes: int = BLOCK_BYTES,
@@ -158,7 +189,7 @@ def contaminated(
     reported as they come. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    items = bench.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string"))
+    items = _items(bench, item_col, item_text_col)
     schema = f"{id_col} long, {item_col} long, item_tokens long, covered long, tiles long, coverage double"
     spark, found = docs.sparkSession, []
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tessaline.llm")
 
@@ -68,17 +69,49 @@ def test_quality(spark):
     assert cotrain.classify(docs.limit(0), known).count() == 0
 
 
-def test_cotraining_teaches_the_other_view():
+def split_corpus(spark, n=1500, labelled=200):
+    """Documents whose words and whose source both tell the quality, each seldom seen; few labels."""
     rng = np.random.default_rng(4)
-    y = rng.integers(0, 2, 600).astype(float)
-    labelled = np.arange(600) < 60
-    at = np.arange(0, 1201, 2)
-    view = lambda p, slots: cotrain.Rows(np.stack([np.zeros(600, int), 1 + slots * (rng.random(600) < p) * y.astype(int)], axis=1).ravel(), np.ones(1200), at)
-    a, b = view(0.9, 1), view(0.9, 1)
-    model = cotrain.cotrain(a, b, np.where(labelled, y, -1), labelled, np.arange(600) % 3 == 0)
-    p, q, both = model.views(a, b)
-    truth = y == 1
-    assert np.mean((both > 0.5) == truth) >= max(np.mean((p > 0.5) == truth), np.mean((q > 0.5) == truth)) - 0.01
+    good, bad = [f"clear{i}" for i in range(120)], [f"spam{i}" for i in range(120)]
+    rows, labels = [], []
+    for i in range(n):
+        y = int(rng.random() < 0.5)
+        w = [*rng.choice(good if y else bad, 2), *(f"w{x}" for x in rng.integers(0, 300, 20))]
+        rows.append((i, " ".join(rng.permutation(w)), "en", f"{'good' if y else 'bad'}{rng.integers(0, 40)}"))
+        if i < labelled:
+            labels.append((i, y, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    return docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), [int(r[3][0] == "g") for r in rows]
+
+
+def test_the_exchange_pays(spark):
+    docs, labels, truth = split_corpus(spark)
+
+    def right(rounds):
+        got = {r["doc_id"]: r["quality"] for r in cotrain.classify(docs, labels, rounds=rounds).collect()}
+        return np.mean([(got[i] >= 0.5) == truth[i] for i in range(200, len(truth))])
+
+    alone, together = right(0), right(3)
+    assert together >= alone and together > 0.9, (alone, together)
+
+
+def test_a_view_at_chance_teaches_nothing():
+    m = cotrain.CoTrained(prior=0.05)
+    of_one, of_zero = m.sure(0.95, 10.0)
+    assert of_one == pytest.approx(np.log(19)) and of_zero == pytest.approx(np.log(19) + np.log(10))
+
+
+def test_training_is_the_same_on_repeated_ids(spark):
+    docs, labels, _ = split_corpus(spark, 300, 200)
+    more = docs.union(docs.limit(50)).union(docs.limit(20).withColumn("text", F.lit("other words")))
+    one, two = ({(r["doc_id"], r["quality"]) for r in cotrain.classify(more.repartition(k), labels, rounds=1).collect()} for k in (3, 5))
+    assert one == two
+
+
+def test_quality_of_very_long_texts(spark):
+    docs, labels, _ = split_corpus(spark, 200, 150)
+    long = spark.createDataFrame([(9000, "clear1 word " * 300_000, "en", "good1"), (9001, "x" * 2_000_000, None, None)], docs.schema)
+    assert cotrain.classify(docs.union(long), labels, rounds=1).where("doc_id >= 9000").count() == 2
 
 
 def test_sound(spark):
@@ -154,6 +187,83 @@ def test_pipeline_stages(spark, sf):
     assert packed == ids and 0 < len(ids) <= 200
 
 
+PASSAGE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in rows], DOCS).repartition(3)
+
+
+def outcome(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    spark.createDataFrame([(1, PASSAGE), (2, None), (3, "too short")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    good = [(i, f"a plain text number {i} that reads well and has words of its own w{i} v{i}.") for i in range(60)]
+    bad = [(100 + i, f"BUY!!! NOW$$$ {i}### CHEAP*** DEAL%%% X{i}!!!") for i in range(60)]
+    spark.createDataFrame([*((i, 1, 0) for i, _ in good), *((i, 0, 0) for i, _ in bad)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path), good, bad
+
+
+def test_decontamination_judges_rows(spark, folder):
+    import corpus_pipeline as c
+
+    rows = [(1, f"so {PASSAGE} it goes"), (1, "a clean text of its own words here"), (None, PASSAGE.upper()), (None, "clean too"), (2, None), (3, ""), (3, "")]
+    want = [r for r in rows if "alpha" not in (r[1] or "").lower()]
+    assert outcome(c.decontamination(spark, corpus(spark, rows), folder[0])) == sorted(want, key=repr)
+    assert c.decontamination(spark, corpus(spark, []), folder[0]).count() == 0
+
+
+def test_quality_judges_rows(spark, folder):
+    import corpus_pipeline as c
+
+    path, good, bad = folder
+    rows = [*good, *bad, (500, bad[0][1]), (500, good[3][1]), (None, bad[1][1]), (None, good[1][1]), (501, good[2][1]), (501, good[2][1]), (502, None), (503, "")]
+    docs = corpus(spark, rows)
+    verdict = {}
+    for r in cotrain.classify(docs.withColumn("doc_id", F.xxhash64("doc_id", "text")), spark.read.parquet(f"{path}/labels.parquet").limit(0)).collect():
+        verdict[r["doc_id"]] = r["accepted"]
+    assert all(verdict.values())
+    kept = outcome(c.quality(spark, docs, path))
+    want = [r for r in rows if r[1] and r[1].startswith("a plain")]
+    assert [r for r in kept if r[1]] == sorted(want, key=repr)
+    assert c.quality(spark, corpus(spark, []), path).count() == 0
+
+
+def test_near_dedup_keeps_one_row(spark, folder):
+    import corpus_pipeline as c
+
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, text), (None, text), (None, text), (4, text + " x"), (None, "lonely words"), (None, "lonely words"), (2, None), (3, "  ")]
+    assert outcome(c.near_dedup(spark, corpus(spark, rows), folder[0])) == sorted([(1, text), (None, "lonely words"), (2, None)], key=repr)
+    clash = corpus(spark, rows).withColumn("own", F.lit(3)).withColumn("node", F.lit("x")).withColumn("root", F.lit(None).cast("int"))
+    assert c.near_dedup(spark, clash, folder[0]).count() == 3
+
+
+def test_pipeline_is_its_stages_by_hand(spark, folder, tmp_path):
+    """A plain version of the whole: what is dropped and what is left of each text."""
+    import corpus_pipeline as c
+
+    path, good, bad = folder
+    line = "this very line is in many of the texts again"
+    base = " ".join(f"n{i}" for i in range(60))
+    rows = [*good, *bad, (200, f"{line}\nfirst of them all has more words"), (201, f"{line}\nsecond has other words than that"), (202, base), (203, base + " extra"), (204, f"see {PASSAGE} here"), (None, base)]
+    corpus(spark, rows).write.parquet(f"{path}/documents.parquet")
+    got = {}
+    for r in c.run(spark, path).collect():
+        got.setdefault(r["doc_id"], 0)
+        got[r["doc_id"]] += r["length"]
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    left = {**dict(good), 200: rows[120][1], 201: "second has other words than that", 202: base, None: ""}  # its one line went as a repeat
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in left.items()}
+
+
 def test_all_are_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
