@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.llm import common, cotrain, minhash, queries, tiling, winnow
+from tessaline.llm import common, cotrain, queries, simhash, tiling, winnow
 from tessaline.llm.packing import pack
 
 
@@ -17,35 +17,49 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the co-trained classifier rejects."""
-    out = cotrain.classify(docs, _table(spark, sf_dir, "labels")).where("not accepted").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti")
+    """Drops the rows that the co-trained classifier rejects.
+
+    Each row is judged by itself, so rows that share an id or have none don't touch each other. A null text is
+    judged as an empty one; an empty table stays empty; without labels all rows stay.
+    """
+    return cotrain.accepted_rows(docs, _table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes later repeated runs of lines out of the texts; all documents stay."""
+    """Takes later repeated runs of lines (five words or more) out of the texts; all rows stay.
+
+    Rows of one id and one text lose the same lines; null ids come last in the order of places; a null text stays null.
+    n_chars is that of the text left (0 of a null).
+    """
     kept = winnow.dedup_lines(docs).select(docs.columns)
     return kept.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each component of near copies (5-word shingles, similarity 0.8): the smallest id, nulls last."""
-    near = minhash.near_copies(docs)
+    """Keeps one row of each component of near copies (5-word shingles, similarity 0.8).
+
+    The row of the smallest id stays (null ids last), then of the smallest text hash, then the smallest by its columns
+    in order; so one row stays of rows that share an id and a text. All blank and null texts are one group.
+    """
+    near = simhash.near_copies(docs)
     first = near.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "own")).alias("first"))
     first = first.select(F.coalesce(F.col("first.id").cast("string"), F.lit("")).alias("__id"), F.col("first.own").alias("__own"))
+    first = common.written(first, "near-kept")
     keys = {"__id": F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), "__own": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
-    # Copies under one id have one key: a single row of it stays.
-    return docs.withColumns(keys).join(first, ["__id", "__own"], "left_semi").dropDuplicates(["__id", "__own"]).select(docs.columns)
+    kept = docs.withColumns(keys).join(first, ["__id", "__own"], "left_semi")
+    return kept.groupBy("__id", "__own").agg(F.min(F.struct(*(F.col(c) for c in docs.columns))).alias("row")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that cover a benchmark item."""
-    found = tiling.contaminated(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """Drops the rows that cover half of a benchmark item or more.
+
+    Each row is judged by itself, whatever its id; null and empty texts are clean; an empty benchmark leaves all rows.
+    """
+    return tiling.clean_rows(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boundary records of the packed sequences."""
+    """Boundary records of the packed sequences; null texts, null and repeated ids are packed as they come."""
     return pack(docs, queries.bpe_path())
 
 
