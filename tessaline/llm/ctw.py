@@ -1,7 +1,7 @@
 """Language-model scoring by context-tree weighting over binary-decomposed byte contexts.
 
 A text is coded as its lower-cased words, each as its bytes and a space, and one end. The context of a byte
-is the bytes before it in the same word, back to the space before the word and DEPTH at most; a byte is
+is the DEPTH bytes before it in the text, whatever words they belong to (before a text lie ends); a byte is
 eight binary decisions. Every node (context of a depth, decisions so far) has the counts of what followed
 it in the training texts, its Krichevsky-Trofimov block probability Pe and the weighted probability
 
@@ -9,21 +9,25 @@ it in the training texts, its Krichevsky-Trofimov block probability Pe and the w
 
 The probability of a decision mixes the KT estimates of all depths of its context: at each depth the share
 1/2 Pe / Pw of what is left stays there. Where a context was never seen in training, all that is left
-goes to the deepest one that was. Words end contexts, so each distinct word is scored once for the corpus.
+goes to the deepest one that was.
 
-Tables: chunks of texts with their own dictionaries (`coded`), distinct words, distinct grams (context and
-byte) - all sized by the vocabulary. Contexts of up to FIRST bytes are aggregated and joined by Spark level
-by level; the levels below are worked out in numpy for whole subtrees, of 2**24 grams each at most.
+A gram is a context and the byte after it. Chunks of texts count their distinct grams (and words, for the unigrams)
+in numpy; packed sorted arrays of them are dealt by key to tasks that add up the counts of all chunks. Contexts of up
+to FIRST bytes are aggregated and joined by Spark level by level; the levels below are worked out in numpy for whole
+subtrees, of 2**24 grams each at most. The scores of grams go back to the chunks that have them, which read their
+texts again.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +36,11 @@ from tessaline.llm import common
 
 #: Bytes of context at most, and those at which a subtree is handed to one task.
 DEPTH, FIRST = 6, 4
-#: Text bytes of a chunk, grams of a task, words of a task.
-CHUNK_BYTES, TASK_GRAMS, TASK_WORDS = 32 << 20, 400_000, 150_000
-END = ""
+#: Text bytes of a chunk, those whose grams are sorted or looked up at once, grams of a task.
+CHUNK_BYTES, SORT_BYTES, LOOK_BYTES, TASK_GRAMS = 64 << 20, 8 << 20, 1 << 20, 400_000
+SPACE, END = 32, 10
 LN2 = math.log(2)
+U = np.uint64
 
 
 # --- the tree, in numpy -----------------------------------------------------------------------------------------
@@ -117,17 +122,55 @@ def log10_bytes(keys: np.ndarray, levels: list[Level], above: dict[int, tuple[fl
     return out
 
 
-def grams(words: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each word and its closing space (of END one byte of its own): the key, and the word."""
-    raw = [w.encode() + b" " if w else b"\n" for w in words.to_pylist()]
-    data = np.frombuffer(b"".join(b" " * depth + r for r in raw), np.uint8).astype(np.uint64)
-    size = np.array([len(r) for r in raw], np.int64)
-    word = np.repeat(np.arange(len(raw)), size)
-    place = np.arange(len(word)) + depth * (word + 1)
-    key = np.zeros(len(word), np.uint64)
-    for k in range(1, depth + 1):
-        key = (key << np.uint64(8)) | data[place - k]
-    return (key << np.uint64(8)) | data[place], word
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The coded bytes of texts end to end, and the n + 1 offsets of the texts in them."""
+    n = len(texts)
+    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    blank = (data == SPACE) | ((data >= 9) & (data <= 13))
+    keep = ~blank
+    keep[1:] |= blank[1:] & ~blank[:-1]
+    begin = at[:-1][np.diff(at) > 0]
+    keep[begin] = ~blank[begin]
+    ends = np.concatenate([[0], np.cumsum(keep)])[at]
+    size = np.diff(ends)
+    out = np.where(blank, np.uint8(SPACE), data)[keep]
+    open_ = np.flatnonzero((size > 0) & (out[np.maximum(ends[1:] - 1, 0)] != SPACE if len(out) else False))
+    extra = np.ones(n, np.int64)
+    extra[open_] = 2
+    ends = np.concatenate([[0], np.cumsum(size + extra)])
+    whole = np.full(ends[-1], END, np.uint8)
+    row = np.repeat(np.cumsum(extra) - extra, size)
+    whole[np.arange(len(out)) + row] = out
+    whole[ends[1:][open_] - 2] = SPACE
+    return whole, ends
+
+
+def grams(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The gram of each coded byte: the bytes before it, the latest highest, then the byte."""
+    n, rows = len(data), np.arange(len(at) - 1)
+    place = np.arange(n) + np.repeat((rows + 1) * depth, np.diff(at))
+    padded = np.full(n + depth * len(rows), END, np.uint8)
+    padded[place] = data
+    key = np.zeros(len(padded) - depth, U) if len(padded) else np.zeros(0, U)
+    for k in [*range(1, depth + 1), 0]:
+        key <<= U(8)
+        key |= padded[depth - k : len(padded) - k]
+    return key[place - depth]
+
+
+def tokens(data: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct tokens of coded bytes (words with their space, ends), and the number of each token's."""
+    ends = np.flatnonzero((data == SPACE) | (data == END)) + 1
+    pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(data)])
+    found = pieces.dictionary_encode()
+    return found.dictionary, found.indices.to_numpy(zero_copy_only=False)
+
+
+def token_keys(distinct: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, distinct.to_pylist()), U, len(distinct)) >> U(1)
 
 
 # --- the same at shallow depths, in Spark ------------------------------------------------------------------------
@@ -220,144 +263,248 @@ def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
-# --- texts and words ---------------------------------------------------------------------------------------------
+# --- chunks ------------------------------------------------------------------------------------------------------
 
-#: codes: the low bytes of all codes, then the second, third and fourth bytes; frequent words have small codes.
-CODED = "chunk long, code int, word string, n long, id long, held boolean, size long, codes binary"
+#: kind: TEXTS (keys: a compressed batch of ids, folds and coded texts), GRAMS or WORDS (packed keys and their values).
+TEXTS, GRAMS, WORDS = range(3)
+PACKED = "chunk long, part long, kind int, keys binary, counts binary"
 
 
-def _planes(codes: np.ndarray) -> bytes:
-    return codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _pack(x: np.ndarray) -> bytes:
+    """Sorted keys as compressed byte planes of their differences."""
+    steps = np.diff(x, prepend=U(0))
+    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-def _codes(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _unpack(raw: pa.BinaryScalar) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw.as_buffer()), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(U).ravel(), dtype=U)
 
 
-def coded(rows: DataFrame) -> DataFrame:
-    """Rows CODED of (id, held, text): each chunk's dictionary with its counts in training texts, and its texts."""
+def _added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their total counts, and for each key its place among them."""
+    distinct, back = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(back, counts, len(distinct)).astype(np.int64), back
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId() << 24, 0
-        held_rows: list[tuple] = []
-        size = 0
-
-        def chunk() -> Iterator[pa.RecordBatch]:
-            words = pa.chunked_array([w for *_, w in held_rows]).unify_dictionaries()
-            counts = np.concatenate([c for _, _, c, *_ in held_rows])
-            held = np.concatenate([h for _, h, *_ in held_rows])
-            dictionary = words.chunk(0).dictionary
-            codes = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in words.chunks]).astype(np.int32)
-            order = np.argsort(-np.bincount(codes, minlength=len(dictionary)), kind="stable")
-            rank = np.empty(len(order), np.int32)
-            rank[order] = np.arange(1, len(order) + 1, dtype=np.int32)
-            codes = rank[codes]
-            n = np.bincount(codes[np.repeat(~held, counts)], minlength=len(order) + 1)
-            n[0] = (~held).sum()
-            ends = np.cumsum(counts)
-            texts = pa.array([_planes(codes[e - c : e]) for c, e in zip(counts.tolist(), ends.tolist())], pa.binary())
-            spelled = pa.concat_arrays([pa.array([END]), dictionary.take(pa.array(order)).cast(pa.string())])
-            empty = lambda kind, k: pa.nulls(k, kind)
-            k, m = len(n), len(held)
-            names = ["chunk", "code", "word", "n", "id", "held", "size", "codes"]
-            bytes_of = np.concatenate([b for *_, b, _ in held_rows])
-            here = part + number
-            yield from pa.table([pa.array(np.full(k, here)), pa.array(np.arange(k), pa.int32()), spelled, pa.array(n, pa.int64()), empty(pa.int64(), k), empty(pa.bool_(), k), empty(pa.int64(), k), empty(pa.binary(), k)], names=names).to_batches(max_chunksize=1 << 16)
-            ids = pa.chunked_array([i for i, *_ in held_rows]).combine_chunks()
-            yield from pa.table([pa.array(np.full(m, here)), empty(pa.int32(), m), empty(pa.string(), m), empty(pa.int64(), m), ids, pa.array(held), pa.array(bytes_of), texts], names=names).to_batches(max_chunksize=1 << 12)
 
+def _counted(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Distinct keys with the count of those not held, 255 at most, as their low byte; and what exceeds it, as pairs."""
+    keys = (keys << U(1)) | held
+    keys.sort()
+    gram = keys >> U(1)
+    start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
+    n = np.add.reduceat((keys & U(1)) == 0, start, dtype=np.int64) if len(gram) else start
+    over = np.flatnonzero(n > 255)
+    return (gram[start] << U(8)) | np.minimum(n, 255).astype(U), gram[start][over], n[over] - 255
+
+
+class Chunk:
+    """The distinct grams and words of some texts with their counts in training texts."""
+
+    def __init__(self, number: int, parts: int, depth: int) -> None:
+        self.number, self.parts, self.depth, self.size = number, parts, depth, 0
+        self.grams, self.words = [], []
+
+    def add(self, data: np.ndarray, at: np.ndarray, held: np.ndarray) -> None:
+        self.size += len(data)
+        size = np.diff(at)
+        first = 0
+        while first < len(held):  # whole texts of about SORT_BYTES
+            last = max(first + 1, int(np.searchsorted(at, at[first] + SORT_BYTES, side="right")) - 1)
+            piece, offsets = data[at[first] : at[last]], at[first : last + 1] - at[first]
+            self.grams.append(_counted(grams(piece, offsets, self.depth), np.repeat(held[first:last], size[first:last])))
+            first = last
+        distinct, code = tokens(data)
+        owner = np.repeat(held, np.add.reduceat((data == SPACE) | (data == END), at[:-1], dtype=np.int64))
+        self.words.append((token_keys(distinct), np.bincount(code, ~owner, len(distinct))))
+
+    def _parts(self, kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+        part = part_of(keys, self.parts)
+        order = np.argsort(part, kind="stable")  # keys stay sorted within a part
+        keys, counts, cut = keys[order], counts[order], np.searchsorted(part[order], np.arange(self.parts + 1))
+        for p, (a, b) in enumerate(zip(cut, cut[1:])):
+            if b > a:
+                yield self.number, p, kind, _pack(keys[a:b]), zlib.compress(counts[a:b].astype("<u4").tobytes(), 1)
+
+    def rows(self) -> Iterator[tuple]:
+        """Rows PACKED of the counts."""
+        packed = np.concatenate([g[0] for g in self.grams])
+        packed.sort()
+        gram = packed >> U(8)
+        start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        n = np.add.reduceat(packed & U(255), start).astype(np.int64)
+        gram = gram[start]
+        over, more, _ = _added_up(*(np.concatenate([g[k] for g in self.grams]) for k in (1, 2)))
+        n[np.searchsorted(gram, over)] += more
+        self.grams = []
+        yield from self._parts(GRAMS, gram, n)
+        keys, n, _ = _added_up(*(np.concatenate(x) for x in zip(*self.words)))
+        yield from self._parts(WORDS, keys, n)
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys ^ (keys >> U(13)) ^ (keys >> U(29))) % U(parts)).astype(np.int64)
+
+
+def chunked(rows: DataFrame, parts: int, depth: int, chunk_bytes: int) -> DataFrame:
+    """Rows PACKED of (id, held, text)."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["chunk", "part", "kind", "keys", "counts"]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 24
+        chunk = Chunk(first, parts, depth)
         for batch in batches:
             for piece in common.slices(batch, "text"):
-                words, row = common.words_of(piece.column("text"))
-                spelled = pc.binary_length(words).to_numpy(zero_copy_only=False)
-                coded_bytes = np.bincount(row, spelled + 1, len(piece)).astype(np.int64) + 1
+                data, at = coded(piece.column("text"))
                 held = piece.column("held").to_numpy(zero_copy_only=False).astype(bool)
-                held_rows.append((piece.column("id"), held, np.bincount(row, minlength=len(piece)), coded_bytes, words.dictionary_encode()))
-                size += piece.column("text").nbytes
-                if size >= CHUNK_BYTES:
-                    yield from chunk()
-                    held_rows, size, number = [], 0, number + 1
-        if held_rows:
-            yield from chunk()
-
-    return rows.mapInArrow(run, CODED)
-
-
-def word_scores(words: DataFrame, depth: int = DEPTH, task_words: int = TASK_WORDS) -> DataFrame:
-    """Rows (word, c, logp) of rows (word, c): log10 probability of each word given the counts of all."""
-    parts = max(1, -(-words.count() // task_words))
-    words = words.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)))
-
-    def local(table: pa.Table) -> pa.Table:
-        keys, word = grams(table.column("word"), depth)
-        distinct, back = np.unique(keys, return_inverse=True)
-        n = np.bincount(back, table.column("c").to_numpy()[word].astype(np.float64), len(distinct))
-        return pa.table({"part": np.full(len(distinct), table.column("part")[0].as_py()), "gram": distinct.view(np.int64), "n": n})
-
-    found = common.written(words.groupBy("part").applyInArrow(local, "part long, gram long, n double"), "ctw-grams")
-    counts = common.written(found.groupBy("gram").agg(F.sum("n").alias("n")), "ctw-counts")
-    scores = gram_scores(counts, depth)
-    common.discard(counts)
-    known = found.select("part", "gram").join(scores, "gram")
-
-    def score(table: pa.Table, known: pa.Table) -> pa.Table:
-        keys, word = grams(table.column("word"), depth)
-        gram = known.column("gram").to_numpy().view(np.uint64)
-        order = np.argsort(gram)
-        logp = known.column("logp").to_numpy()[order][np.searchsorted(gram[order], keys)]
-        return pa.table({"word": table.column("word"), "c": table.column("c"), "logp": np.bincount(word, logp, len(table))})
-
-    out = words.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(score, "word string, c long, logp double")
-    out = common.written(out, "ctw-word-scores")
-    common.discard(found, scores)
-    return out
-
-
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, depth: int = DEPTH) -> DataFrame:
+                chunk.add(data, at, held)
+                texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(piece), [None, pa.py_buffer(at), pa.py_buffer(data)])
+                yield out([(chunk.number, 0, TEXTS, _written(pa.record_batch([piece.column("id"), piece.column("held"), texts], names=["id", "held", "text"])), b"")])
+                if chunk.size >= chunk_bytes:
+                    for row in chunk.rows():
+                        yield out([row])
+                    chunk = Chunk(chunk.number + 1, parts, depth)
+        if chunk.size:
+            for row in chunk.rows():
+                yield out([row])
+
+    return rows.mapInArrow(run, PACKED)
+
+
+def _written(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+class Lookup:
+    """Values of distinct keys, found for many keys at once: open addressing in numpy."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray) -> None:
+        bits = max(4, int(1.6 * len(keys)).bit_length())
+        self.shift, self.mask, self.empty = U(64 - bits), (1 << bits) - 1, U(np.iinfo(U).max)
+        self.keys, self.place = np.full(1 << bits, self.empty), np.zeros(1 << bits, np.int32)
+        self.values = values
+        rest, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
+        while len(rest):
+            free = self.keys[at] == self.empty
+            self.keys[at[free]], self.place[at[free]] = keys[rest[free]], rest[free]
+            left = self.keys[at] != keys[rest]
+            rest, at = rest[left], (at[left] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> list[np.ndarray]:
+        """The values of keys, all of which must be there."""
+        at = self._home(keys)
+        rest = np.flatnonzero(self.keys[at] != keys)
+        while len(rest):
+            at[rest] = (at[rest] + 1) & self.mask
+            rest = rest[self.keys[at[rest]] != keys[rest]]
+        place = self.place[at]
+        return [v[place] for v in self.values]
+
+
+def word_counts(packed: DataFrame) -> DataFrame:
+    """Rows PACKED of the words: counts of all chunks instead of their own; and for each part its totals, as chunk -1."""
+
+    def add(table: pa.Table) -> pa.Table:
+        keys = [_unpack(k) for k in table.column("keys")]
+        own = np.concatenate([np.frombuffer(zlib.decompress(c.as_buffer()), "<u4") for c in table.column("counts")])
+        _, total, back = _added_up(np.concatenate(keys), own)
+        ends = np.cumsum([len(k) for k in keys])
+        counts = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in np.split(total[back], ends[:-1])]
+        out = pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "kind": table.column("kind"), "keys": table.column("keys"), "counts": pa.array(counts, pa.binary())})
+        sums = np.array([total.sum(), (total > 0).sum()], "<i8").tobytes()
+        part = table.column("part")[0].as_py()
+        return pa.concat_tables([out, pa.table([pa.array([-1]), pa.array([part]), pa.array([WORDS], pa.int32()), pa.array([b""], pa.binary()), pa.array([sums], pa.binary())], schema=out.schema)])
+
+    return packed.where(F.col("kind") == WORDS).groupBy("part").applyInArrow(add, PACKED)
+
+
+def gram_counts(packed: DataFrame) -> DataFrame:
+    """Rows (gram, n): the counts of all chunks."""
+
+    def add(table: pa.Table) -> pa.Table:
+        own = np.concatenate([np.frombuffer(zlib.decompress(c.as_buffer()), "<u4") for c in table.column("counts")])
+        keys, total, _ = _added_up(np.concatenate([_unpack(k) for k in table.column("keys")]), own)
+        return pa.table({"gram": keys.view(np.int64), "n": total.astype(np.float64)})
+
+    return packed.where(F.col("kind") == GRAMS).groupBy("part").applyInArrow(add, "gram long, n double")
+
+
+def gram_values(packed: DataFrame, scores: DataFrame, parts: int) -> DataFrame:
+    """Rows PACKED of the grams: log10 probabilities instead of counts."""
+    gram = F.col("gram")
+    part = F.pmod(gram.bitwiseXOR(F.shiftrightunsigned(gram, 13)).bitwiseXOR(F.shiftrightunsigned(gram, 29)), F.lit(parts))
+
+    def give(table: pa.Table, scores: pa.Table) -> pa.Table:
+        known = Lookup(scores.column("gram").to_numpy().view(U), scores.column("logp").to_numpy())
+        values = [known.of(_unpack(k))[0].tobytes() for k in table.column("keys")]
+        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "kind": table.column("kind"), "keys": table.column("keys"), "counts": pa.array(values, pa.binary())})
+
+    return packed.where(F.col("kind") == GRAMS).groupBy("part").cogroup(scores.withColumn("part", part).groupBy("part")).applyInArrow(give, PACKED)
+
+
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Rows (id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of all texts.
 
     The model learns from texts whose crc32 of the id as text isn't held_fold modulo folds. base_score:
     add-one unigrams; score: log10 of the tree's probability of the text; bits_per_byte: its code length
     for each byte of words, spaces and end. A null text is empty and has its end only; a null id counts as
     the empty string; repeated rows are scored and counted as they come. An empty table gives no rows.
-    Other columns of docs are ignored.
+    Other columns of docs are ignored. Words are told apart by 63 bits of a hash. depth: 5 to 6, as a gram must
+    fit a long beside its fold.
     """
+    if not FIRST < depth <= 6:
+        raise ValueError(f"depth must be over {FIRST} and 6 at most")
     fold = F.crc32(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).cast("binary")) % folds
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (fold == held_fold).alias("held"), F.col(text_col).cast("string").alias("text"))
-    table = common.written(coded(rows), "ctw-coded")
-    dictionary, texts = table.where("word is not null"), table.where("word is null")
-    words = common.written(dictionary.groupBy("word").agg(F.sum("n").alias("c")), "ctw-words")
-    common.release(docs.sparkSession)
-    total = words.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
-    n_all, v = total[0] or 0, total[1]
-    scores = word_scores(words, depth)
-    known = dictionary.select("chunk", "code", "word").join(scores, "word").select("chunk", "code", "c", F.col("logp").cast("float").alias("logp"))
-
-    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        code = known.column("code").to_numpy()
-        c, logp = np.zeros(len(code)), np.zeros(len(code))
-        for out, name in ((c, "c"), (logp, "logp")):
-            out[code] = known.column(name).to_numpy()
-        lists = [_codes(x.as_buffer()) for x in texts.column("codes")]
-        counts = np.array([len(x) for x in lists], np.int64)
-        flat, ends = np.concatenate(lists), np.cumsum(counts)
-        del lists
-        base = np.log10((c + 1) / (n_all + v + 1))
-
-        def per_text(values: np.ndarray) -> np.ndarray:
-            sums = np.zeros(len(counts))
-            full = counts > 0
-            if full.any():
-                sums[full] = np.add.reduceat(values[flat], (ends - counts)[full])
-            return sums + values[0]
-
-        total = per_text(logp)
-        return pa.table({
-            id_col: texts.column("id"), "held_out": texts.column("held"), "n_tokens": counts.astype(np.int64) + 1,
-            "n_known": per_text((c > 0).astype(np.float64)).astype(np.int64), "train_tokens": np.full(len(counts), n_all),
-            "base_score": per_text(base), "score": total, "bits_per_byte": -total / math.log10(2) / texts.column("size").to_numpy(),
-        })
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = -(-size // chunk_bytes) + 1 | 1
+    # Fewer tasks than splits only: a chunk is one task's, and the more texts it has, the fewer grams repeat between chunks.
+    packed = common.written(chunked(rows.coalesce(parts), parts, depth, chunk_bytes), "ctw-packed")
+    words = common.written(word_counts(packed), "ctw-words")
+    sums = np.array([np.frombuffer(r["counts"], "<i8") for r in words.where("chunk = -1").select("counts").toLocalIterator()]).reshape(-1, 2).sum(0)
+    n_all, v = int(sums[0]), int(sums[1])
+    counts = common.written(gram_counts(packed), "ctw-counts")
+    scores = gram_scores(counts, depth)
+    values = gram_values(packed, scores, parts)
+
+    def score(table: pa.Table) -> pa.Table:
+        kind = table.column("kind").to_numpy()
+        keys, raw = table.column("keys"), table.column("counts")
+        at = {k: np.flatnonzero(kind == k).tolist() for k in (TEXTS, GRAMS, WORDS)}
+        known = Lookup(np.concatenate([_unpack(keys[i]) for i in at[GRAMS]]), np.concatenate([np.frombuffer(raw[i].as_buffer(), np.float64) for i in at[GRAMS]]))
+        words = Lookup(np.concatenate([_unpack(keys[i]) for i in at[WORDS]]), np.concatenate([np.frombuffer(zlib.decompress(raw[i].as_buffer()), "<i8") for i in at[WORDS]]))
+        out = []
+        for i in at[TEXTS]:
+            with pa.ipc.open_stream(keys[i].as_buffer()) as stream:
+                whole = stream.read_next_batch()
+            for part in common.slices(whole, "text", LOOK_BYTES):
+                text = pa.concat_arrays([part.column("text")])
+                ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+                data = np.frombuffer(text.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+                ends = ends - ends[0]
+                logp = known.of(grams(data, ends, depth))[0]
+                distinct, code = tokens(data)
+                c = words.of(token_keys(distinct))[0]
+                n_tokens = np.add.reduceat((data == SPACE) | (data == END), ends[:-1], dtype=np.int64)
+                first = np.cumsum(n_tokens) - n_tokens
+                base = np.log10((c + 1) / (n_all + v + 1))
+                total = np.add.reduceat(logp, ends[:-1])
+                out.append(pa.table({
+                    id_col: part.column("id"), "held_out": part.column("held"), "n_tokens": n_tokens, "n_known": np.add.reduceat((c > 0)[code], first, dtype=np.int64),
+                    "train_tokens": np.full(len(part), n_all), "base_score": np.add.reduceat(base[code], first), "score": total, "bits_per_byte": -total / math.log10(2) / np.diff(ends),
+                }))
+        return pa.concat_tables(out)
 
     schema = f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    texts = texts.select(F.col("chunk").alias("of"), "id", "held", "size", "codes")
-    return texts.groupBy("of").cogroup(known.groupBy("chunk")).applyInArrow(score, schema)
+    every = packed.where(F.col("kind") == TEXTS).unionByName(words.where("chunk >= 0")).unionByName(values)
+    return every.select("chunk", "kind", "keys", "counts").groupBy("chunk").applyInArrow(score, schema)

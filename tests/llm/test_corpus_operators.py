@@ -311,23 +311,21 @@ def test_long_text_in_pieces(monkeypatch):
 
 
 def brute_ctw(texts, held, depth):
-    """Words scored by a dictionary-based context tree."""
+    """Texts scored by a dictionary-based context tree."""
     train = collections.Counter(w for t, h in zip(texts, held) if not h for w in [*words(t), ""])
-    every = {w for t in texts for w in [*words(t), ""]}
     counts = collections.defaultdict(lambda: [0, 0])
 
-    def steps(w):
-        raw = w.encode() + b" " if w else b"\n"
-        past = b" " * depth
-        for c in raw:
+    def steps(t):
+        past = b"\n" * depth
+        for c in "".join(f"{w} " for w in words(t)).encode() + b"\n":
             for b in range(8):
                 yield past, (1 << b) | (c >> (8 - b)), c >> (7 - b) & 1
             past = past[1:] + bytes([c])
 
-    for w, n in train.items():
-        for past, node, bit in steps(w):
+    for t, h in zip(texts, held):
+        for past, node, bit in steps(t) if not h else ():
             for d in range(depth + 1):
-                counts[past[depth - d :], node][bit] += n
+                counts[past[depth - d :], node][bit] += 1
     kids = collections.defaultdict(set)
     for past, node in counts:
         if past:
@@ -343,10 +341,10 @@ def brute_ctw(texts, held, depth):
             s = sum(pw[k, node] for k in kids[past, node])
             p = max(p, s) + math.log1p(math.exp(-abs(p - s))) - math.log(2)
         pw[past, node] = p
-    score = {}
-    for w in every:
+    score = []
+    for t in texts:
         total = 0.0
-        for past, node, bit in steps(w):
+        for past, node, bit in steps(t):
             p, left, kt = 0.0, 1.0, 0.5
             for d in range(depth + 1):
                 key = past[depth - d :], node
@@ -358,25 +356,38 @@ def brute_ctw(texts, held, depth):
                 p, left = p + share * kt, left - share
             p += left * kt
             total += math.log10(p if bit else 1 - p)
-        score[w] = total
+        score.append(total)
     return train, score
 
 
-def test_ctw(spark):
-    texts = [t for t in TEXTS if t is None or len(t) < 4000]
-    ids = [*range(len(texts) - 1), None]
+@pytest.mark.parametrize("chunk_bytes", [1000, 64 << 20])
+def test_ctw(spark, chunk_bytes):
+    texts = [*TEXTS, "river stone light", "light river stone", "stone light river", "one two"]
+    ids = [*range(len(texts) - 2), 3, None]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i in ids]
     train, score = brute_ctw(texts, held, ctw.DEPTH)
     n, v = sum(train.values()), len(train)
-    got = {r["doc_id"]: r for r in ctw.scored(odd(spark, texts, ids)).collect()}
-    for i, h, t in zip(ids, held, texts):
-        tokens, r = [*words(t), ""], got[i]
+    got = collections.defaultdict(list)
+    for r in ctw.scored(odd(spark, texts, ids), chunk_bytes=chunk_bytes).collect():
+        got[r["doc_id"], r["n_tokens"]].append(r)
+    assert sum(map(len, got.values())) == len(texts)
+    for i, h, t, want in zip(ids, held, texts, score):
+        tokens = [*words(t), ""]
+        r = min(got[i, len(tokens)], key=lambda r: abs(r["score"] - want))
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (h, len(tokens), sum(w in train for w in tokens), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((train.get(w, 0) + 1) / (n + v + 1)) for w in tokens))
-        assert r["score"] == pytest.approx(sum(score[w] for w in tokens), rel=1e-6)
+        assert r["base_score"] == pytest.approx(sum(math.log10((train.get(w, 0) + 1) / (n + v + 1)) for w in tokens), rel=1e-12)
+        assert r["score"] == pytest.approx(want, rel=1e-9)
+        assert r["bits_per_byte"] == pytest.approx(-want / math.log10(2) / (sum(len(w.encode()) + 1 for w in words(t)) + 1))
+    three = [got[i, 4][0]["score"] for i, t in zip(ids, texts) if t and sorted(words(t)) == ["light", "river", "stone"]]
+    assert len(set(three)) == 3  # order counts
     assert ctw.scored(odd(spark, [])).count() == 0
 
 
+def test_lookup_finds_all():
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 62, 5000, dtype=np.uint64))
+    assert (ctw.Lookup(keys, np.arange(len(keys))).of(keys[::-1])[0] == np.arange(len(keys))[::-1]).all()
+
+
 def test_log_gamma():
     x = np.array([0.5, 1, 1.5, 7, 1e3, 1e7])
     assert np.allclose(ctw.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-9)
