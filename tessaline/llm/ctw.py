@@ -37,7 +37,9 @@ from tessaline.llm import common
 #: Bytes of context at most, and those at which a subtree is handed to one task.
 DEPTH, FIRST = 6, 4
 #: Text bytes of a chunk, those whose grams are sorted or looked up at once, grams of a task.
-CHUNK_BYTES, SORT_BYTES, LOOK_BYTES, TASK_GRAMS = 64 << 20, 8 << 20, 1 << 20, 400_000
+CHUNK_BYTES, SORT_BYTES, LOOK_BYTES, TASK_GRAMS = 64 << 20, 4 << 20, 1 << 20, 400_000
+#: Sorted pieces that are merged at once.
+MERGED = 4
 SPACE, END = 32, 10
 LN2 = math.log(2)
 U = np.uint64
@@ -150,15 +152,15 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def grams(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """The gram of each coded byte: the bytes before it, the latest highest, then the byte."""
-    n, rows = len(data), np.arange(len(at) - 1)
-    place = np.arange(n) + np.repeat((rows + 1) * depth, np.diff(at))
-    padded = np.full(n + depth * len(rows), END, np.uint8)
-    padded[place] = data
-    key = np.zeros(len(padded) - depth, U) if len(padded) else np.zeros(0, U)
+    size = np.diff(at)
+    inside = np.repeat(np.tile([False, True], len(size)), np.stack([np.full(len(size), depth), size], axis=1).ravel())
+    padded = np.full(len(inside), END, np.uint8)
+    padded[inside] = data
+    key = np.zeros(max(len(padded) - depth, 0), U)
     for k in [*range(1, depth + 1), 0]:
         key <<= U(8)
         key |= padded[depth - k : len(padded) - k]
-    return key[place - depth]
+    return key[inside[depth:]]
 
 
 def tokens(data: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -289,13 +291,30 @@ def _added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _counted(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
     """Distinct keys with the count of those not held, 255 at most, as their low byte; and what exceeds it, as pairs."""
-    keys = (keys << U(1)) | held
+    keys <<= U(1)
+    keys |= held
     keys.sort()
-    gram = keys >> U(1)
-    start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
-    n = np.add.reduceat((keys & U(1)) == 0, start, dtype=np.int64) if len(gram) else start
+    start = np.flatnonzero(np.r_[True, (keys[1:] ^ keys[:-1]) > U(1)]) if len(keys) else np.zeros(0, np.int64)
+    n = np.add.reduceat((keys & U(1)) == 0, start, dtype=np.int64) if len(keys) else start
+    return _capped(keys[start] >> U(1), n)
+
+
+def _capped(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     over = np.flatnonzero(n > 255)
-    return (gram[start] << U(8)) | np.minimum(n, 255).astype(U), gram[start][over], n[over] - 255
+    return (gram << U(8)) | np.minimum(n, 255).astype(U), gram[over], n[over] - 255
+
+
+def _merged(counted: list[tuple]) -> list[tuple]:
+    """Several results of `_counted` as one; counts lie in the keys, so that a plain sort brings equal grams together."""
+    packed = np.concatenate([c[0] for c in counted])
+    over, more, _ = _added_up(*(np.concatenate([c[k] for c in counted]) for k in (1, 2)))
+    counted.clear()
+    packed.sort()
+    start = np.flatnonzero(np.r_[True, (packed[1:] ^ packed[:-1]) > U(255)]) if len(packed) else np.zeros(0, np.int64)
+    n = np.add.reduceat(packed & U(255), start).astype(np.int64) if len(packed) else start
+    gram = packed[start] >> U(8)
+    n[np.searchsorted(gram, over)] += more
+    return [_capped(gram, n)]
 
 
 class Chunk:
@@ -314,6 +333,8 @@ class Chunk:
             piece, offsets = data[at[first] : at[last]], at[first : last + 1] - at[first]
             self.grams.append(_counted(grams(piece, offsets, self.depth), np.repeat(held[first:last], size[first:last])))
             first = last
+            if len(self.grams) == MERGED:
+                self.grams = _merged(self.grams)
         distinct, code = tokens(data)
         owner = np.repeat(held, np.add.reduceat((data == SPACE) | (data == END), at[:-1], dtype=np.int64))
         self.words.append((token_keys(distinct), np.bincount(code, ~owner, len(distinct))))
@@ -328,15 +349,10 @@ class Chunk:
 
     def rows(self) -> Iterator[tuple]:
         """Rows PACKED of the counts."""
-        packed = np.concatenate([g[0] for g in self.grams])
-        packed.sort()
-        gram = packed >> U(8)
-        start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        n = np.add.reduceat(packed & U(255), start).astype(np.int64)
-        gram = gram[start]
-        over, more, _ = _added_up(*(np.concatenate([g[k] for g in self.grams]) for k in (1, 2)))
+        (packed, over, more), = _merged(self.grams)
+        gram, n = packed >> U(8), (packed & U(255)).astype(np.int64)
         n[np.searchsorted(gram, over)] += more
-        self.grams = []
+        del packed
         yield from self._parts(GRAMS, gram, n)
         keys, n, _ = _added_up(*(np.concatenate(x) for x in zip(*self.words)))
         yield from self._parts(WORDS, keys, n)
