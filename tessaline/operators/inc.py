@@ -48,7 +48,7 @@ def _at(x: Column, n: Column, one_more: int) -> Column:
 def state(log: DataFrame) -> DataFrame:
     """Rows (table, key, id, entry_key, payload, skip) of all lists after all their changes.
 
-    Changes before the last drop don't count. A place outside the list is an error. One list is folded in
+    Changes before the last drop don't count. A place outside the list is an error, as is a key that another entry has. One list is folded in
     one task, and each insert costs its length; `compacted` turns its log into plain appends.
     """
     last_drop = F.max(F.when(F.col("op") == DROP, F.col("seq"))).over(Window.partitionBy(*LIST))
@@ -64,6 +64,11 @@ def state(log: DataFrame) -> DataFrame:
         i, j = _at(x, n, 1), _at(x, n, 0)
         inserted = F.concat(F.slice(acc, F.lit(1), i.cast("int")), F.array(entry), F.slice(acc, (i + 1).cast("int"), n))
 
+        # A key may be at one place only; setting it where it is changes nothing.
+        twice = F.size(F.filter(acc, lambda e, k: (e["entry_key"] == x["entry_key"]) & ((x["op"] != OVERWRITE) | (k != j)))) > 0
+        keyed = x["op"].isin(ADD, INSERT, OVERWRITE) & x["entry_key"].isNotNull()
+        clash = F.raise_error(F.concat(F.lit("another entry has the key "), x["entry_key"])).cast(f"array<{ENTRY}>")
+
         def put(f) -> Column:
             return F.transform(acc, lambda old, k: F.when(k == j, f(old)).otherwise(old))
 
@@ -72,7 +77,8 @@ def state(log: DataFrame) -> DataFrame:
         unkey = put(lambda old: F.struct(F.lit(None).cast("string").alias("entry_key"), old["payload"].alias("payload"), old["skip"].alias("skip")).cast(ENTRY))
         here = (j >= 0) & (j < n)
         return (
-            F.when(x["op"] == ADD, F.concat(acc, F.array(entry)))
+            F.when(keyed & twice, clash)
+            .when(x["op"] == ADD, F.concat(acc, F.array(entry)))
             .when((x["op"] == INSERT) & (i >= 0) & (i <= n), inserted)
             .when((x["op"] == OVERWRITE) & here, over).when((x["op"] == SKIP) & here, skip).when((x["op"] == UNKEY) & here, unkey)
             .otherwise(bad)
@@ -118,9 +124,15 @@ def by_key(lists: DataFrame, entry_key: str) -> DataFrame:
 
 
 def check_entry_keys(lists: DataFrame, new: DataFrame) -> DataFrame:
-    """Passes new rows (table, key, entry_key, ...) on; a key that is there already, or twice in them, is a conflict."""
+    """Passes new rows (table, key, entry_key, ...) on; a key that is there already, or twice in them, is a conflict.
+
+    Rows with an id overwrite that place: a key that is there already is no conflict.
+    """
     keyed = new.where(F.col("entry_key").isNotNull())
-    taken = keyed.join(lists.select(*LIST, "entry_key").distinct(), [*LIST, "entry_key"], "left_semi")
+    held = lists.select(*LIST, "entry_key", *([F.col("id").alias("held_at")] if "id" in new.columns else [])).distinct()
+    taken = keyed.join(held, [*LIST, "entry_key"])
+    if "id" in new.columns:
+        taken = taken.where(~F.col("held_at").eqNullSafe(F.col("id")))
     twice = keyed.groupBy(*LIST, "entry_key").count().where("count > 1")
     clash = taken.select(*LIST, "entry_key").union(twice.select(*LIST, "entry_key")).first()
     if clash:

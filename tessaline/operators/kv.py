@@ -1,7 +1,8 @@
 """Key-value operators: views over an append-only log of saves and frees (schemas.KV_LOG).
 
 Saving and freeing are appended rows; the state of a key is its row of the greatest seq. Every view is one
-aggregate on (table, key) with partial aggregation before the shuffle, so a hot key costs no more than others.
+aggregate on (table, key) with partial aggregation before the shuffle, so a hot key costs no more than others. As
+payloads are of any width, it sorts each task's rows by key.
 """
 
 from __future__ import annotations

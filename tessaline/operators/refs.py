@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.functions.names import POINTER
+from tessaline.errors import InvalidRequest
+from tessaline.functions.names import POINTER, strip_pointer
 
 
 def is_pointer(value: Column) -> Column:
@@ -33,6 +34,37 @@ def invalid_pointers(objects: DataFrame, existing: DataFrame) -> DataFrame:
     return shape.unionByName(missing.select("table", "key", "field", F.lit("no target").alias("reason")))
 
 
+def _substituted(objects: DataFrame, resolved: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """JSON objects (table, key, json) with pointers (in `fields`, else all) replaced by the object they name, without prefix."""
+    cells = objects.select("table", "key", F.explode_outer(F.expr("cast(try_parse_json(json) as map<string,variant>)")).alias("field", "value"))
+    text = F.to_json("value")
+    wanted = is_pointer(text) & (F.lit(True) if fields is None else F.col("field").isin(fields))
+    pair = F.from_json(text, "array<string>")
+    cells = cells.select("table", "key", "field", text.alias("text"), F.coalesce(wanted, F.lit(False)).alias("wanted"), F.when(wanted, F.get(pair, 0)).alias("to_key"), F.when(wanted, F.get(pair, 1)).alias("to_table"))
+    target = resolved.select(F.col("table").alias("to_table"), F.col("key").alias("to_key"), F.col("json").alias("target"))
+    met = cells.join(target, ["to_table", "to_key"], "left")
+    name = F.when(F.col("wanted"), strip_pointer(F.col("field"))).otherwise(F.col("field"))
+    value = F.when(F.col("wanted"), F.coalesce("target", F.lit("null"))).otherwise(F.coalesce("text", F.lit("null")))
+    met = met.select("table", "key", name.alias("x"), value.alias("v"), "field", "wanted")
+    cell = F.when(F.col("field").isNotNull(), F.struct(F.col("x").alias("n"), F.concat(F.to_json(F.expr("cast(x as variant)")), F.lit(":"), F.col("v")).alias("c")))
+    inner = F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["c"]), ",")
+    return met.groupBy("table", "key").agg(F.concat(F.lit("{"), inner, F.lit("}")).alias("json"))
+
+
+def resolve_json(objects: DataFrame, depth: int = 3, fields: list[str] | None = None) -> DataFrame:
+    """Objects (table, key, json) with their pointers replaced by the objects named, nested, to `depth` levels.
+
+    fields: only those of the outer object; what they name is resolved in full. A pointer without a target becomes null,
+    pointers below `depth` levels (so all that loop) stay as they are. Fields are in the order of their names.
+    """
+    if depth < 1:
+        raise InvalidRequest("a level at least")
+    resolved = objects.select("table", "key", "json")
+    for level in range(depth):
+        resolved = _substituted(objects, resolved, fields if level == depth - 1 else None)
+    return resolved
+
+
 def resolve(rows: DataFrame, steps: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
     """Follows one chain: for each (column, target, key of target, alias) a left join adds the target as a struct.
 

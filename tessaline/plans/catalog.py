@@ -26,10 +26,18 @@ def struct_of(request: dict) -> T.StructType:
 
 
 class Catalog:
-    """Executes requests with the verb create_table; other verbs are refused."""
+    """Executes requests with the verb create_table; other verbs are refused.
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.tables = spark, {}
+    With a folder, declarations last: each is a file of its name, replaced when the table is declared anew.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
+        self.spark, self.tables, self.folder = spark, {}, folder.rstrip("/") if folder else None
+        if self.folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+            if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+                for row in spark.read.schema("request string").parquet(f"{self.folder}/*").collect():
+                    self._declare(json.loads(row["request"]))
 
     def execute(self, request: str | dict) -> str:
         try:
@@ -38,6 +46,12 @@ class Catalog:
             raise InvalidRequest(f"malformed request: {e}") from e
         if request.get("query") != "create_table":
             raise InvalidRequest(f"unknown verb {request.get('query')!r}")
+        name = self._declare(request)
+        if self.folder:
+            self.spark.createDataFrame([(json.dumps(request),)], "request string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return name
+
+    def _declare(self, request: dict) -> str:
         struct = struct_of(request)
         name = re.sub(r"\W", "_", request["tableName"].strip())
         self.tables[name] = (struct, request["columns"])

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from tessaline.functions import codec, names
 from tessaline.operators import inc, kv, metrics, refs, space
-from tessaline.schemas import ADD, BOTTOM, DROP, FREE, INSERT, OVERWRITE, SAVE, TOP
-from tessaline.session import table
+from tessaline.plans.catalog import Catalog
+from tessaline.schemas import ADD, BOTTOM, DROP, FREE, INSERT, OVERWRITE, SAVE, TOP, UNKEY
+from tessaline.session import shared_folder, table
 from tessaline.sources import store, wal
 from tessaline.streaming import feed
 
@@ -294,11 +295,11 @@ def ptr_fields(spark: SparkSession, sf: str) -> DataFrame:
     return refs.pointers(objects).select("key", "to_table", "to_key")
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE o_orderpriority END AS value FROM orders WHERE o_orderkey % 6 <> 1")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderstatus = 'F' THEN o_orderstatus ELSE o_orderpriority END AS value FROM orders")
 def read_with_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_orderkey % 6 != 1")
+    o = table(spark, sf, "orders")
     key, seq = F.col("o_orderkey"), F.col("o_orderkey")
-    local = kv.save(o.where("o_orderkey % 2 = 0"), F.lit("orders"), key, seq, F.col("o_orderstatus"))
+    local = kv.save(o.where("o_orderstatus = 'F'"), F.lit("orders"), key, seq, F.col("o_orderstatus"))
     peer = kv.save(o, F.lit("orders"), key, seq, F.col("o_orderpriority"))
     return kv.with_fallback(local, peer).select("key", codec.as_text(F.col("payload")).alias("value"))
 
@@ -344,14 +345,8 @@ def wal_replay(spark: SparkSession, sf: str) -> DataFrame:
     return wal.replay(e.select(line.alias("value"), event.alias("seq")).union(broken)).select("key", "file", F.col("start").alias("first"), F.col("end").alias("last"))
 
 
-@query("SELECT doc_id, CAST(i AS BIGINT) AS chunk_no, substr(text, CAST(i * 1000 + 1 AS BIGINT), 1000) AS chunk FROM documents, generate_series(0, greatest(CAST(ceil(length(text) / 1000.0) AS BIGINT) - 1, 0)) AS g(i) WHERE octet_length(encode(text)) = length(text)")
-def value_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where("octet_length(text) = char_length(text)").select("doc_id", F.col("text").cast("binary").alias("payload"))
-    return store.chunks(d, "payload", 1000).select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), codec.as_text(F.col("chunk")).alias("chunk"))
-
-
 @query("SELECT doc_id, CAST(i AS BIGINT) AS chunk_no, substr(hex(encode(text)), CAST(i * 2000 + 1 AS BIGINT), 2000) AS chunk FROM documents, generate_series(0, greatest(CAST(ceil(octet_length(encode(text)) / 1000.0) AS BIGINT) - 1, 0)) AS g(i)")
-def value_chunks_hex(spark: SparkSession, sf: str) -> DataFrame:
+def value_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """The chunks of every document, as hex: a chunk may end within a letter."""
     d = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("payload"))
     return store.chunks(d, "payload", 1000).select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.hex("chunk").alias("chunk"))
@@ -371,28 +366,105 @@ def timing_by_name(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("name", "calls", F.round("total", 4).alias("total"), F.round("average", 6).alias("average"))
 
 
-BOUND = "SELECT DISTINCT 'conn' || (user_id % 7) AS conn, CAST(user_id AS VARCHAR) AS key FROM events WHERE user_id % 3 = 0"
+BOUND = "SELECT DISTINCT 'conn' || (user_id % 7) AS conn, CAST(user_id AS VARCHAR) AS key FROM events"
 
 
 def _bindings(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where("user_id % 3 = 0")
+    e = table(spark, sf, "events")
     return e.select(F.concat(F.lit("conn"), F.col("user_id") % 7).alias("conn"), F.lit("events").alias("table"), F.col("user_id").cast("string").alias("key")).distinct()
 
 
-@query(f"SELECT count(DISTINCT conn) AS clients, count(DISTINCT key) AS keys, count(*) AS bindings FROM ({BOUND})")
+GRANTED = "SELECT user_id, min(ts) AS granted, min(ts) + INTERVAL 1 DAY AS good_to FROM events GROUP BY user_id"
+ATTEMPTS = f"SELECT e.user_id, 'conn' || event_id AS conn, ts AS tried, good_to FROM events e JOIN ({GRANTED}) g ON e.user_id = g.user_id AND ts > granted"
+ATTACHED = f"SELECT user_id, conn, tried FROM ({ATTEMPTS}) WHERE tried <= good_to QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY tried, conn) = 1"
+
+
+def _grants(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Each user's first event grants its key for a day; every later one is an attempt to use the grant."""
+    e = table(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    first = e.groupBy("user_id").agg(F.min("ts").alias("granted"))
+    keys = first.select(F.lit("events").alias("table"), F.array(F.col("user_id").cast("string")).alias("keys"), "user_id", "granted")
+    grants = feed.grant(keys, F.col("granted"), 86_400, F.md5(F.col("user_id").cast("string")))
+    attempts = e.join(first, "user_id").where("ts > granted").select(F.md5(F.col("user_id").cast("string")).alias("auth_key"), F.concat(F.lit("conn"), "event_id").alias("conn"), F.col("ts").alias("at"))
+    return grants, attempts
+
+
+@query(f"SELECT conn, CAST(user_id AS VARCHAR) AS key FROM ({ATTACHED})")
+def feed_grant_attach(spark: SparkSession, sf: str) -> DataFrame:
+    return feed.attach(*_grants(spark, sf)).select("conn", "key")
+
+
+@query(f"SELECT a.conn, 'invalid_or_expired_auth_key' AS error FROM ({ATTEMPTS}) a LEFT JOIN ({ATTACHED}) b ON a.user_id = b.user_id AND a.conn = b.conn WHERE b.conn IS NULL")
+def feed_refused(spark: SparkSession, sf: str) -> DataFrame:
+    return feed.refused(*_grants(spark, sf)).select("conn", "error")
+
+
+@query("SELECT count(DISTINCT user_id) AS granted, count(DISTINCT user_id) AS distinct_keys FROM events")
+def auth_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """A key minted for each user: as many different ones as users."""
+    users = table(spark, sf, "events").select(F.lit("events").alias("table"), F.array(F.col("user_id").cast("string")).alias("keys")).distinct()
+    return feed.grant(users, F.current_timestamp()).agg(F.count("*").alias("granted"), F.countDistinct("auth_key").alias("distinct_keys"))
+
+
+@query(f"SELECT (SELECT count(DISTINCT conn) FROM ({BOUND})) AS clients, (SELECT count(DISTINCT key) FROM ({BOUND})) AS keys, (SELECT count(*) FROM ({BOUND})) AS bindings, count(*) AS pending FROM ({GRANTED}) g WHERE user_id NOT IN (SELECT user_id FROM ({ATTACHED})) AND good_to >= (SELECT max(granted) FROM ({GRANTED}))")
 def subscription_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return feed.stats(_bindings(spark, sf))
+    grants, attempts = _grants(spark, sf)
+    latest = grants.agg(F.max("granted").alias("now"))
+    waiting = feed.pending(grants.crossJoin(latest), attempts, F.col("now"))  # one row
+    return feed.stats(_bindings(spark, sf), waiting)
 
 
-@query(f"SELECT conn, event_id AS seq, CASE WHEN event_type = 'error' THEN '{{\"event\":\"deleted\",\"key\":\"' || b.key || '\"}}' ELSE '{{\"event\":\"updated\",\"key\":\"' || b.key || '\",\"data\":\"' || event_type || '\"}}' END AS message FROM events JOIN ({BOUND}) b ON b.key = CAST(user_id AS VARCHAR)")
+FIRST_DELETE = "SELECT user_id, min(event_id) AS gone FROM events WHERE event_type = 'error' GROUP BY user_id"
+FANOUT = f"""SELECT conn, event_id AS seq, CASE WHEN event_type = 'error' THEN '{{"event":"deleted","key":"' || b.key || '"}}' ELSE '{{"event":"updated","key":"' || b.key || '","data":"' || event_type || '"}}' END AS message
+  FROM events e JOIN ({BOUND}) b ON b.key = CAST(e.user_id AS VARCHAR) LEFT JOIN ({FIRST_DELETE}) d ON d.user_id = e.user_id WHERE gone IS NULL OR event_id <= gone"""
+
+
+@query(FANOUT)
 def feed_fanout(spark: SparkSession, sf: str) -> DataFrame:
+    """The messages of all changes; a deleted key's bindings end with it."""
     return feed.fan_out(feed.events(_ordered(spark, sf)), _bindings(spark, sf))
 
 
-@query(f"SELECT conn, key FROM ({BOUND}) WHERE CAST(key AS BIGINT) % 2 = 1")
+@query(f"SELECT count(*) FILTER (message LIKE '%deleted%') AS deleted, count(*) FILTER (message LIKE '%updated%') AS updated, count(DISTINCT conn) AS clients FROM ({FANOUT})")
+def feed_delete_removes(spark: SparkSession, sf: str) -> DataFrame:
+    m = feed.fan_out(feed.events(_ordered(spark, sf)), _bindings(spark, sf))
+    return m.agg(F.count_if(F.col("message").contains("deleted")).alias("deleted"), F.count_if(F.col("message").contains("updated")).alias("updated"), F.countDistinct("conn").alias("clients"))
+
+
+@query(f"SELECT conn, event_id AS seq FROM events e JOIN ({BOUND}) b ON b.key = CAST(e.user_id AS VARCHAR) LEFT JOIN ({FIRST_DELETE}) d ON d.user_id = e.user_id WHERE gone IS NULL OR event_id <= gone")
+def feed_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed run over the event files as a stream: delivered messages are appended as files."""
+    root = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    raw = feed.stream(spark, sf, table(spark, sf, "events").schema, "events.parquet")
+    op = F.when(F.col("event_type") == "error", FREE).otherwise(SAVE)
+    log = raw.select(F.lit("events").alias("table"), F.col("user_id").cast("string").alias("key"), op.alias("op"), F.col("event_id").alias("seq"), F.col("event_type").cast("binary").alias("payload"))
+    bound = _bindings(spark, sf)
+    running = feed.run_batches(feed.events(log), lambda: bound, lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), f"{root}/state")
+    running.awaitTermination()
+    return spark.read.schema("conn string, seq bigint, message string").parquet(f"{root}/out/batch=*").select("conn", "seq")
+
+
+LOW_KEYS = "SELECT DISTINCT CAST(user_id AS VARCHAR) AS key FROM events WHERE CAST(user_id AS VARCHAR) < '5'"
+
+
+def _low_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return _bindings(spark, sf).where("key < '5'").select("table", "key").distinct()
+
+
+@query(f"SELECT conn, key FROM ({BOUND}) WHERE key >= '5'")
 def feed_disable(spark: SparkSession, sf: str) -> DataFrame:
-    b = _bindings(spark, sf)
-    return feed.disable(b, b.where("cast(key as bigint) % 2 = 0")).select("conn", "key")
+    return feed.disable(_bindings(spark, sf), _low_keys(spark, sf)).select("conn", "key")
+
+
+@query(f"SELECT conn, '{{\"event\":\"unsubscribed\",\"key\":\"' || key || '\"}}' AS message FROM ({BOUND}) WHERE key < '5'")
+def feed_unsubscribed(spark: SparkSession, sf: str) -> DataFrame:
+    return feed.unsubscribed(_bindings(spark, sf), _low_keys(spark, sf)).select("conn", "message")
+
+
+@query(f"SELECT key, count(DISTINCT conn) AS notified FROM ({BOUND}) WHERE key < '5' GROUP BY key UNION ALL SELECT 'nobody', 0")
+def feed_notified(spark: SparkSession, sf: str) -> DataFrame:
+    keys = _low_keys(spark, sf)
+    return feed.notified(_bindings(spark, sf), keys.union(keys.sparkSession.createDataFrame([("events", "nobody")], keys.schema)))
 
 
 @query(f"SELECT conv_id, CAST(id AS BIGINT) AS seq, '{{\"type\":\"add\",\"new_data\":{{\"id\":\"' || id || '\",\"data\":\"' || role || '\"}}}}' AS data FROM ({PLACED})")
@@ -405,15 +477,196 @@ def feed_inc_update_json(spark: SparkSession, sf: str) -> DataFrame:
 def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
     """The latest values, kept by a stream over the event files."""
     changes = feed.stream(spark, sf, table(spark, sf, "events").schema, "events.parquet")
-    name = f"latest_{uuid.uuid4().hex}"
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
+    root = f"{shared_folder(spark)}/latest-{uuid.uuid4().hex}"
+    feed.latest_stream(changes, F.col("user_id"), F.col("event_type"), F.struct("ts", "event_id"), f"{root}/out", f"{root}/state").awaitTermination()
+    return feed.latest_of(spark, f"{root}/out", "key bigint, value string, batch int")
 
-        root = f"file://{tempfile.mkdtemp()}"
-    running = feed.latest_stream(changes, F.col("user_id"), F.col("event_type"), F.struct("ts", "event_id"), name, f"{root}/{name}")
-    running.awaitTermination()
-    return spark.table(name)
+
+# --- operators seen through a query of their own ------------------------------------------------------------------
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) || '-' || turn AS key, text AS value FROM conversations")
+def kv_save_encrypted(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations")
+    log = kv.save_encrypted(c, F.lit("chat"), F.concat_ws("-", "conv_id", "turn"), F.col("turn"), F.col("text"), SECRET)
+    return kv.read_encrypted(log, SECRET).select("key", codec.as_text(F.col("payload")).alias("value"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS value FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)")
+def kv_read_many(spark: SparkSession, sf: str) -> DataFrame:
+    o = F.col("o_orderkey")
+    log = kv.save(table(spark, sf, "orders"), F.lit("orders"), o, o, F.col("o_orderstatus"))
+    keys = table(spark, sf, "lineitem").where("l_quantity >= 49").select(F.lit("orders").alias("table"), F.col("l_orderkey").cast("string").alias("key"))
+    return kv.read_many(log, keys).select("key", codec.as_text(F.col("payload")).alias("value"))
+
+
+def _keyed(lists: DataFrame) -> DataFrame:
+    return lists.select(F.col("key").cast("bigint").alias("conv_id"), "id", "entry_key")
+
+
+def _change_key(log: DataFrame, op: str, pos: int, count_from: str, prefix: str) -> DataFrame:
+    changed = _change(log, op, pos, count_from, "edited")
+    return changed.withColumn("entry_key", F.when(F.col("seq") == 1 << 40, F.concat(F.lit(prefix), "key")).otherwise(F.col("entry_key")))
+
+
+KEYED = f"SELECT conv_id, id, n, conv_id || '-' || turn AS entry_key FROM ({PLACED})"
+
+
+@query(f"SELECT conv_id, CAST(CASE WHEN id >= 1 THEN id + 1 ELSE id END AS BIGINT) AS id, entry_key FROM ({KEYED}) UNION ALL SELECT DISTINCT conv_id, 1, 'new-' || conv_id FROM conversations")
+def entry_key_insert(spark: SparkSession, sf: str) -> DataFrame:
+    return _keyed(inc.state(_change_key(_adds(spark, sf), INSERT, 1, BOTTOM, "new-")))
+
+
+@query(f"SELECT conv_id, CAST(id AS BIGINT) AS id, CASE WHEN id = n - 1 THEN 'set-' || conv_id ELSE entry_key END AS entry_key FROM ({KEYED})")
+def entry_key_set(spark: SparkSession, sf: str) -> DataFrame:
+    return _keyed(inc.state(_change_key(_adds(spark, sf), OVERWRITE, 0, TOP, "set-")))
+
+
+@query(f"SELECT conv_id, CAST(id AS BIGINT) AS id, CASE WHEN id > 0 THEN entry_key END AS entry_key FROM ({KEYED})")
+def entry_key_remove(spark: SparkSession, sf: str) -> DataFrame:
+    return _keyed(inc.state(_change(_adds(spark, sf), UNKEY, 0, BOTTOM, "")))
+
+
+@query("SELECT p_partkey, lpad(to_hex(p_size), 2, '0') || '00000000000000' || lpad(to_hex(octet_length(encode(p_name))), 2, '0') || '000000' || hex(encode(p_name)) AS meta, CAST(p_size AS BIGINT) AS entry_size, p_name AS name FROM part")
+def meta_codec(spark: SparkSession, sf: str) -> DataFrame:
+    raw = table(spark, sf, "part").withColumn("raw", codec.encode_meta(F.col("p_size"), F.col("p_name")))
+    m = codec.decode_meta(F.col("raw"))
+    return raw.select("p_partkey", F.hex("raw").alias("meta"), m["entry_size"].alias("entry_size"), m["name"].alias("name"))
+
+
+@query("SELECT n_nationkey, 'nation_' || n_name AS field, n_name AS plain FROM nation")
+def ptr_stripped(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation")
+    return n.select("n_nationkey", names.strip_pointer(F.concat(F.lit("$ptr_nation_"), "n_name")).alias("field"), names.strip_pointer(F.col("n_name")).alias("plain"))
+
+
+def _objects(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers, nations and regions as JSON objects that point at each other."""
+    def objects(name: str, key: str, *fields) -> DataFrame:
+        return table(spark, sf, name).select(F.lit(name).alias("table"), F.col(key).cast("string").alias("key"), F.to_json(F.struct(*fields)).alias("json"))
+
+    point = lambda key, to: F.array(F.col(key).cast("string"), F.lit(to)).alias(f"$ptr_{to}")
+    return objects("customer", "c_custkey", F.col("c_name").alias("name"), point("c_nationkey", "nation")).union(
+        objects("nation", "n_nationkey", F.col("n_name").alias("name"), point("n_regionkey", "region"))).union(objects("region", "r_regionkey", F.col("r_name").alias("name")))
+
+
+NATION_JSON = """'{"name":"' || n_name || '","region":{"name":"' || r_name || '"}}'"""
+
+
+@query(f"""SELECT CAST(c_custkey AS VARCHAR) AS key, '{{"name":"' || c_name || '","nation":' || coalesce({NATION_JSON}, 'null') || '}}' AS json
+  FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
+def ptr_json_resolved(spark: SparkSession, sf: str) -> DataFrame:
+    return refs.resolve_json(_objects(spark, sf), 2).where(F.col("table") == "customer").select("key", "json")
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS key, '{"$ptr_other":["1","region"],"region":{"name":"' || r_name || '"}}' AS json FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'lost', '{"$ptr_other":["1","region"],"region":null}'""")
+def ptr_json_some(spark: SparkSession, sf: str) -> DataFrame:
+    """Only one of two pointer fields is followed; a target that isn't there is null."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_regionkey").cast("string").alias("to"))
+    n = n.union(n.sparkSession.createDataFrame([("lost", "nowhere")], "key string, to string"))
+    body = F.to_json(F.struct(F.array("to", F.lit("region")).alias("$ptr_region"), F.array(F.lit("1"), F.lit("region")).alias("$ptr_other")))
+    objects = n.select(F.lit("pairs").alias("table"), "key", body.alias("json")).union(_objects(spark, sf).where(F.col("table") == "region"))
+    return refs.resolve_json(objects, 1, ["$ptr_region"]).where(F.col("table") == "pairs").select("key", "json")
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS key, 'label' AS field, 'not a pointer' AS reason FROM supplier
+  UNION ALL SELECT CAST(s_suppkey AS VARCHAR), '$ptr_pair', 'not a pointer' FROM supplier
+  UNION ALL SELECT CAST(s_suppkey AS VARCHAR), '$ptr_nation', 'no target' FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 1)""")
+def ptr_object_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What suppliers' pointer objects may not have: a field without the prefix, one that is no pair, targets not there."""
+    body = F.to_json(F.struct(F.array(F.col("s_nationkey").cast("string"), F.lit("nation")).alias("$ptr_nation"), F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("$ptr_pair"), F.col("s_name").alias("label")))
+    objects = table(spark, sf, "supplier").select(F.lit("supplier").alias("table"), F.col("s_suppkey").cast("string").alias("key"), body.alias("json"))
+    there = table(spark, sf, "nation").where("n_regionkey <> 1").select(F.lit("nation").alias("table"), F.col("n_nationkey").cast("string").alias("key"))
+    return refs.invalid_pointers(objects, there).select("key", "field", "reason")
+
+
+@query("SELECT c_custkey, substr(c_name, 3, 7) AS part FROM customer")
+def range_read(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").select("c_custkey", store.read_range(F.col("c_name").cast("binary"), 2, 9).cast("string").alias("part"))
+
+
+@query(f"SELECT CAST(user_id AS VARCHAR) AS key, event_type AS value, 2 AS versions FROM ({LAST.format('event_id')}) WHERE event_type <> 'error'")
+def store_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Events appended to a stored log in two writes, compacted, and read as the plain rows of the new version."""
+    logs = store.LogStore(spark, f"{shared_folder(spark)}/log-{uuid.uuid4().hex}")
+    log = _ordered(spark, sf)
+    logs.append(log.where("op = 'S'"))
+    logs.append(log.where("op = 'D'"))
+    logs.compact()
+    return logs.log().select("key", codec.as_text(F.col("payload")).alias("value"), F.lit(len(logs._versions())).alias("versions"))
+
+
+@query("SELECT 'part' || p_partkey AS key, CASE WHEN p_size > 25 THEN 'moved' ELSE p_brand END AS file, CAST(p_partkey AS BIGINT) AS first, CAST(p_partkey + p_size AS BIGINT) AS last FROM part WHERE p_size > 10")
+def snapshot_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """A snapshot's lines, and after them a log that moves and frees some."""
+    p = table(spark, sf, "part")
+    key, span = F.concat(F.lit("part"), "p_partkey"), [F.col("p_partkey").cast("string"), (F.col("p_partkey") + F.col("p_size")).cast("string")]
+    old = p.select(F.concat_ws("|", key, "p_brand", *span).alias("value"), F.col("p_partkey").alias("seq"))
+    line = F.when(F.col("p_size") > 25, F.concat_ws("|", F.lit("S"), key, F.lit("moved"), *span)).when(F.col("p_size") <= 10, F.concat_ws("|", F.lit("D"), key))
+    new = p.select(line.alias("value"), (F.col("p_partkey") + (1 << 40)).alias("seq")).where("value is not null")
+    return wal.replay(old.union(new)).select("key", "file", F.col("start").alias("first"), F.col("end").alias("last"))
+
+
+@query("SELECT 'part' || p_partkey AS key, p_brand AS file FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)")
+def legacy_import(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    lines = p.select(F.concat_ws("|", F.concat(F.lit("part"), "p_partkey"), "p_brand", F.lit("0"), F.lit("5")).alias("value"), F.col("p_partkey").alias("seq"))
+    brand = p.agg(F.min("p_brand")).first()[0]
+    return wal.legacy(wal.replay(lines), brand).select("key", "file")
+
+
+LAST_SEEN = "SELECT 'user' || user_id AS address, max(ts) AS last_active FROM events GROUP BY user_id"
+
+
+def _peers(spark: SparkSession, sf: str) -> DataFrame:
+    """Users as peers, heard of at their events; `now` is the last event of all."""
+    e = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    seen = e.groupBy(F.concat(F.lit("user"), "user_id").alias("address")).agg(F.max("ts").alias("last_active"))
+    return seen.crossJoin(e.agg(F.max("ts").alias("now")))  # one row
+
+
+MEMBERS = f"SELECT address FROM ({LAST_SEEN}) WHERE date_part('epoch', date_trunc('second', (SELECT max(ts) FROM events))) - date_part('epoch', date_trunc('second', last_active)) <= 86400"
+
+
+@query(MEMBERS)
+def network_members(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.alive(_peers(spark, sf), F.col("now"), 86_400).select("address")
+
+
+NETWORK = f"SELECT '10.0.0.1' AS server_ip, 7000 AS port, count(*) AS connected_peers, coalesce(string_agg(address, ',' ORDER BY address), '') AS peers, CAST(3 AS BIGINT) AS pending FROM ({MEMBERS})"
+
+
+def _network(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.network(metrics.alive(_peers(spark, sf), F.col("now"), 86_400), "10.0.0.1", 7000, 3)
+
+
+@query(NETWORK)
+def network_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return _network(spark, sf).select("server_ip", "port", "connected_peers", F.array_join("peers", ",").alias("peers"), F.col("pending_responses").alias("pending"))
+
+
+@query(f"""SELECT 'ok' AS status, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS uptime_seconds, count(*) AS total_requests,
+  floor(sum(CAST(trunc(value * 1000) AS BIGINT)) / count(*)) / 1e6 AS average_response_ms, max(event_id) AS last_request,
+  (SELECT count(*) FROM ({BOUND})) AS bindings, (SELECT connected_peers FROM ({NETWORK})) AS connected_peers FROM events""")
+def health(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    ends = e.agg(F.min("at").alias("started"), F.max("at").alias("now")).first()
+    api = metrics.api(e, (F.col("value") * 1000).cast("bigint"), F.col("event_id"), F.lit(ends["started"]), F.lit(ends["now"]))
+    one = metrics.health(api, feed.stats(_bindings(spark, sf)), _network(spark, sf))
+    return one.select("status", "api.*", "subscriptions.bindings", "network.connected_peers")
+
+
+@query("SELECT * FROM (VALUES ('people', 'id', 'bigint', true), ('people', 'name', 'string', false), ('places', 'city', 'string', false)) t(table_name, column_name, kind, is_key)")
+def declared_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Declared through one catalog and read through another of the same folder."""
+    folder = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+    first = Catalog(spark, folder)
+    first.execute('{"query": "create_table", "tableName": "people", "columns": [{"name": "old", "type": "int"}]}')
+    first.execute('{"query": "create_table", "tableName": "people", "columns": [{"name": "id", "type": "bigint", "isPrimaryKey": true}, {"name": "name", "type": "string"}]}')
+    first.execute({"query": "create_table", "tableName": "places", "columns": [{"name": "city", "type": "string"}]})
+    rows = Catalog(spark, folder).rows().select("table_name", F.explode("columns").alias("c"))
+    return rows.select("table_name", F.col("c.name").alias("column_name"), F.col("c.type").alias("kind"), F.coalesce("c.isPrimaryKey", F.lit(False)).alias("is_key"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

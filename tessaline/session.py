@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessaline.errors import InvalidRequest
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -27,6 +30,17 @@ def local_session(cpus: int | None = None, app: str = "tessaline") -> SparkSessi
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for shared files. Only a local session without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise InvalidRequest("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='tessaline-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables in a data folder; any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaline import schemas
-from tessaline.errors import InvalidRequest
+from tessaline.errors import Conflict, InvalidRequest
 from tessaline.operators import kv
 
 
@@ -22,23 +24,34 @@ class LogStore:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _manifests(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_versions")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
     def _versions(self) -> list[str]:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_versions")
-        if not fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs_path):
+        fs, path = self._manifests()
+        if not fs.exists(path):
             return []
         rows = self.spark.read.schema("number bigint, folder string").json(f"{self.path}/_versions").orderBy("number").collect()
         return [r["folder"] for r in rows]
 
-    def _commit(self, folder: str) -> None:
-        number = len(self._versions())
-        self.spark.createDataFrame([(number, folder)], "number bigint, folder string").coalesce(1).write.mode("append").json(f"{self.path}/_versions")
+    def _commit(self, folder: str, number: int) -> None:
+        """Writes manifest `number`, unless another writer did: a file is created once or not at all."""
+        fs, path = self._manifests()
+        fs.mkdirs(path)
+        try:
+            out = fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"{number:012d}.json"), False)
+        except Py4JJavaError as e:
+            raise Conflict(f"version {number} was committed by another writer") from e
+        out.write(bytearray(json.dumps({"number": number, "folder": folder}).encode()))
+        out.close()
 
     def append(self, log: DataFrame) -> None:
         versions = self._versions()
         folder = versions[-1] if versions else f"v-{uuid.uuid4().hex}"
         log.select("table", "key", "op", "seq", "payload", "encrypted", "ts").write.mode("append").partitionBy("table").parquet(f"{self.path}/{folder}")
         if not versions:
-            self._commit(folder)
+            self._commit(folder, 0)
 
     def log(self) -> DataFrame:
         versions = self._versions()
@@ -48,10 +61,10 @@ class LogStore:
 
     def compact(self) -> None:
         """Rewrites the log as the saves that still count. Nothing may be appended meanwhile."""
-        folder = f"v-{uuid.uuid4().hex}"
+        folder, number = f"v-{uuid.uuid4().hex}", len(self._versions())
         last = kv.latest(self.log()).select("table", "key", F.lit(schemas.SAVE).alias("op"), "seq", "payload", "encrypted", F.current_timestamp().alias("ts"))
         last.write.partitionBy("table").parquet(f"{self.path}/{folder}")
-        self._commit(folder)
+        self._commit(folder, number)
 
 
 def read_range(payload: Column, start: int, end: int) -> Column:

@@ -281,3 +281,59 @@ def test_health(spark):
     assert net.first()["peers"] == ["a", "b"]
     subs = feed.stats(spark.createDataFrame([], "conn string, table string, key string"))
     assert metrics.health(api, subs, net).first()["status"] == "ok"
+
+
+def test_patterns_mean_what_they_mean_in_re2(spark):
+    from tessaline.functions import names
+
+    def hits(pattern, *texts):
+        df = spark.createDataFrame([(t,) for t in texts], "x string")
+        return [r["x"] for r in df.where(F.col("x").rlike(names.java_pattern(pattern))).collect()]
+
+    assert hits("^abc$", "abc", "abc\n") == ["abc"] and hits("a.c", "a\rc", "a\nc") == ["a\rc"] and hits(r"a\sc", "a\x0bc", "a c") == ["a c"]
+    assert hits("[$]", "a$", "a") == ["a$"] and hits(r"a\$", "a$", "a") == ["a$"] and hits("(?m)^b$", "a\nb\nc", "ab") == ["a\nb\nc"]
+    assert hits("[[:space:]x]y", "\x0by", "xy", "ay") == ["\x0by", "xy"] and hits("(?P<n>a)b", "ab") == ["ab"] and hits("[]a]z", "]z", "az", "bz") == ["]z", "az"]
+
+
+def test_entry_keys_stay_unique(spark):
+    from tessaline.operators import inc
+
+    rows = [("t", "k", 1, "add", None, None, "k1", b"a"), ("t", "k", 2, "add", None, None, "k2", b"b")]
+    log = lambda *more: spark.createDataFrame([*rows, *more], "table string, key string, seq bigint, op string, pos bigint, count_from string, entry_key string, payload binary")
+    same = inc.state(log(("t", "k", 3, "overwrite", 0, "bottom", "k1", b"c"))).orderBy("id").collect()
+    assert [(r["entry_key"], bytes(r["payload"])) for r in same] == [("k1", b"c"), ("k2", b"b")]
+    for op, pos in (("overwrite", 0), ("insert", 0), ("add", None)):
+        with pytest.raises(Exception, match="another entry has the key k2"):
+            inc.state(log(("t", "k", 3, op, pos, "bottom", "k2", b"c"))).collect()
+    lists = inc.state(log())
+    assert inc.check_entry_keys(lists, lists).count() == 2
+    with pytest.raises(Conflict):
+        inc.check_entry_keys(lists, lists.withColumn("id", F.lit(7).cast("bigint")))
+
+
+def test_a_binding_ends_with_its_key(spark):
+    from tessaline.streaming import feed
+
+    log = spark.createDataFrame([("t", "a", 1, "S", b"x"), ("t", "a", 2, "D", None), ("t", "a", 3, "S", b"y"), ("t", "a", 4, "D", None), ("u", "a", 5, "S", b"z")], "table string, key string, seq bigint, op string, payload binary")
+    bound = spark.createDataFrame([("c1", "t", "a", None), ("c2", "t", "a", 3), ("c3", None, "a", None)], "conn string, table string, key string, since bigint")
+    got = sorted((r["conn"], r["seq"]) for r in feed.fan_out(feed.events(log), bound).collect())
+    assert got == [("c1", 1), ("c1", 2), ("c2", 3), ("c2", 4), ("c3", 1), ("c3", 2)]
+    assert feed.ended(feed.events(log), bound).count() == 3
+
+
+def test_one_writer_commits_a_version(spark, tmp_path):
+    from tessaline.sources.store import LogStore
+
+    store = LogStore(spark, f"file://{tmp_path}/log")
+    store._commit("a", 0)
+    with pytest.raises(Conflict):
+        store._commit("b", 0)
+    assert store._versions() == ["a"]
+
+
+def test_json_pointers_in_loops_stay(spark):
+    from tessaline.operators import refs
+
+    objects = spark.createDataFrame([("t", "a", '{"$ptr_b":["b","t"],"n":1}'), ("t", "b", '{"$ptr_a":["a","t"]}'), ("t", "c", "{}"), ("t", "d", None)], "table string, key string, json string")
+    got = {r["key"]: r["json"] for r in refs.resolve_json(objects, 1).collect()}
+    assert got == {"a": '{"b":{"$ptr_a":["a","t"]},"n":1}', "b": '{"a":{"$ptr_b":["b","t"],"n":1}}', "c": "{}", "d": "{}"}

@@ -53,7 +53,16 @@ def test_last_n_limits_groups_before_the_window(spark, sf):
 def test_chunks_hold_every_document(spark, tmp_path):
     texts = {1: "plain", 2: "é" * 900 + "日本", 3: "", 4: None, 5: "x" * 999 + "ü" + "y" * 1000}
     spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = reference.queries()["value_chunks_hex"](spark, str(tmp_path)).orderBy("doc_id", "chunk_no").collect()
+    rows = reference.queries()["value_chunks"](spark, str(tmp_path)).orderBy("doc_id", "chunk_no").collect()
     assert {r["doc_id"] for r in rows} == set(texts) and all(len(r["chunk"] or "") <= 2000 for r in rows)
     for i, t in texts.items():
         assert bytes.fromhex("".join(r["chunk"] or "" for r in rows if r["doc_id"] == i)) == (t or "").encode()
+
+
+def test_columns_and_kinds_match(spark, sf, duck):
+    """Kinds too, as equal values of unlike kinds hash apart."""
+    for name in ("health", "declared_tables", "subscription_stats", "feed_notified", "network_stats", "store_compacted", "snapshot_replay"):
+        got = {f.name: f.dataType.simpleString() for f in reference.queries()[name](spark, sf).schema}
+        want = dict(duck.execute(f"SELECT column_name, column_type FROM (DESCRIBE {reference.oracle_sql()[name]})").fetchall())
+        kinds = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+        assert {k: kinds[v] for k, v in got.items()} == want, name
