@@ -350,8 +350,11 @@ def taught(rows: DataFrame, known: DataFrame, models: list[CoTrained], most: int
         for view in (0, 1):
             for label, part in ((1, model.prior), (0, 1 - model.prior)):
                 share = F.when(F.col("kind") == (task * 2 + view) * 2 + label, float(part)).otherwise(share)
-    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("odds"), "id", "own"))
-    best = sure.withColumn("place", place).where(F.col("place") <= most).where(F.col("place") <= F.ceil(F.lit(most) * share))
+    # First the surest of each of many shares of a kind, so that the last cut is over a bounded number of rows.
+    shares = F.pmod(F.xxhash64("id", "own"), F.lit(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    order = (F.desc("odds"), "id", "own")
+    some = sure.withColumn("of", shares).withColumn("place", F.row_number().over(Window.partitionBy("kind", "of").orderBy(*order))).where(F.col("place") <= most)
+    best = some.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).where(F.col("place") <= most).where(F.col("place") <= F.ceil(F.lit(most) * share))
     # View 0 is the text: it teaches the metadata view, and the other way round.
     columns = [F.max(F.when(F.expr(f"kind div 2 = {2 * task + 1 - view}"), F.col("kind") % 2)).cast("int").alias(f"to_{name}_{TASKS[task]}") for task in (0, 1) for view, name in enumerate(("text", "meta"))]
     return best.groupBy("id", "own").agg(*columns)

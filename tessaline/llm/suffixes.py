@@ -143,9 +143,10 @@ def anchored(rows: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int, sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """Rows (id, body, spans) of (id, body, text): byte ranges covered by strings that also start elsewhere."""
     every = common.written(anchored(docs, length), "suffix-runs")
-    twice = every.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    # Small tables that are joined are written first: both sides are then plain exchanges, which adaptive execution splits where a name is frequent.
+    twice = common.written(every.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "suffix-twice")
     some = common.written(every.join(twice, "fp", "left_semi"), "suffix-candidates")
-    common.discard(every)
+    common.discard(every, twice)
 
     # The whole range of an anchor's windows: one run stands for all with the same bytes.
     classes = some.groupBy("fp", "own").agg(F.count("*").alias("m"), F.min(F.struct("id", "body", "at")).alias("one"))
@@ -153,7 +154,7 @@ def repeated_spans(docs: DataFrame, length: int, sizes: tuple[int, ...] = SIZES)
     whole = some.join(classes.where("m > 1").select("fp", "own"), ["fp", "own"], "left_semi")
     spans = common.written(whole.select("id", "body", "at"), "suffix-whole")
     common.discard(some)
-    mixed = classes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    mixed = common.written(classes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "suffix-mixed")
     asked = classes.join(mixed, "fp", "left_semi").groupBy("id", "body").agg(F.collect_list(F.struct("fp", "m", "at")).alias("asked"))
     met = docs.join(asked, docs.id.eqNullSafe(asked.id) & (docs.body == asked.body)).select(docs.id, docs.body, "text", "asked")
 
@@ -191,7 +192,7 @@ def repeated_spans(docs: DataFrame, length: int, sizes: tuple[int, ...] = SIZES)
         twice = kinds.where("c > 1").select("core", "key", "ab")
         found.append(common.written(nodes.where("alone").join(twice, ["core", "key", "ab"], "left_semi").select("rid", "ab"), f"suffix-found{size}"))
         if size > 1:
-            mixed = kinds.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+            mixed = common.written(kinds.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), f"suffix-mixed{size}")
             open_ = kinds.join(mixed, "core", "left_semi").select("rid", F.expr(f"ab div {RANGE}").alias("x"), F.expr(f"ab % {RANGE}").alias("y"), F.expr("alone and c = 1").alias("alone"))
             cells = open_.join(ctx.select("rid", "fp", "bytes", "hi"), "rid")
         used += [nodes, kinds]
@@ -199,7 +200,7 @@ def repeated_spans(docs: DataFrame, length: int, sizes: tuple[int, ...] = SIZES)
     anchor = F.expr(f"at div {RANGE} div {RANGE}")
     part = part.select("id", "body", (anchor - F.expr(f"ab % {RANGE}")).alias("a"), (anchor - F.expr(f"ab div {RANGE}") + length).alias("b"))
     whole = spans.select("id", "body", (anchor - hi).alias("a"), (anchor - lo + length).alias("b"))
-    out = common.written(whole.union(part).groupBy("id", "body").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "suffix-removed")
+    out = common.written(whole.union(part).groupBy("id", "body").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "suffix-removed")
     common.discard(spans, ctx, *found, *used)
     return out
 

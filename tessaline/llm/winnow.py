@@ -74,11 +74,13 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, least: int) -> Da
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("own"), text.alias("text"))
     marks = common.written(selected(rows, least), "winnow-marks")
-    twice = marks.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    # Written, as are the origins: both sides of the joins are then plain exchanges, which adaptive execution splits where a line is frequent.
+    twice = common.written(marks.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "winnow-twice")
     met = marks.join(twice, "fp", "left_semi").select("id", "own", F.explode("windows").alias("w"))
     met = common.written(met.select("id", "own", "w.*"), "winnow-windows")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "own", "first")
     origin = met.groupBy("key").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
+    origin = common.written(origin, "winnow-origins")
     later = met.join(origin, "key").where(place != F.col("origin"))
     return later.groupBy("id", "own").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
