@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,29 +29,72 @@ ENDS_P = BLOCK - {"button", "label", "option", "body", "html", "head"}
 LABELS = ("main", "rest")
 MOST_LABELLED = 2000
 
-TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What ends a tag or begins a quoted value in it; the end of a comment; the end of an element whose content isn't markup.
+IN_TAG = re.compile(r">|=\s*([\"'])")
+COMMENT_END = re.compile(r"--!?>")
+RAW_ENDS = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.IGNORECASE) for name in RAW}
 NAMED = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 PARTS = re.compile(r"[A-Za-z]+")
+#: Letters of a tag's attributes in which names are looked for.
+NAMED_LETTERS = 4096
 
 
 class Block:
-    """A leaf block: its text, the tags and names of its ancestors, its words and those within links."""
+    """A leaf block: its text, its nearest block element, features of all its ancestors, its words and those within links."""
 
-    __slots__ = ("text", "tags", "names", "words", "linked")
+    __slots__ = ("text", "own", "up", "words", "linked")
 
-    def __init__(self, text: str, tags: tuple, names: tuple, linked: int) -> None:
-        self.text, self.tags, self.names, self.words, self.linked = text, tags, names, text.count(" ") + 1, linked
+    def __init__(self, text: str, own: str, up: frozenset, linked: int) -> None:
+        self.text, self.own, self.up, self.words, self.linked = text, own, up, text.count(" ") + 1, linked
 
 
-def blocks(page: str) -> list[Block]:
+class Open:
+    """An open element: name, nearest block element, features of it and its ancestors, and where on the stack the nearest
+    block and the nearest element that holds or ends list items and cells lie."""
+
+    __slots__ = ("name", "own", "up", "block_at", "hold_at")
+
+    def __init__(self, name: str, names: set, below: Open | None, place: int, known) -> None:
+        own, up, self.block_at, self.hold_at = ("none", frozenset(), -1, -1) if below is None else (below.own, below.up, below.block_at, below.hold_at)
+        new = {f"name:{x}" for x in names} | ({f"up:{name}"} if name in BLOCK or name == "a" else set())
+        # Ancestors that add nothing that the model knows share their features, however deep a page is nested.
+        new = {x for x in new if known is None or x in known} - up
+        self.name, self.up = name, up | new if new else up
+        self.own = name if name in BLOCK else own
+        if name in BLOCK:
+            self.block_at = place
+        if name in HOLDS or name in CLOSES:
+            self.hold_at = place
+
+
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Where a tag ends whose name ends at `at`: behind the first > outside quoted values, or at the end of the page.
+
+    A value whose quote isn't closed anywhere ends the tag at the next >.
+    """
+    while m := IN_TAG.search(page, at):
+        if not m[1]:
+            return m.end()
+        if last.setdefault(m[1], page.rfind(m[1])) < m.end():
+            end = page.find(">", m.end())
+            return end + 1 if end >= 0 else len(page)
+        at = page.index(m[1], m.end()) + 1
+    return len(page)
+
+
+def blocks(page: str, known=None) -> list[Block]:
     """Leaf blocks in page order: runs of text between the edges of block elements, references decoded.
 
     White space inside a block becomes one space. Scripts, styles, titles, comments and other elements
     whose content isn't text are no blocks. Unclosed paragraphs, list items and cells end as browsers end them.
+    Time is linear in the page. known: features of ancestors that are wanted (all, if none are given).
     """
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
+    stack: list[Open] = []
+    count: Counter = Counter()
     buffer: list[str] = []
+    last: dict[str, int] = {}
     linked = 0
     at, n = 0, len(page)
 
@@ -59,7 +103,7 @@ def blocks(page: str) -> list[Block]:
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             if text:
-                out.append(Block(text, tuple(s[0] for s in stack), tuple(x for s in stack for x in s[1]), min(linked, text.count(" ") + 1)))
+                out.append(Block(text, stack[-1].own if stack else "none", stack[-1].up if stack else frozenset(), min(linked, text.count(" ") + 1)))
             buffer.clear()
         linked = 0
 
@@ -67,37 +111,59 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         if piece:
             buffer.append(piece)
-            if any(s[0] == "a" for s in stack):
+            if count["a"]:
                 linked += len(piece.split())
 
+    def cut(k: int) -> None:
+        for x in stack[k:]:
+            count[x.name] -= 1
+        del stack[k:]
+
     def close(name: str) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                if any(s[0] in BLOCK for s in stack[k:]):
-                    flush()
-                del stack[k:]
-                return
+        if count[name]:
+            k = len(stack) - 1
+            while stack[k].name != name:
+                k -= 1
+            if stack[-1].block_at >= k:
+                flush()
+            cut(k)
 
     while at < n:
-        m = TAG.search(page, at)
-        if not m:
+        begin = page.find("<", at)
+        if begin < 0:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[1]:
-            name = m[1].lower()
-            if name == "p" and not any(s[0] == "p" for s in stack):
+        text(page[at:begin])
+        sign = page[begin + 1 : begin + 2]
+        if page.startswith("<!--", begin):
+            end = COMMENT_END.search(page, begin + 2)
+            at = end.end() if end else n
+            continue
+        if sign in ("!", "?") or sign == "/" and not page[begin + 2 : begin + 3].isalpha():
+            at = page.find(">", begin) + 1 or n
+            continue
+        if sign == "/":
+            m = NAME.match(page, begin + 2)
+            if not m:  # a letter beyond ASCII
+                at = page.find(">", begin) + 1 or n
+                continue
+            at = page.find(">", m.end()) + 1 or n
+            name = m[0].lower()
+            if name == "p" and not count["p"]:
                 flush()
             elif name == "br":
                 buffer.append(" ")
             close(name)
             continue
-        if not m[2]:
+        m = NAME.match(page, begin + 1)
+        if not m:
+            text("<")
+            at = begin + 1
             continue
-        name = m[2].lower()
+        at = _tag_end(page, m.end(), last)
+        name, told = m[0].lower(), page[m.end() : min(at, m.end() + NAMED_LETTERS)]
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
+            end = RAW_ENDS[name].search(page, at)
             at = end.end() if end else n
             if name in ("textarea", "iframe"):
                 flush()
@@ -106,24 +172,22 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in BLOCK:
             flush()
-        if name in ENDS_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK:
-                    break
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in CLOSES.get(name, ()):
-                del stack[k:]
+        if name in ENDS_P and stack and stack[-1].block_at >= 0 and stack[stack[-1].block_at].name == "p":
+            cut(stack[-1].block_at)
+        k = stack[-1].hold_at if stack and name in CLOSES else -1
+        while k >= 0:
+            if stack[k].name in CLOSES[name]:
+                cut(k)
                 break
-            if stack[k][0] in HOLDS or name not in CLOSES:
+            if stack[k].name in HOLDS:
                 break
+            k = stack[k - 1].hold_at if k else -1
         if name == "br":
             buffer.append(" ")
-        elif name not in VOID and not m[3].rstrip().endswith("/") or name in BLOCK - VOID:
-            names = tuple(x.lower() for v in NAMED.findall(m[3]) for x in PARTS.findall("".join(v[1:]))) if m[3] else ()
-            stack.append((name, names))
+        elif name not in VOID and not page.endswith("/>", max(at - 2, 0), at) or name in BLOCK - VOID:
+            names = {x.lower() for v in NAMED.findall(told) for x in PARTS.findall("".join(v[1:]))} if told else set()
+            stack.append(Open(name, names, stack[-1] if stack else None, len(stack), known))
+            count[name] += 1
     flush()
     return out
 
@@ -134,9 +198,9 @@ def features(page: list[Block]) -> list[list[str]]:
     n = len(page)
     seen_head = False
     for i, b in enumerate(page):
-        own = next((t for t in reversed(b.tags) if t in BLOCK), "none")
+        own = b.own
         density = b.linked / b.words
-        f = ["bias", f"own:{own}", *{f"up:{t}" for t in b.tags if t in BLOCK or t == "a"}, *{f"name:{x}" for x in b.names}]
+        f = ["bias", f"own:{own}", *b.up]
         f += [f"words:{min(b.words.bit_length(), 7)}", f"links:{int(4 * density)}"]
         last = b.text[-1]
         if last in ".!?":
@@ -156,13 +220,12 @@ def features(page: list[Block]) -> list[list[str]]:
         seen_head = seen_head or own == "h1"
         for k, where in ((i - 1, "before"), (i + 1, "after")):
             if 0 <= k < n:
-                near = next((t for t in reversed(page[k].tags) if t in BLOCK), "none")
-                f += [f"{where}:{near}", f"{where}-words:{min(page[k].words.bit_length(), 7)}"]
+                f += [f"{where}:{page[k].own}", f"{where}-words:{min(page[k].words.bit_length(), 7)}"]
         out.append(f)
     return out
 
 
-def seed_pages(n: int = 500, seed: int = 11) -> list[tuple[str, list[str]]]:
+def seed_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[str]]]:
     """A small labelled table: invented pages with the label of each leaf block, made by rule."""
     rng = random.Random(seed)
     letters = "abcdefghijklmnopqrstuvwxyz"
@@ -206,8 +269,12 @@ def seed_pages(n: int = 500, seed: int = 11) -> list[tuple[str, list[str]]]:
                 put(f'<div class="{rng.choice(["share social", "share-buttons", "tags meta"])}">{inner}</div>', "rest")
             elif kind == "comments":
                 k = rng.randint(1, 5)
-                box, one = rng.choice([("<section id=\"comments\"><h3>%s</h3>%s</section>", "<p>%s</p>"), ('<div class="comments"><h2>%s</h2>%s</div>', '<div class="comment"><p>%s</p></div>'), ('<ol class="commentlist replies"><li>%s</li>%s</ol>', "<li>%s</li>"), ('<section class="comments"><h3>%s</h3>%s</section>', '<article class="comment"><p>%s</p></article>'), ('<div id="disqus_thread" class="discussion"><h3>%s</h3>%s</div>', "<p>%s</p>")])
-                put(box % (some(1, 3), "".join(one % " ".join(sentence(4, 25) for _ in range(rng.randint(1, 2))) for _ in range(k))), *["rest"] * (k + 1))
+                box, one = rng.choice([("<section id=\"comments\"><h3>%s</h3>%s</section>", "<p>%s</p>"), ('<div class="comments"><h2>%s</h2>%s</div>', '<div class="comment"><p>%s</p></div>'), ('<ol class="commentlist replies"><li>%s</li>%s</ol>', "<li>%s</li>"), ('<section class="comments"><h3>%s</h3>%s</section>', '<article class="comment"><p>%s</p></article>'), ('<div id="disqus_thread" class="discussion"><h3>%s</h3>%s</div>', "<p>%s</p>"), ('<div class="responses"><h4>%s</h4>%s</div>', '<div class="response user"><p>%s</p></div>'), ('<div class="feedback reactions"><h3>%s</h3>%s</div>', '<div class="reply"><p>%s</p></div>'), ('<ul class="talkback thread"><li>%s</li>%s</ul>', "<li><p>%s</p></li>")])
+                said = "".join(one % " ".join(sentence(4, 25) for _ in range(rng.randint(1, 2))) for _ in range(k))
+                if rng.random() < 0.3:  # without a heading
+                    put(re.sub(r"<(h\d|li)>%s</\1>", "", box, count=1) % said, *["rest"] * k)
+                else:
+                    put(box % (some(1, 3), said), *["rest"] * (k + 1))
 
         def prose() -> str:
             if rng.random() < 0.2:  # without sentences: lists of words, bare words, one word again and again
@@ -254,10 +321,28 @@ def seed_pages(n: int = 500, seed: int = 11) -> list[tuple[str, list[str]]]:
                     got.append("rest")
             return "".join(inner), got
 
+        if rng.random() < 0.2:  # short pages, often of nothing but the article
+            for kind in ("nav", "footer", "ad"):
+                if rng.random() < 0.15:
+                    rest(kind)
+            k = rng.randint(1, 3)
+            shape = rng.choice(["<article><p>%s</p></article>", "<article>%s</article>", "<p>%s</p>", "<div>%s</div>", "%s", "<main><p>%s</p></main>", "<body><p>%s</p></body>", "<section><p>%s</p></section>", "<article><h1>%s</h1></article>"])
+            inner = [prose() for _ in range(k)] if "<p>" in shape else [prose()]
+            put(shape % "</p><p>".join(inner), *["main"] * len(inner))
+            if rng.random() < 0.15:
+                rest("footer")
+            rows.append((rng.choice(["%s", "%s", "<html><body>%s</body></html>", "<!DOCTYPE html><html><head><title>t</title></head><body>%s"]) % "".join(parts), labels))
+            continue
         for kind in ("header", "nav", "notice", "ad", "form", "side"):
             if rng.random() < (0.7 if kind == "nav" else 0.35):
                 rest(kind)
         inner, got = body()
+        if rng.random() < 0.25:  # readers' comments within the article's element
+            before, told = len(parts), len(labels)
+            rest("comments")
+            inner += "".join(parts[before:])
+            got = got + labels[told:]
+            del parts[before:], labels[told:]
         wrap = rng.choice(["<article>%s</article>", "<article>%s</article>", "<main><article>%s</article></main>", "<main>%s</main>", '<div class="content post">%s</div>', '<div id="content"><div class="entry article">%s</div></div>', '<article class="post">%s</article>', '<section class="story">%s</section>', '<div class="wrapper"><div class="main">%s</div></div>', "<div>%s</div>"])
         put(wrap % inner, *got)
         for kind in ("share", "comments", "side", "sideText", "ad", "nav", "form", "footer", "notice"):
@@ -284,7 +369,8 @@ def train(labelled: DataFrame, most: int = MOST_LABELLED) -> Model:
 
 def main_texts(model: Model, pages: list[str]) -> list[str]:
     """The blocks labelled main of each page, joined by line feeds."""
-    parsed = [blocks(p) for p in pages]
+    known = {f for f in model.index if f.startswith(("up:", "name:"))}
+    parsed = [blocks(p, known) for p in pages]
     length = np.array([len(p) for p in parsed], np.int64)
     label = model.decode(model.emissions([f for p in parsed for f in features(p)]), length)
     begin = np.cumsum(length) - length

@@ -33,6 +33,44 @@ def test_blocks_close_as_browsers_do():
     assert texts("<" * 50 + "p") and texts("") == []
 
 
+#: Pages written by hand, and their main text.
+BY_HAND = [
+    ("<article><p>Hello world.</p></article>", "Hello world."), ("<article><p>a&nbsp;b and more of it.</p></article>", "a b and more of it."), ("<p>A lone paragraph.</p>", "A lone paragraph."),
+    ("<div>Some bare words in a box.</div>", "Some bare words in a box."), ("plain words only", "plain words only"), ("<html><body><p>One.</p><p>Two has more words.</p></body></html>", "One.\nTwo has more words."),
+    ('<p class="x>broken</p>', "broken"), ("<p title='it>Never closed quote here.", "Never closed quote here."), ('<p data-x="a > b">Kept text of the story.</p>', "Kept text of the story."),
+    ("<header>My Site</header><nav><a href=/>Home</a> <a href=/n>News</a></nav><main><h1>Big news today</h1><p>It happened at noon, they said.</p></main><footer>Copyright 2020 Me</footer>", "Big news today\nIt happened at noon, they said."),
+    ('<div class="menu"><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div><article><h1>Title of it</h1><p>Body text of the article goes here.</p><div class="ad">Buy this now!</div><p>And it goes on after that.</p></article>', "Title of it\nBody text of the article goes here.\nAnd it goes on after that."),
+    ('<article><p>The story is told in full here.</p><div class="comments"><p>Great story, I liked it.</p></div></article><footer>&copy; Somebody</footer>', "The story is told in full here."),
+    ("<article><p>a</p></article><script>if (a < b) document.write('<p>no</p>')</script>", "a"),
+]
+
+
+def test_pages_by_hand(spark):
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(BY_HAND)], "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(BY_HAND))] == [w for _, w in BY_HAND]
+
+
+@pytest.mark.parametrize("page", [
+    "<a '" * 250_000, "<a =\"" * 200_000, "<a b='" * 170_000, "<div>" * 100_000 + "x", "<div>x" * 100_000, "<b>" * 100_000 + "<hr>" * 100_000, "<p>" + "<b>" * 50_000 + "<li></li>" * 50_000, "</x>" * 200_000, "<" * 1_000_000,
+    "<!--" * 200_000, "&amp" * 200_000, '<div class="a b c d">y' * 40_000, "<ul><li>" * 50_000, "".join(f'<i class="{k}z">w' for k in range(60_000)).replace("0", "o"),
+])
+def test_long_and_deep_pages_take_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    found = htmltext.blocks(page, {"up:div", "name:a"})
+    assert time.perf_counter() - began < 6, len(found)
+
+
+def test_markup_never_is_text():
+    rng = np.random.default_rng(9)
+    parts = ["<p>", "</p>", "<div class='a'>", "</div>", "word ", "<b", ">", '<a href="x', '">', "<!-- c -->", "<script>x<y</script>", "&lt;", "é", "<br/>", "<li>", "'", '"', "="]
+    for _ in range(2000):
+        page = "".join(rng.choice(parts, rng.integers(1, 12)))
+        for b in htmltext.blocks(page):
+            assert "<p>" not in b.text and "</" not in b.text and "<!--" not in b.text and "class=" not in b.text, page
+
+
 def test_pages_held_out():
     rows = htmltext.seed_pages()
     assert all(len(htmltext.blocks(h)) == len(y) for h, y in rows)
