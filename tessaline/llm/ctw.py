@@ -37,7 +37,7 @@ from tessaline.llm import common
 #: Bytes of context at most, and those at which a subtree is handed to one task.
 DEPTH, FIRST = 6, 4
 #: Text bytes of a chunk, those whose grams are sorted or looked up at once, grams of a task.
-CHUNK_BYTES, SORT_BYTES, LOOK_BYTES, TASK_GRAMS = 64 << 20, 4 << 20, 1 << 20, 400_000
+CHUNK_BYTES, SORT_BYTES, LOOK_BYTES, TASK_GRAMS = 48 << 20, 4 << 20, 1 << 20, 400_000
 #: Sorted pieces that are merged at once.
 MERGED = 4
 SPACE, END = 32, 10
@@ -387,6 +387,8 @@ def chunked(rows: DataFrame, parts: int, depth: int, chunk_bytes: int) -> DataFr
         if chunk.size:
             for row in chunk.rows():
                 yield out([row])
+        del chunk
+        common.trim()
 
     return rows.mapInArrow(run, PACKED)
 
@@ -463,6 +465,8 @@ def gram_values(packed: DataFrame, scores: DataFrame, parts: int) -> DataFrame:
     def give(table: pa.Table, scores: pa.Table) -> pa.Table:
         known = Lookup(scores.column("gram").to_numpy().view(U), scores.column("logp").to_numpy())
         values = [known.of(_unpack(k))[0].tobytes() for k in table.column("keys")]
+        del known
+        common.trim()
         return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "kind": table.column("kind"), "keys": table.column("keys"), "counts": pa.array(values, pa.binary())})
 
     return packed.where(F.col("kind") == GRAMS).groupBy("part").cogroup(scores.withColumn("part", part).groupBy("part")).applyInArrow(give, PACKED)
@@ -490,10 +494,13 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     sums = np.array([np.frombuffer(r["counts"], "<i8") for r in words.where("chunk = -1").select("counts").toLocalIterator()]).reshape(-1, 2).sum(0)
     n_all, v = int(sums[0]), int(sums[1])
     counts = common.written(gram_counts(packed), "ctw-counts")
+    common.release(docs.sparkSession)
     scores = gram_scores(counts, depth)
+    common.discard(counts)
     values = gram_values(packed, scores, parts)
 
     def score(table: pa.Table) -> pa.Table:
+        common.trim()
         kind = table.column("kind").to_numpy()
         keys, raw = table.column("keys"), table.column("counts")
         at = {k: np.flatnonzero(kind == k).tolist() for k in (TEXTS, GRAMS, WORDS)}
@@ -519,6 +526,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
                     id_col: part.column("id"), "held_out": part.column("held"), "n_tokens": n_tokens, "n_known": np.add.reduceat((c > 0)[code], first, dtype=np.int64),
                     "train_tokens": np.full(len(part), n_all), "base_score": np.add.reduceat(base[code], first), "score": total, "bits_per_byte": -total / math.log10(2) / np.diff(ends),
                 }))
+        del known, words
+        common.trim()
         return pa.concat_tables(out)
 
     schema = f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
