@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessaline.llm import common
@@ -321,8 +321,9 @@ def labelled(rows: DataFrame, labels: DataFrame, id_col: str, most: int) -> Trai
 def taught(rows: DataFrame, known: DataFrame, models: list[CoTrained], most: int, confidence: float, lift: float) -> DataFrame:
     """Rows (id, own, and what each view is to learn: to_text_quality, ... of 0 or 1): the surest of all unlabelled rows.
 
-    Every unlabelled row is scored by both views; of each task, view and class the `most` surest are taken, as many of
-    each class as the labels have of it. Ties go by id and text.
+    Every unlabelled row is scored by both views. All unlabelled rows are dealt into pools by a hash, `most` for each task
+    and view, divided among the classes as the labels are; of each pool the surest row is taken, if any is sure.
+    Ties go by id and text.
     """
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
@@ -345,26 +346,25 @@ def taught(rows: DataFrame, known: DataFrame, models: list[CoTrained], most: int
 
     free = rows.join(known, "id", "left_anti")
     sure = free.mapInArrow(run, "id long, own long, kind long, odds double").dropDuplicates(["id", "own", "kind"])
-    share = F.lit(0.0)
+    pools = F.lit(1)
     for task, model in enumerate(models):
         for view in (0, 1):
             for label, part in ((1, model.prior), (0, 1 - model.prior)):
-                share = F.when(F.col("kind") == (task * 2 + view) * 2 + label, float(part)).otherwise(share)
-    # First the surest of each of many shares of a kind, so that the last cut is over a bounded number of rows.
-    shares = F.pmod(F.xxhash64("id", "own"), F.lit(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    order = (F.desc("odds"), "id", "own")
-    some = sure.withColumn("of", shares).withColumn("place", F.row_number().over(Window.partitionBy("kind", "of").orderBy(*order))).where(F.col("place") <= most)
-    best = some.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).where(F.col("place") <= most).where(F.col("place") <= F.ceil(F.lit(most) * share))
+                pools = F.when(F.col("kind") == (task * 2 + view) * 2 + label, max(1, int(np.ceil(most * part)))).otherwise(pools)
+    # Pools by hash: the surest of each, so that what is taught is as varied as the documents are.
+    first = F.min(F.struct((-F.col("odds")).alias("odds"), "id", "own")).alias("s")
+    best = sure.groupBy("kind", F.pmod(F.xxhash64("id", "own"), pools).alias("pool")).agg(first).select("kind", "s.id", "s.own")
     # View 0 is the text: it teaches the metadata view, and the other way round.
     columns = [F.max(F.when(F.expr(f"kind div 2 = {2 * task + 1 - view}"), F.col("kind") % 2)).cast("int").alias(f"to_{name}_{TASKS[task]}") for task in (0, 1) for view, name in enumerate(("text", "meta"))]
     return best.groupBy("id", "own").agg(*columns)
 
 
-def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int, most_taught: int, rounds: int, confidence: float = 0.95, lift: float = 10.0) -> list[CoTrained]:
+def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int, most_taught: int, rounds: int, confidence: float = 0.95, lift: float = 10.0, share: float = 0.1) -> list[CoTrained]:
     """Co-trained models of quality and toxic.
 
     Each round fits both views, scores all unlabelled documents with both, and adds the surest to what the other view is
-    trained on. A document may be taught once by each view; labels in the labels table are never overruled.
+    trained on: `share` as many as there are training rows in the first round, twice as many in the second and so on,
+    `most_taught` at most. A document may be taught once by each view; labels in the labels table are never overruled.
     """
     rows = _columns(docs, id_col, text_col)
     training = labelled(rows, labels, id_col, most)
@@ -378,7 +378,8 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most
         if turn == rounds or all(m.text is None for m in models):
             break
         columns = [f"to_{v}_{t}" for t in TASKS for v in ("text", "meta")]
-        chosen = common.written(taught(rows, known, models, most_taught, confidence, lift), f"cotrain-taught{turn}")
+        pools = min(most_taught, int(np.ceil(share * (turn + 1) * (fold > 1).sum())))
+        chosen = common.written(taught(rows, known, models, pools, confidence, lift), f"cotrain-taught{turn}")
         if chosen.isEmpty():
             break
         more, ints = _brought(rows, chosen, columns)
