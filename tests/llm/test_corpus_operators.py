@@ -243,7 +243,8 @@ def test_tiles_are_greedy():
         tiles = tiling.tile(item, text, 3)
         assert all(item[i : i + n] == text[j : j + n] and n >= 3 for i, j, n in tiles)
         assert len({x for i, _, n in tiles for x in range(i, i + n)}) == sum(n for *_, n in tiles) == len({x for _, j, n in tiles for x in range(j, j + n)})
-        assert tiles[0][2] if tiles else 0 == max((n for *_, n in tiles), default=0)
+        assert (tiles[0][2] if tiles else 0) == max((n for *_, n in tiles), default=0)
+        assert sum(n for *_, n in tiles) == brute_tiles(item, text, 3)
     item, text = list(range(20)), [9, *range(10, 20), 99, *range(10)]
     assert sum(n for *_, n in tiling.tile(item, text, 3)) == brute_tiles(item, text, 3)
 
