@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tessaline.llm import common
 
+#: Karp-Rabin over runs of lines: modulus and base.
+MODULUS, BASE = (1 << 127) - 1, 0x3C6EF372FE94F82BA54FF53A5F1D36F1
 POSITIONS = "fp long, id long, own long, windows array<struct<first:int,last:int,key:binary>>"
 
 
@@ -21,36 +24,53 @@ def positions(text: str, least: int) -> dict[int, tuple[int, list[tuple[int, int
     A window is a shortest run of lines of at least `least` words from a line on, or up to a line. Of each
     window from a line on, the line with the smallest hash is selected, the last such. Every run of lines
     with that many words holds such a window, so equal runs hold equal selected lines; and the windows
-    within a run, taken both ways, cover all of it.
+    within a run, taken both ways, cover all of it. Time is linear in the text, however many lines a window has.
     """
     lines = text.split("\n")
     total = np.concatenate([[0], np.cumsum([len(x.split()) for x in lines])])
-    raw = [x.encode("utf-8", "surrogatepass") for x in lines]
-    hashes = [xxhash.xxh3_64_intdigest(x) for x in raw]
     n = len(lines)
-    last = np.searchsorted(total, total[:-1] + least)  # offset after the window from each line on
-    first = np.searchsorted(total, total[1:] - least, side="right") - 1  # line where the window up to each line begins
+    last = np.searchsorted(total, total[:-1] + least).tolist()  # offset after the window from each line on
+    first = (np.searchsorted(total, total[1:] - least, side="right") - 1).tolist()  # line where the window up to each line begins
+    if last[0] > n:
+        return {}
+    wide = [xxhash.xxh3_128_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines]
+    hashes = [h & (1 << 64) - 1 for h in wide]
+    digest = _run_digests(wide, max(1, *(e - i for i, e in enumerate(last) if e <= n), *(j + 1 - b for j, b in enumerate(first) if b >= 0)))
     out: dict[int, tuple[int, list]] = {}
-    chosen: dict[int, int] = {}
-    best = -1
-    for i in range(n):
-        e = int(last[i])
+
+    def add(at: int, a: int, b: int) -> None:
+        h = hashes[at]
+        out.setdefault(at, (h - (1 << 64) if h >> 63 else h, []))[1].append((a, b, digest(a, b)))
+
+    chosen: list[int] = []
+    falling: deque[int] = deque()  # lines of the window that no later line of it undercuts or equals
+    end = 0
+    for i, e in enumerate(last):
         if e > n:
             break
-        if best < i or e - 1 > best:
-            lo = i if best < i else best
-            best = min(range(lo, e), key=lambda j: (hashes[j], -j)) if e - lo > 1 else lo
-        chosen[i] = best
-        _add(out, best, hashes, i, e - 1, raw)
-    for j in range(n):
-        b = int(first[j])
-        if b >= 0 and (b not in chosen or last[b] - 1 != j):
-            _add(out, chosen[b], hashes, b, j, raw)
+        for j in range(end, e):
+            while falling and hashes[falling[-1]] >= hashes[j]:
+                falling.pop()
+            falling.append(j)
+        end = e
+        while falling[0] < i:
+            falling.popleft()
+        chosen.append(falling[0])
+        add(falling[0], i, e - 1)
+    for j, b in enumerate(first):
+        if b >= 0 and last[b] - 1 != j:
+            add(chosen[b], b, j)
     return out
 
 
-def _add(out: dict, at: int, hashes: list[int], a: int, b: int, raw: list[bytes]) -> None:
-    out.setdefault(at, (hashes[at] - (1 << 64) if hashes[at] >> 63 else hashes[at], []))[1].append((a, b, xxhash.xxh3_128_digest(b"\n".join(raw[a : b + 1]))))
+def _run_digests(wide: list[int], longest: int) -> Callable[[int, int], bytes]:
+    """Digest of the run from line a to line b, each in constant time: Karp-Rabin over 128-bit line hashes."""
+    heads, powers = [0], [1]
+    for h in wide:
+        heads.append((heads[-1] * BASE + h + 1) % MODULUS)
+    for _ in range(longest):
+        powers.append(powers[-1] * BASE % MODULUS)
+    return lambda a, b: ((heads[b + 1] - heads[a] * powers[b + 1 - a]) % MODULUS).to_bytes(16, "little")
 
 
 def selected(rows: DataFrame, least: int) -> DataFrame:

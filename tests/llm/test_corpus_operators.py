@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -210,6 +212,21 @@ def test_lines(spark):
     assert winnow.dedup_lines(odd(spark, [])).count() == 0
 
 
+def test_lines_among_blank_ones(spark):
+    rng = random.Random(4)
+    texts = ["\n".join(rng.choice(["", "", "", " ", "a", "a b", "a b c", "d e f g h"]) for _ in range(rng.randrange(1, 14))) for _ in range(60)]
+    got = {r["doc_id"]: r["text"] for r in winnow.dedup_lines(odd(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_lines(texts, 5)
+
+
+@pytest.mark.parametrize("line", [lambda i: "", lambda i: " " * (i % 300)])
+def test_windows_of_many_blank_lines(line):
+    text = "\n".join(line(i) for i in range(100_000)) + "\na b c d e f"
+    began = time.process_time()
+    windows = [w for _, some in winnow.positions(text, 5).values() for w in some]
+    assert len(windows) == 100_001 and {b for _, b, _ in windows} == {100_000} and time.process_time() - began < 20
+
+
 def test_lines_keep_null_and_repeated_ids(spark):
     rows = winnow.dedup_lines(odd(spark, [LINE, LINE, LINE, LINE], [None, 2, 2, 5])).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in rows) == [(False, 2, LINE), (False, 2, LINE), (False, 5, ""), (True, 0, "")]
