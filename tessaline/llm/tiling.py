@@ -44,39 +44,63 @@ def _rolling(codes: list[int], size: int) -> list[int]:
     return out
 
 
+def _free(codes: list[int], marked: bytearray, shared: set[int], least: int) -> list[tuple[int, int]]:
+    """Runs (begin, end) of at least `least` unmarked codes that both sides have."""
+    runs, begin = [], 0
+    for i, c in enumerate(codes):
+        if marked[i] or c not in shared:
+            if i - begin >= least:
+                runs.append((begin, i))
+            begin = i + 1
+    return [*runs, (begin, len(codes))] if len(codes) - begin >= least else runs
+
+
+def _matches(item: list[int], text: list[int], item_runs: list, text_runs: list, size: int) -> Iterator[tuple[int, list[int]]]:
+    """In order of place, each place in item with an unmarked run of `size` and the places in text with its hash."""
+    wanted = [(a + k, h) for a, b in item_runs for k, h in enumerate(_rolling(item[a:b], size))]
+    hashes, places = {h for _, h in wanted}, {}
+    for a, b in text_runs:
+        for k, h in enumerate(_rolling(text[a:b], size)):
+            if h in hashes:
+                places.setdefault(h, []).append(a + k)
+    return ((i, places[h]) for i, h in wanted if h in places)
+
+
 def tile(item: list[int], text: list[int], least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in item, place in text, length), longest first, none overlapping another.
 
-    At each length from the longest possible to `least`, runs of unmarked tokens that agree are found by
-    their rolling hashes, compared token by token, and marked in order of item then text place.
+    The longest length at which unmarked runs agree is found by halving: runs that agree at a length agree at all
+    shorter ones. There, runs found by their rolling hashes are compared token by token and marked in order of item then
+    text place; then the longest length of what is left is sought, down to `least`.
     """
-    free_item, free_text, tiles = [True] * len(item), [True] * len(text), []
-    common_codes = set(item) & set(text)
-
-    def runs(codes: list[int], free: list[bool]) -> int:
-        best = now = 0
-        for c, f in zip(codes, free):
-            now = now + 1 if f and c in common_codes else 0
-            best = max(best, now)
-        return best
-
-    size = min(runs(item, free_item), runs(text, free_text))
-    while size >= least:
-        places: dict[int, list[int]] = {}
-        for j, h in enumerate(_rolling(text, size)):
-            places.setdefault(h, []).append(j)
-        marked = False
-        for i, h in enumerate(_rolling(item, size)):
-            if not all(free_item[i : i + size]):
+    marked_item, marked_text, tiles = bytearray(len(item)), bytearray(len(text)), []
+    shared = set(item) & set(text)
+    most = min(len(item), len(text))
+    while True:
+        item_runs, text_runs = _free(item, marked_item, shared, least), _free(text, marked_text, shared, least)
+
+        def agree(size: int) -> bool:
+            return any(item[i : i + size] == text[j : j + size] for i, found in _matches(item, text, item_runs, text_runs, size) for j in found)
+
+        most = min(most, max((b - a for a, b in item_runs), default=0), max((b - a for a, b in text_runs), default=0))
+        if most < least:
+            return tiles
+        if not agree(most):
+            low, high = least - 1, most  # agree(low) or low < least; not agree(high)
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (middle, high) if agree(middle) else (low, middle)
+            most = low
+        if most < least:
+            return tiles
+        for i, found in _matches(item, text, item_runs, text_runs, most):
+            if 1 in marked_item[i : i + most]:
                 continue
-            for j in places.get(h, ()):
-                if all(free_text[j : j + size]) and item[i : i + size] == text[j : j + size]:
-                    free_item[i : i + size] = free_text[j : j + size] = [False] * size
-                    tiles.append((i, j, size))
-                    marked = True
+            for j in found:
+                if 1 not in marked_text[j : j + most] and item[i : i + most] == text[j : j + most]:
+                    marked_item[i : i + most] = marked_text[j : j + most] = b"\1" * most
+                    tiles.append((i, j, most))
                     break
-        size = min(size - 1, runs(item, free_item), runs(text, free_text)) if marked else size - 1
-    return tiles
 
 
 class Seeds:
