@@ -266,6 +266,16 @@ def test_tiles_are_greedy():
     assert sum(n for *_, n in tiling.tile(item, text, 3)) == brute_tiles(item, text, 3)
 
 
+def test_tiles_of_long_texts():
+    rng = random.Random(6)
+    item = [rng.randrange(300) for _ in range(300)]
+    began = time.process_time()
+    assert tiling.tile(item, [*(rng.randrange(300) for _ in range(100_000)), *item], 5)[0] == (0, 100_000, 300)
+    assert tiling.tile(item, item * 300, 5)[0] == (0, 0, 300)
+    assert len(tiling.tile([1] * 300, [*[1] * 6, -1] * 20_000, 5)) == 50
+    assert time.process_time() - began < 20
+
+
 def test_contamination(spark):
     passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     turned = "so lambda eta theta iota kappa lambda mu, alpha beta gamma delta epsilon zeta!"
