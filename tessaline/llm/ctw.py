@@ -211,11 +211,14 @@ def _parent(node: Column) -> Column:
     return F.shiftleft(F.shiftright(node, 16), 8).bitwiseOR(node.bitwiseAND(F.lit(255)))
 
 
-def gram_scores(counts: DataFrame, depth: int = DEPTH, first: int = FIRST, task_grams: int = TASK_GRAMS) -> DataFrame:
-    """Rows (gram, logp) of rows (gram, n): log10 probability of the gram's byte in its context."""
-    parts = max(1, -(-counts.count() // task_grams))
-    # The context of `first` bytes, the latest highest, names the subtree; a subtree lies in one part.
-    part = F.pmod(F.xxhash64(F.shiftrightunsigned("gram", 8 * (depth - first) + 8)), F.lit(parts))
+def gram_scores(counts: DataFrame, parts: int, depth: int = DEPTH, first: int = FIRST, task_grams: int = TASK_GRAMS) -> DataFrame:
+    """Rows (part, keys, logp) of rows (gram, n): packed grams and the log10 probabilities of their bytes in their contexts.
+
+    The grams of a row are those of one task (of `task_grams` or so) and one of the `parts` that chunks deal grams to.
+    """
+    tasks = max(1, -(-counts.count() // task_grams))
+    # The context of `first` bytes, the latest highest, names the subtree; a subtree lies in one task.
+    part = F.pmod(F.xxhash64(F.shiftrightunsigned("gram", 8 * (depth - first) + 8)), F.lit(tasks))
     counts = counts.withColumn("part", part)
 
     def tops(table: pa.Table) -> pa.Table:
@@ -239,7 +242,7 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH, first: int = FIRST, task_
         state = _passed(level, state)
     up = state.select(F.col("node").alias("parent"), "so_far", "left_", "kt")
     above = top.select("node", _parent(F.col("node")).alias("parent")).join(up, "parent").drop("parent")
-    above = above.withColumn("part", F.pmod(F.xxhash64(F.shiftright("node", 8)), F.lit(parts)))
+    above = above.withColumn("part", F.pmod(F.xxhash64(F.shiftright("node", 8)), F.lit(tasks)))
 
     def bottom(table: pa.Table, above: pa.Table) -> pa.Table:
         keys, n = _sorted(table)
@@ -251,9 +254,11 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH, first: int = FIRST, task_
             context, bits = x["ids"] >> np.uint64(b), x["ids"] & np.uint64((1 << b) - 1)
             at = order[np.searchsorted(node, (context << np.uint64(8)) | np.uint64(1 << b) | bits)]
             given.append(tuple(s[at] for s in state))
-        return pa.table({"gram": keys.view(np.int64), "logp": log10_bytes(keys, levels, given)})
+        logp = log10_bytes(keys, levels, given)
+        out = [(p, _pack(k), _planes(x)) for p, k, x in _dealt(keys, logp, parts)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], names=["part", "keys", "logp"])
 
-    scores = counts.groupBy("part").cogroup(above.groupBy("part")).applyInArrow(bottom, "gram long, logp double")
+    scores = counts.groupBy("part").cogroup(above.groupBy("part")).applyInArrow(bottom, "part long, keys binary, logp binary")
     scores = common.written(scores, "ctw-scores")
     common.discard(top, *levels)
     return scores
@@ -274,13 +279,30 @@ PACKED = "chunk long, part long, kind int, keys binary, counts binary"
 
 def _pack(x: np.ndarray) -> bytes:
     """Sorted keys as compressed byte planes of their differences."""
-    steps = np.diff(x, prepend=U(0))
-    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    return zlib.compress(_planes(np.diff(x, prepend=U(0))), 1)
 
 
 def _unpack(raw: pa.BinaryScalar) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw.as_buffer()), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(U).ravel(), dtype=U)
+    return np.cumsum(_from_planes(zlib.decompress(raw.as_buffer()), U), dtype=U)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all 64-bit values, then the second ones and so on: Spark's own compression does better on them."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(raw: bytes | pa.Buffer, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _dealt(keys: np.ndarray, values: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each part's keys and their values; sorted keys stay sorted within a part."""
+    part = part_of(keys, parts)
+    order = np.argsort(part, kind="stable")
+    keys, values, cut = keys[order], values[order], np.searchsorted(part[order], np.arange(parts + 1))
+    for p, (a, b) in enumerate(zip(cut, cut[1:])):
+        if b > a:
+            yield p, keys[a:b], values[a:b]
 
 
 def _added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -340,12 +362,8 @@ class Chunk:
         self.words.append((token_keys(distinct), np.bincount(code, ~owner, len(distinct))))
 
     def _parts(self, kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
-        part = part_of(keys, self.parts)
-        order = np.argsort(part, kind="stable")  # keys stay sorted within a part
-        keys, counts, cut = keys[order], counts[order], np.searchsorted(part[order], np.arange(self.parts + 1))
-        for p, (a, b) in enumerate(zip(cut, cut[1:])):
-            if b > a:
-                yield self.number, p, kind, _pack(keys[a:b]), zlib.compress(counts[a:b].astype("<u4").tobytes(), 1)
+        for p, k, n in _dealt(keys, counts, self.parts):
+            yield self.number, p, kind, _pack(k), zlib.compress(n.astype("<u4").tobytes(), 1)
 
     def rows(self) -> Iterator[tuple]:
         """Rows PACKED of the counts."""
@@ -457,19 +475,18 @@ def gram_counts(packed: DataFrame) -> DataFrame:
     return packed.where(F.col("kind") == GRAMS).groupBy("part").applyInArrow(add, "gram long, n double")
 
 
-def gram_values(packed: DataFrame, scores: DataFrame, parts: int) -> DataFrame:
+def gram_values(packed: DataFrame, scores: DataFrame) -> DataFrame:
     """Rows PACKED of the grams: log10 probabilities instead of counts."""
-    gram = F.col("gram")
-    part = F.pmod(gram.bitwiseXOR(F.shiftrightunsigned(gram, 13)).bitwiseXOR(F.shiftrightunsigned(gram, 29)), F.lit(parts))
 
     def give(table: pa.Table, scores: pa.Table) -> pa.Table:
-        known = Lookup(scores.column("gram").to_numpy().view(U), scores.column("logp").to_numpy())
-        values = [known.of(_unpack(k))[0].tobytes() for k in table.column("keys")]
+        known = Lookup(np.concatenate([_unpack(k) for k in scores.column("keys")]), np.concatenate([_from_planes(x.as_buffer(), np.float64) for x in scores.column("logp")]))
+        values = [_planes(known.of(_unpack(k))[0]) for k in table.column("keys")]
         del known
         common.trim()
-        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "kind": table.column("kind"), "keys": table.column("keys"), "counts": pa.array(values, pa.binary())})
+        return table.append_column("counts", pa.array(values, pa.binary()))
 
-    return packed.where(F.col("kind") == GRAMS).groupBy("part").cogroup(scores.withColumn("part", part).groupBy("part")).applyInArrow(give, PACKED)
+    chunks = packed.where(F.col("kind") == GRAMS).drop("counts")
+    return chunks.groupBy("part").cogroup(scores.groupBy("part")).applyInArrow(give, PACKED)
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -495,16 +512,16 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     n_all, v = int(sums[0]), int(sums[1])
     counts = common.written(gram_counts(packed), "ctw-counts")
     common.release(docs.sparkSession)
-    scores = gram_scores(counts, depth)
+    scores = gram_scores(counts, parts, depth)
     common.discard(counts)
-    values = gram_values(packed, scores, parts)
+    values = gram_values(packed, scores)
 
     def score(table: pa.Table) -> pa.Table:
         common.trim()
         kind = table.column("kind").to_numpy()
         keys, raw = table.column("keys"), table.column("counts")
         at = {k: np.flatnonzero(kind == k).tolist() for k in (TEXTS, GRAMS, WORDS)}
-        known = Lookup(np.concatenate([_unpack(keys[i]) for i in at[GRAMS]]), np.concatenate([np.frombuffer(raw[i].as_buffer(), np.float64) for i in at[GRAMS]]))
+        known = Lookup(np.concatenate([_unpack(keys[i]) for i in at[GRAMS]]), np.concatenate([_from_planes(raw[i].as_buffer(), np.float64) for i in at[GRAMS]]))
         words = Lookup(np.concatenate([_unpack(keys[i]) for i in at[WORDS]]), np.concatenate([np.frombuffer(zlib.decompress(raw[i].as_buffer()), "<i8") for i in at[WORDS]]))
         out = []
         for i in at[TEXTS]:
