@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,8 @@ from tessaline.llm import common
 DEPTH, FIRST = 6, 4
 #: Text bytes of a chunk, those whose grams are sorted or looked up at once, grams of a task.
 CHUNK_BYTES, SORT_BYTES, LOOK_BYTES, TASK_GRAMS = 48 << 20, 4 << 20, 1 << 20, 400_000
-#: Sorted pieces that are merged at once.
-MERGED = 4
+#: Sorted pieces that are merged at once, keys that a lookup takes in at once.
+MERGED, ADDED = 4, 1 << 18
 SPACE, END = 32, 10
 LN2 = math.log(2)
 U = np.uint64
@@ -419,29 +419,51 @@ def _written(batch: pa.RecordBatch) -> bytes:
 
 
 class Lookup:
-    """Values of distinct keys, found for many keys at once: open addressing in numpy."""
+    """Values of distinct keys, found for many keys at once: open addressing in numpy, at 1.5 slots a key."""
 
     def __init__(self, keys: np.ndarray, *values: np.ndarray) -> None:
-        bits = max(4, int(1.6 * len(keys)).bit_length())
-        self.shift, self.mask, self.empty = U(64 - bits), (1 << bits) - 1, U(np.iinfo(U).max)
-        self.keys, self.place = np.full(1 << bits, self.empty), np.zeros(1 << bits, np.int32)
-        self.values = values
-        rest, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
-        while len(rest):
-            free = self.keys[at] == self.empty
-            self.keys[at[free]], self.place[at[free]] = keys[rest[free]], rest[free]
-            left = self.keys[at] != keys[rest]
-            rest, at = rest[left], (at[left] + 1) & self.mask
+        self._reserve(len(keys), *(v.dtype for v in values))
+        self._add(keys, *values)
+
+    @classmethod
+    def gathered(cls, n: int, kind: type, pieces: Iterable[tuple[np.ndarray, np.ndarray]]) -> Lookup:
+        """Of n keys that come in pieces with their values, each of which is let go before the next."""
+        new = cls.__new__(cls)
+        new._reserve(n, kind)
+        for keys, values in pieces:
+            new._add(keys, values)
+        return new
+
+    def _reserve(self, n: int, *kinds: type) -> None:
+        self.slots, self.empty, self.n = n + n // 2 + 16, U(np.iinfo(U).max), 0
+        self.keys, self.place = np.full(self.slots, self.empty), np.zeros(self.slots, np.int32)
+        self.values = [np.empty(n, kind) for kind in kinds]
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        return ((((keys * U(0x9E3779B97F4A7C15)) >> U(32)) * U(self.slots)) >> U(32)).astype(np.int64)
+
+    def _next(self, at: np.ndarray) -> np.ndarray:
+        return np.where(at + 1 < self.slots, at + 1, 0)
+
+    def _add(self, keys: np.ndarray, *values: np.ndarray) -> None:
+        for own, given in zip(self.values, values):
+            own[self.n : self.n + len(keys)] = given
+        for first in range(0, len(keys), ADDED):
+            rest = np.arange(first, min(first + ADDED, len(keys)), dtype=np.int32)
+            at = self._home(keys[rest])
+            while len(rest):
+                free = self.keys[at] == self.empty
+                self.keys[at[free]], self.place[at[free]] = keys[rest[free]], rest[free] + np.int32(self.n)
+                left = self.keys[at] != keys[rest]
+                rest, at = rest[left], self._next(at[left])
+        self.n += len(keys)
 
     def of(self, keys: np.ndarray) -> list[np.ndarray]:
         """The values of keys, all of which must be there."""
         at = self._home(keys)
         rest = np.flatnonzero(self.keys[at] != keys)
         while len(rest):
-            at[rest] = (at[rest] + 1) & self.mask
+            at[rest] = self._next(at[rest])
             rest = rest[self.keys[at[rest]] != keys[rest]]
         place = self.place[at]
         return [v[place] for v in self.values]
@@ -475,11 +497,17 @@ def gram_counts(packed: DataFrame) -> DataFrame:
     return packed.where(F.col("kind") == GRAMS).groupBy("part").applyInArrow(add, "gram long, n double")
 
 
+def _gathered(keys: pa.ChunkedArray, logp: pa.ChunkedArray, rows: Iterable[int]) -> Lookup:
+    """The lookup of the packed grams and log10 probabilities in some rows."""
+    n = sum(logp[i].as_buffer().size for i in rows) // 8
+    return Lookup.gathered(n, np.float64, ((_unpack(keys[i]), _from_planes(logp[i].as_buffer(), np.float64)) for i in rows))
+
+
 def gram_values(packed: DataFrame, scores: DataFrame) -> DataFrame:
     """Rows PACKED of the grams: log10 probabilities instead of counts."""
 
     def give(table: pa.Table, scores: pa.Table) -> pa.Table:
-        known = Lookup(np.concatenate([_unpack(k) for k in scores.column("keys")]), np.concatenate([_from_planes(x.as_buffer(), np.float64) for x in scores.column("logp")]))
+        known = _gathered(scores.column("keys"), scores.column("logp"), range(len(scores)))
         values = [_planes(known.of(_unpack(k))[0]) for k in table.column("keys")]
         del known
         common.trim()
@@ -521,7 +549,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
         kind = table.column("kind").to_numpy()
         keys, raw = table.column("keys"), table.column("counts")
         at = {k: np.flatnonzero(kind == k).tolist() for k in (TEXTS, GRAMS, WORDS)}
-        known = Lookup(np.concatenate([_unpack(keys[i]) for i in at[GRAMS]]), np.concatenate([_from_planes(raw[i].as_buffer(), np.float64) for i in at[GRAMS]]))
+        known = _gathered(keys, raw, at[GRAMS])
         words = Lookup(np.concatenate([_unpack(keys[i]) for i in at[WORDS]]), np.concatenate([np.frombuffer(zlib.decompress(raw[i].as_buffer()), "<i8") for i in at[WORDS]]))
         out = []
         for i in at[TEXTS]:
