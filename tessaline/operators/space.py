@@ -15,9 +15,20 @@ def superseded(log: DataFrame) -> DataFrame:
 
 
 def reclaimable(log: DataFrame) -> DataFrame:
-    """Bytes and rows of each table that compaction would give back."""
-    old = superseded(log)
-    return old.groupBy("table").agg(F.count("*").alias("rows"), F.sum(F.octet_length("payload").cast("bigint")).alias("bytes"))
+    """Bytes and rows of each table that compaction would give back; tables without any have no row.
+
+    All saves less the surviving ones (of equal seq the save, then the longer payload); a null payload has no bytes. Hash aggregates of fixed width,
+    so no key's history is sorted or gathered.
+    """
+    saved, size = F.col("op") == SAVE, F.coalesce(F.octet_length("payload"), F.lit(0)).cast("bigint")
+    order = (F.col("seq").cast("decimal(19,0)") * 2 + saved.cast("int")) * F.lit(1 << 31) + size
+    keys = log.groupBy("table", "key").agg(
+        F.count_if(saved).alias("n"), F.sum(F.when(saved, size)).alias("b"), F.max_by(F.when(saved, size), order.cast("decimal(38,0)")).alias("last"),
+    )
+    old = keys.groupBy("table").agg(
+        (F.sum("n") - F.count("last")).alias("rows"), (F.coalesce(F.sum("b"), F.lit(0)) - F.coalesce(F.sum("last"), F.lit(0))).alias("bytes")
+    )
+    return old.where("rows > 0")
 
 
 def counters(log: DataFrame) -> DataFrame:

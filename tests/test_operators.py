@@ -212,6 +212,18 @@ def test_free_space(spark):
     assert space.superseded(log(spark, ROWS[:4])).count() == 2
 
 
+def test_reclaimable_is_what_was_superseded(spark):
+    rng, schema = random.Random(1), "table string, key string, seq long, op string, payload binary"
+    rows = [(rng.choice("ab"), rng.choice(["x", "y", None]), i - 50, rng.choice([schemas.SAVE, schemas.FREE]), bytes(rng.randrange(9))) for i in range(200)]
+    rows += [("one", "k", 1, schemas.SAVE, b"zz"), ("far", "k", 2**63 - 1, schemas.SAVE, b"a"), ("far", "k", -(2**63), schemas.SAVE, b"bcd")]
+    rows += [("tie", "k", 5, schemas.SAVE, b"a"), ("tie", "k", 5, schemas.SAVE, b"abc"), ("tie", "k", 5, schemas.FREE, None), ("none", "k", 1, schemas.SAVE, None), ("none", "k", 2, schemas.FREE, None)]
+    given = spark.createDataFrame(rows, schema)
+    got = {r["table"]: (r["rows"], r["bytes"]) for r in space.reclaimable(given).collect()}
+    old = space.superseded(given.where("table in ('a', 'b')")).groupBy("table").agg(F.count("*"), F.sum(F.octet_length("payload")))
+    assert got == {t: (n, b) for t, n, b in old.collect()} | {"far": (1, 3), "tie": (1, 1), "none": (1, 0)}
+    assert space.reclaimable(given.limit(0)).count() == 0
+
+
 def test_wal(spark, tmp_path):
     (tmp_path / "wal.log").write_text("S|a|t|0|5\nS|b|t|5|9\nD|b\nbad\nS|c|t|9|3\nS|d|t|x|3\n\nold|t|1|2\nS|a|t|7|8\n")
     lines = wal.read_lines(spark, str(tmp_path / "wal.log"))
