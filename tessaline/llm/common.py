@@ -20,17 +20,35 @@ from tessaline.session import shared_folder
 SLICE_BYTES = 4 << 20
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends there and lost executors cost no recomputation."""
+def written(df: DataFrame, label: str, group_bytes: int | None = None) -> DataFrame:
+    """The rows as a table in the shared folder: lineage ends there and lost executors cost no recomputation.
+
+    group_bytes: for rows of megabytes, the size of Parquet's row groups, which are written and read as a whole. Unless
+    told otherwise Parquet looks at sizes every hundred rows only.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if group_bytes:
+        writer = writer.options(**{"parquet.block.size": group_bytes, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1})
+    writer.parquet(path)
     table = spark.read.schema(schema).parquet(path)
     table.written_to = path
     return table
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: object) -> Iterator[None]:
+    """Holds a setting of the session within the block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing will read again."""
     for table in tables:

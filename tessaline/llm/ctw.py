@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,10 @@ from tessaline.llm import common
 DEPTH, FIRST = 6, 4
 #: Text bytes of a chunk, those whose grams are sorted or looked up at once, grams of a task.
 CHUNK_BYTES, SORT_BYTES, LOOK_BYTES, TASK_GRAMS = 48 << 20, 4 << 20, 1 << 20, 400_000
-#: Sorted pieces that are merged at once.
-MERGED = 4
+#: Sorted pieces that are merged at once, text bytes that are coded at once, keys that are added up or looked up at once.
+MERGED, CODE_BYTES, AT_ONCE = 4, 1 << 20, 1 << 18
+#: Bytes of an Arrow batch of a chunk's rows on their way to Python, and of a row group of packed rows.
+BATCH_BYTES, GROUP_BYTES = 4 << 20, 8 << 20
 SPACE, END = 32, 10
 LN2 = math.log(2)
 U = np.uint64
@@ -61,60 +63,67 @@ def log_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1) - math.log(math.pi)
 
 
-class Level:
-    """The nodes of one depth; keys: contexts, the latest byte highest, then eight bits of the next byte."""
+def shorter(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of the contexts one byte shorter; keys: contexts, the latest byte highest, then eight bits of the next byte."""
+    parent = ((keys >> np.uint64(16)) << np.uint64(8)) | (keys & np.uint64(255))
+    keys, back = np.unique(parent, return_inverse=True)
+    return keys, np.bincount(back, n, len(keys))
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, below: Level | None) -> None:
-        self.keys, self.n, self.bits = keys, n, []
-        for b in range(8):
-            node = keys >> np.uint64(8 - b)
-            one = (keys >> np.uint64(7 - b)) & np.uint64(1)
-            start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-            n1 = np.add.reduceat(n * one, start)
-            n0 = np.add.reduceat(n, start) - n1
-            pe, ids = log_block(n0, n1), node[start]
-            if below is None:
-                pw = pe
-            else:
-                deep = below.bits[b]
-                parent = ((deep["ids"] >> np.uint64(8 + b)) << np.uint64(b)) | (deep["ids"] & np.uint64((1 << b) - 1))
-                pw = np.logaddexp(pe, np.bincount(np.searchsorted(ids, parent), deep["pw"], len(ids))) - LN2
-            stay = np.ones(len(ids)) if below is None else np.exp(pe - LN2 - pw)
-            self.bits.append({"ids": ids, "n0": n0, "n1": n1, "pw": pw, "stay": stay, "kt": (n1 + 0.5) / (n0 + n1 + 1)})
-
-    def up(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and counts of the contexts one byte shorter."""
-        parent = ((self.keys >> np.uint64(16)) << np.uint64(8)) | (self.keys & np.uint64(255))
-        keys, back = np.unique(parent, return_inverse=True)
-        return keys, np.bincount(back, self.n, len(keys))
-
-
-def subtree(keys: np.ndarray, n: np.ndarray, depth: int, first: int) -> list[Level]:
-    """Levels `depth` to `first` of whole subtrees."""
-    levels = [Level(keys, n, None)]
+
+def subtree(keys: np.ndarray, n: np.ndarray, depth: int, first: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of the levels `depth` to `first` of whole subtrees."""
+    levels = [(keys, n)]
     for _ in range(depth - first):
-        levels.append(Level(*levels[-1].up(), levels[-1]))
+        levels.append(shorter(*levels[-1]))
     return levels
 
 
-def log10_bytes(keys: np.ndarray, levels: list[Level], above: dict[int, tuple[float, float, float]] | tuple | None) -> np.ndarray:
-    """log10 probability of each key's byte in its context.
+def nodes(levels: list[tuple[np.ndarray, np.ndarray]], b: int) -> list[dict[str, np.ndarray]]:
+    """The nodes of each level after b decisions. Those of one b need none of another, so that one b at a time is in memory."""
+    out = []
+    for keys, n in levels:
+        node = keys >> np.uint64(8 - b)
+        one = (keys >> np.uint64(7 - b)) & np.uint64(1)
+        start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        n1 = np.add.reduceat(n * one, start)
+        n0 = np.add.reduceat(n, start) - n1
+        pe, ids = log_block(n0, n1), node[start]
+        if not out:
+            pw, stay = pe, np.ones(len(ids))
+        else:
+            deep = out[-1]
+            parent = ((deep["ids"] >> np.uint64(8 + b)) << np.uint64(b)) | (deep["ids"] & np.uint64((1 << b) - 1))
+            pw = np.logaddexp(pe, np.bincount(np.searchsorted(ids, parent), deep["pw"], len(ids))) - LN2
+            stay = np.exp(pe - LN2 - pw)
+        out.append({"ids": ids, "n0": n0, "n1": n1, "pw": pw, "stay": stay, "kt": (n1 + 0.5) / (n0 + n1 + 1)})
+    return out
+
+
+def node_names(ids: np.ndarray, b: int) -> np.ndarray:
+    """The nodes after b decisions as contexts, a one and the decisions: as Spark has them."""
+    context, bits = ids >> np.uint64(b), ids & np.uint64((1 << b) - 1)
+    return (context << np.uint64(8)) | np.uint64(1 << b) | bits
 
-    above: for the nodes of the last level (in the order of bits and ids) what the shallower depths give:
-    the sum so far, the share left, the estimate of the deepest seen; None at the root.
+
+def log10_bytes(levels: list[tuple[np.ndarray, np.ndarray]], above: Callable[[np.ndarray], tuple[np.ndarray, ...]]) -> np.ndarray:
+    """log10 probability of the byte of each of the first level's keys in its context.
+
+    above: for names of nodes of the last level what the shallower depths give: the sum so far, the share left,
+    the estimate of the deepest seen.
     """
+    keys = levels[0][0]
     out = np.zeros(len(keys))
     for b in range(8):
         one = (keys >> np.uint64(7 - b)) & np.uint64(1)
-        if above is None:
-            so_far, left, kt = np.zeros(len(keys)), np.ones(len(keys)), np.full(len(keys), 0.5)
+        found = nodes(levels, b)
+        given = above(node_names(found[-1]["ids"], b))
         for i in range(len(levels) - 1, -1, -1):
-            x = levels[i].bits[b]
+            x = found[i]
             # a key's node at a depth i bytes shorter: its context without the i oldest bytes, and b decisions
             node = ((keys >> np.uint64(8 + 8 * i)) << np.uint64(b)) | ((keys & np.uint64(255)) >> np.uint64(8 - b))
             at = np.searchsorted(x["ids"], node)
-            if above is not None and i == len(levels) - 1:
-                so_far, left, kt = (c[at] for c in above[b])
+            if i == len(levels) - 1:
+                so_far, left, kt = (c[at] for c in given)
             seen = x["n0"][at] + x["n1"][at] > 0
             share = np.where(seen, left * x["stay"][at], 0)
             kt = np.where(seen, x["kt"][at], kt)
@@ -124,8 +133,17 @@ def log10_bytes(keys: np.ndarray, levels: list[Level], above: dict[int, tuple[fl
     return out
 
 
-def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The coded bytes of texts end to end, and the n + 1 offsets of the texts in them."""
+def coded(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The coded bytes of a batch's texts end to end, and the n + 1 offsets of the texts in them."""
+    done, start = [], 0
+    for piece in common.slices(batch, text, CODE_BYTES):
+        data, at = _coded(piece.column(text))
+        done.append((data, at[:-1] + start))
+        start += int(at[-1])
+    return np.concatenate([d[0] for d in done]), np.concatenate([*(d[1] for d in done), [start]])
+
+
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = len(texts)
     texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
@@ -221,9 +239,10 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH, first: int = FIRST, task_
     def tops(table: pa.Table) -> pa.Table:
         keys, n = _sorted(table)
         ids, values = [], []
-        for b, x in enumerate(subtree(keys, n, depth, first)[-1].bits):
-            context, bits = x["ids"] >> np.uint64(b), x["ids"] & np.uint64((1 << b) - 1)
-            ids.append((context << np.uint64(8)) | np.uint64(1 << b) | bits)
+        levels = subtree(keys, n, depth, first)
+        for b in range(8):
+            x = nodes(levels, b)[-1]
+            ids.append(node_names(x["ids"], b))
             values.append((x["n0"], x["n1"], x["pw"]))
         n0, n1, pw = (np.concatenate(v) for v in zip(*values))
         return pa.table({"node": np.concatenate(ids).view(np.int64), "n0": n0, "n1": n1, "pw": pw})
@@ -243,15 +262,15 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH, first: int = FIRST, task_
 
     def bottom(table: pa.Table, above: pa.Table) -> pa.Table:
         keys, n = _sorted(table)
-        levels = subtree(keys, n, depth, first)
         node, *state = (above.column(c).to_numpy() for c in ("node", "so_far", "left_", "kt"))
         order = np.argsort(node)
-        node, given = node[order].view(np.uint64), []
-        for b, x in enumerate(levels[-1].bits):
-            context, bits = x["ids"] >> np.uint64(b), x["ids"] & np.uint64((1 << b) - 1)
-            at = order[np.searchsorted(node, (context << np.uint64(8)) | np.uint64(1 << b) | bits)]
-            given.append(tuple(s[at] for s in state))
-        return pa.table({"gram": keys.view(np.int64), "logp": log10_bytes(keys, levels, given)})
+        node = node[order].view(np.uint64)
+
+        def given(names: np.ndarray) -> tuple[np.ndarray, ...]:
+            at = order[np.searchsorted(node, names)]
+            return tuple(s[at] for s in state)
+
+        return pa.table({"gram": keys.view(np.int64), "logp": log10_bytes(subtree(keys, n, depth, first), given)})
 
     scores = counts.groupBy("part").cogroup(above.groupBy("part")).applyInArrow(bottom, "gram long, logp double")
     scores = common.written(scores, "ctw-scores")
@@ -274,13 +293,20 @@ PACKED = "chunk long, part long, kind int, keys binary, counts binary"
 
 def _pack(x: np.ndarray) -> bytes:
     """Sorted keys as compressed byte planes of their differences."""
-    steps = np.diff(x, prepend=U(0))
-    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    return zlib.compress(_planes(np.diff(x, prepend=U(0))), 1)
 
 
 def _unpack(raw: pa.BinaryScalar) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw.as_buffer()), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(U).ravel(), dtype=U)
+    return np.cumsum(_from_planes(zlib.decompress(raw.as_buffer()), U), dtype=U)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all 64-bit values, then the second ones and so on: they compress better."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(raw: bytes | pa.Buffer, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
 def _added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -295,13 +321,32 @@ def _counted(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
     keys |= held
     keys.sort()
     start = np.flatnonzero(np.r_[True, (keys[1:] ^ keys[:-1]) > U(1)]) if len(keys) else np.zeros(0, np.int64)
-    n = np.add.reduceat((keys & U(1)) == 0, start, dtype=np.int64) if len(keys) else start
+    n = np.add.reduceat((_low(keys) & 1) == 0, start, dtype=np.uint32) if len(keys) else start.astype(np.uint32)
     return _capped(keys[start] >> U(1), n)
 
 
+def _low(keys: np.ndarray) -> np.ndarray:
+    """The low bytes."""
+    return keys.view(np.uint8)[::8]
+
+
 def _capped(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    over = np.flatnonzero(n > 255)
-    return (gram << U(8)) | np.minimum(n, 255).astype(U), gram[over], n[over] - 255
+    """As `_counted` gives them; gram becomes the keys."""
+    at = np.flatnonzero(n > 255)
+    over, more = gram[at], n[at].astype(np.int64) - 255
+    gram <<= U(8)
+    gram |= np.minimum(n, 255).astype(np.uint8)
+    return gram, over, more
+
+
+def _uncapped(packed: np.ndarray, over: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams and their counts of sorted keys that may repeat a gram; packed is used up."""
+    start = np.flatnonzero(np.r_[True, (packed[1:] ^ packed[:-1]) > U(255)]) if len(packed) else np.zeros(0, np.int64)
+    n = np.add.reduceat(_low(packed), start, dtype=np.uint32) if len(packed) else start.astype(np.uint32)
+    gram = packed[start]
+    gram >>= U(8)
+    n[np.searchsorted(gram, over)] += more.astype(np.uint32)
+    return gram, n
 
 
 def _merged(counted: list[tuple]) -> list[tuple]:
@@ -310,11 +355,7 @@ def _merged(counted: list[tuple]) -> list[tuple]:
     over, more, _ = _added_up(*(np.concatenate([c[k] for c in counted]) for k in (1, 2)))
     counted.clear()
     packed.sort()
-    start = np.flatnonzero(np.r_[True, (packed[1:] ^ packed[:-1]) > U(255)]) if len(packed) else np.zeros(0, np.int64)
-    n = np.add.reduceat(packed & U(255), start).astype(np.int64) if len(packed) else start
-    gram = packed[start] >> U(8)
-    n[np.searchsorted(gram, over)] += more
-    return [_capped(gram, n)]
+    return [_capped(*_uncapped(packed, over, more))]
 
 
 class Chunk:
@@ -341,25 +382,25 @@ class Chunk:
 
     def _parts(self, kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
         part = part_of(keys, self.parts)
-        order = np.argsort(part, kind="stable")  # keys stay sorted within a part
-        keys, counts, cut = keys[order], counts[order], np.searchsorted(part[order], np.arange(self.parts + 1))
+        cut = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=self.parts))])
+        order = np.argsort(part, kind="stable").astype(np.int32)  # keys stay sorted within a part
+        del part
         for p, (a, b) in enumerate(zip(cut, cut[1:])):
             if b > a:
-                yield self.number, p, kind, _pack(keys[a:b]), zlib.compress(counts[a:b].astype("<u4").tobytes(), 1)
+                yield self.number, p, kind, _pack(keys[order[a:b]]), zlib.compress(counts[order[a:b]].astype("<u4").tobytes(), 1)
 
     def rows(self) -> Iterator[tuple]:
         """Rows PACKED of the counts."""
-        (packed, over, more), = _merged(self.grams)
-        gram, n = packed >> U(8), (packed & U(255)).astype(np.int64)
-        n[np.searchsorted(gram, over)] += more
-        del packed
-        yield from self._parts(GRAMS, gram, n)
+        (found,) = _merged(self.grams)
+        yield from self._parts(GRAMS, *_uncapped(*found))
+        del found
         keys, n, _ = _added_up(*(np.concatenate(x) for x in zip(*self.words)))
         yield from self._parts(WORDS, keys, n)
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys ^ (keys >> U(13)) ^ (keys >> U(29))) % U(parts)).astype(np.int64)
+    kind = np.uint16 if parts <= 1 << 16 else np.int64
+    return np.concatenate([np.zeros(0, kind), *(((k ^ (k >> U(13)) ^ (k >> U(29))) % U(parts)).astype(kind) for k in (keys[a : a + AT_ONCE] for a in range(0, len(keys), AT_ONCE)))])
 
 
 def chunked(rows: DataFrame, parts: int, depth: int, chunk_bytes: int) -> DataFrame:
@@ -375,7 +416,7 @@ def chunked(rows: DataFrame, parts: int, depth: int, chunk_bytes: int) -> DataFr
         chunk = Chunk(first, parts, depth)
         for batch in batches:
             for piece in common.slices(batch, "text"):
-                data, at = coded(piece.column("text"))
+                data, at = coded(piece, "text")
                 held = piece.column("held").to_numpy(zero_copy_only=False).astype(bool)
                 chunk.add(data, at, held)
                 texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(piece), [None, pa.py_buffer(at), pa.py_buffer(data)])
@@ -401,32 +442,44 @@ def _written(batch: pa.RecordBatch) -> bytes:
 
 
 class Lookup:
-    """Values of distinct keys, found for many keys at once: open addressing in numpy."""
+    """Values of distinct keys, found for many keys at once: open addressing in numpy, 1.5 slots a key that hold its place."""
 
     def __init__(self, keys: np.ndarray, *values: np.ndarray) -> None:
-        bits = max(4, int(1.6 * len(keys)).bit_length())
-        self.shift, self.mask, self.empty = U(64 - bits), (1 << bits) - 1, U(np.iinfo(U).max)
-        self.keys, self.place = np.full(1 << bits, self.empty), np.zeros(1 << bits, np.int32)
-        self.values = values
-        rest, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
-        while len(rest):
-            free = self.keys[at] == self.empty
-            self.keys[at[free]], self.place[at[free]] = keys[rest[free]], rest[free]
-            left = self.keys[at] != keys[rest]
-            rest, at = rest[left], (at[left] + 1) & self.mask
+        self.keys, self.values, self.slots = keys, values, len(keys) + len(keys) // 2 + 16
+        self.place = np.full(self.slots, -1, np.int32)
+        for first in range(0, len(keys), AT_ONCE):
+            rest = np.arange(first, min(first + AT_ONCE, len(keys)), dtype=np.int32)
+            at = self._home(keys[rest])
+            while len(rest):
+                free = self.place[at] < 0
+                self.place[at[free]] = rest[free]
+                left = self.place[at] != rest
+                rest, at = rest[left], self._next(at[left])
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        return ((((keys * U(0x9E3779B97F4A7C15)) >> U(32)) * U(self.slots)) >> U(32)).astype(np.int64)
 
-    def of(self, keys: np.ndarray) -> list[np.ndarray]:
-        """The values of keys, all of which must be there."""
+    def _next(self, at: np.ndarray) -> np.ndarray:
+        return np.where(at + 1 < self.slots, at + 1, 0)
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
         at = self._home(keys)
-        rest = np.flatnonzero(self.keys[at] != keys)
-        while len(rest):
-            at[rest] = (at[rest] + 1) & self.mask
-            rest = rest[self.keys[at[rest]] != keys[rest]]
         place = self.place[at]
-        return [v[place] for v in self.values]
+        rest = np.flatnonzero(self.keys[place] != keys)
+        while len(rest):
+            at[rest] = self._next(at[rest])
+            place[rest] = self.place[at[rest]]
+            rest = rest[self.keys[place[rest]] != keys[rest]]
+        return place
+
+    def of(self, keys: np.ndarray) -> list[np.ndarray]:
+        """The values of keys, all of which must be there."""
+        out = [np.empty(len(keys), v.dtype) for v in self.values]
+        for first in range(0, len(keys), AT_ONCE):
+            place = self._places(keys[first : first + AT_ONCE])
+            for o, v in zip(out, self.values):
+                o[first : first + AT_ONCE] = v[place]
+        return out
 
 
 def word_counts(packed: DataFrame) -> DataFrame:
@@ -446,13 +499,29 @@ def word_counts(packed: DataFrame) -> DataFrame:
     return packed.where(F.col("kind") == WORDS).groupBy("part").applyInArrow(add, PACKED)
 
 
+def _ranges(keys: list[np.ndarray]) -> Iterator[tuple[list[int], list[int]]]:
+    """Where each of some sorted arrays begins and ends in ranges of keys with some AT_ONCE of them; equal keys are in one range."""
+    most = max(keys, key=len)
+    at = np.arange(1, sum(map(len, keys)) // AT_ONCE + 1) * len(most) // (sum(map(len, keys)) // AT_ONCE + 1)
+    a = [0] * len(keys)
+    for cut in np.unique(most[at]):
+        b = [int(np.searchsorted(k, cut)) for k in keys]
+        yield a, b
+        a = b
+    yield a, [len(k) for k in keys]
+
+
 def gram_counts(packed: DataFrame) -> DataFrame:
     """Rows (gram, n): the counts of all chunks."""
 
     def add(table: pa.Table) -> pa.Table:
-        own = np.concatenate([np.frombuffer(zlib.decompress(c.as_buffer()), "<u4") for c in table.column("counts")])
-        keys, total, _ = _added_up(np.concatenate([_unpack(k) for k in table.column("keys")]), own)
-        return pa.table({"gram": keys.view(np.int64), "n": total.astype(np.float64)})
+        keys = [_unpack(k) for k in table.column("keys")]
+        own = [np.frombuffer(zlib.decompress(c.as_buffer()), "<u4") for c in table.column("counts")]
+        out = []
+        for a, b in _ranges(keys):
+            distinct, total, _ = _added_up(np.concatenate([k[i:j] for k, i, j in zip(keys, a, b)]), np.concatenate([c[i:j] for c, i, j in zip(own, a, b)]))
+            out.append(pa.table({"gram": distinct.view(np.int64), "n": total.astype(np.float64)}))
+        return pa.concat_tables(out)
 
     return packed.where(F.col("kind") == GRAMS).groupBy("part").applyInArrow(add, "gram long, n double")
 
@@ -464,12 +533,16 @@ def gram_values(packed: DataFrame, scores: DataFrame, parts: int) -> DataFrame:
 
     def give(table: pa.Table, scores: pa.Table) -> pa.Table:
         known = Lookup(scores.column("gram").to_numpy().view(U), scores.column("logp").to_numpy())
-        values = [known.of(_unpack(k))[0].tobytes() for k in table.column("keys")]
+        out = []
+        for i in range(len(table)):  # a row is an Arrow batch of its own
+            row = table.slice(i, 1)
+            out.append(row.append_column("counts", pa.array([_planes(known.of(_unpack(row.column("keys")[0]))[0])], pa.binary())))
         del known
         common.trim()
-        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "kind": table.column("kind"), "keys": table.column("keys"), "counts": pa.array(values, pa.binary())})
+        return pa.concat_tables(out)
 
-    return packed.where(F.col("kind") == GRAMS).groupBy("part").cogroup(scores.withColumn("part", part).groupBy("part")).applyInArrow(give, PACKED)
+    chunks = packed.where(F.col("kind") == GRAMS).drop("counts")
+    return chunks.groupBy("part").cogroup(scores.withColumn("part", part).groupBy("part")).applyInArrow(give, PACKED)
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -489,8 +562,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = -(-size // chunk_bytes) + 1 | 1
     # Fewer tasks than splits only: a chunk is one task's, and the more texts it has, the fewer grams repeat between chunks.
-    packed = common.written(chunked(rows.coalesce(parts), parts, depth, chunk_bytes), "ctw-packed")
-    words = common.written(word_counts(packed), "ctw-words")
+    packed = common.written(chunked(rows.coalesce(parts), parts, depth, chunk_bytes), "ctw-packed", GROUP_BYTES)
+    words = common.written(word_counts(packed), "ctw-words", GROUP_BYTES)
     sums = np.array([np.frombuffer(r["counts"], "<i8") for r in words.where("chunk = -1").select("counts").toLocalIterator()]).reshape(-1, 2).sum(0)
     n_all, v = int(sums[0]), int(sums[1])
     counts = common.written(gram_counts(packed), "ctw-counts")
@@ -499,37 +572,50 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     common.discard(counts)
     values = gram_values(packed, scores, parts)
 
-    def score(table: pa.Table) -> pa.Table:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.trim()
-        kind = table.column("kind").to_numpy()
-        keys, raw = table.column("keys"), table.column("counts")
-        at = {k: np.flatnonzero(kind == k).tolist() for k in (TEXTS, GRAMS, WORDS)}
-        known = Lookup(np.concatenate([_unpack(keys[i]) for i in at[GRAMS]]), np.concatenate([np.frombuffer(raw[i].as_buffer(), np.float64) for i in at[GRAMS]]))
-        words = Lookup(np.concatenate([_unpack(keys[i]) for i in at[WORDS]]), np.concatenate([np.frombuffer(zlib.decompress(raw[i].as_buffer()), "<i8") for i in at[WORDS]]))
-        out = []
-        for i in at[TEXTS]:
-            with pa.ipc.open_stream(keys[i].as_buffer()) as stream:
-                whole = stream.read_next_batch()
-            for part in common.slices(whole, "text", LOOK_BYTES):
-                text = pa.concat_arrays([part.column("text")])
-                ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-                data = np.frombuffer(text.buffers()[2], np.uint8)[ends[0] : ends[-1]]
-                ends = ends - ends[0]
-                logp = known.of(grams(data, ends, depth))[0]
-                distinct, code = tokens(data)
-                c = words.of(token_keys(distinct))[0]
-                n_tokens = np.add.reduceat((data == SPACE) | (data == END), ends[:-1], dtype=np.int64)
-                first = np.cumsum(n_tokens) - n_tokens
-                base = np.log10((c + 1) / (n_all + v + 1))
-                total = np.add.reduceat(logp, ends[:-1])
-                out.append(pa.table({
-                    id_col: part.column("id"), "held_out": part.column("held"), "n_tokens": n_tokens, "n_known": np.add.reduceat((c > 0)[code], first, dtype=np.int64),
-                    "train_tokens": np.full(len(part), n_all), "base_score": np.add.reduceat(base[code], first), "score": total, "bits_per_byte": -total / math.log10(2) / np.diff(ends),
-                }))
-        del known, words
+        found, known = {GRAMS: [], WORDS: []}, {}
+        for batch in batches:
+            for kind, keys, raw in zip(batch.column("kind").to_pylist(), batch.column("keys"), batch.column("counts")):
+                if kind == GRAMS:
+                    found[GRAMS].append((_unpack(keys), _from_planes(raw.as_buffer(), np.float64)))
+                elif kind == WORDS:
+                    found[WORDS].append((_unpack(keys), np.frombuffer(zlib.decompress(raw.as_buffer()), "<i8")))
+                else:
+                    while found:  # texts come last
+                        k, pieces = found.popitem()
+                        columns = [list(c) for c in zip(*pieces)]
+                        del pieces
+                        known[k] = Lookup(*(np.concatenate(columns.pop(0)) for _ in range(2)))
+                    with pa.ipc.open_stream(keys.as_buffer()) as stream:
+                        whole = stream.read_next_batch()
+                    for piece in common.slices(whole, "text", LOOK_BYTES):
+                        yield scores_of(piece, known)
+        del known
         common.trim()
-        return pa.concat_tables(out)
+
+    def scores_of(piece: pa.RecordBatch, known: dict[int, Lookup]) -> pa.RecordBatch:
+        text = piece.column("text")
+        ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        data = np.frombuffer(text.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        logp = known[GRAMS].of(grams(data, ends, depth))[0]
+        distinct, code = tokens(data)
+        c = known[WORDS].of(token_keys(distinct))[0]
+        n_tokens = np.add.reduceat((data == SPACE) | (data == END), ends[:-1], dtype=np.int64)
+        first = np.cumsum(n_tokens) - n_tokens
+        base = np.log10((c + 1) / (n_all + v + 1))
+        total = np.add.reduceat(logp, ends[:-1])
+        return pa.RecordBatch.from_pydict({
+            id_col: piece.column("id"), "held_out": piece.column("held"), "n_tokens": n_tokens, "n_known": np.add.reduceat((c > 0)[code], first, dtype=np.int64),
+            "train_tokens": np.full(len(piece), n_all), "base_score": np.add.reduceat(base[code], first), "score": total, "bits_per_byte": -total / math.log10(2) / np.diff(ends),
+        })
 
     schema = f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     every = packed.where(F.col("kind") == TEXTS).unionByName(words.where("chunk >= 0")).unionByName(values)
-    return every.select("chunk", "kind", "keys", "counts").groupBy("chunk").applyInArrow(score, schema)
+    # A chunk's lookups are made before its texts come, which then pass one by one: no task holds a whole chunk.
+    ordered = every.select("chunk", "kind", "keys", "counts").repartition("chunk").sortWithinPartitions("chunk", F.desc("kind"))
+    with common.setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES):
+        result = common.written(ordered.groupBy("chunk").applyInArrow(score, schema), "ctw-result")
+    common.discard(packed, words, scores)
+    return result

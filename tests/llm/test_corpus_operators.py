@@ -6,15 +6,19 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 pytest.importorskip("tessaline.llm")
 
 from tessaline.llm import common, crf, ctw, packing, pii, simhash, suffixes, tiling, winnow  # noqa: E402
+from tessaline.session import shared_folder  # noqa: E402
 
 EXTRA = "doc_id long, text string, id long, fp long, part long, spans string, body string, key int, n_lines int"
 
@@ -416,6 +420,62 @@ def test_lookup_finds_all():
     assert (ctw.Lookup(keys, np.arange(len(keys))).of(keys[::-1])[0] == np.arange(len(keys))[::-1]).all()
 
 
+def test_lookup_is_small():
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 62, 1_000_000, dtype=np.uint64))
+    values = np.arange(len(keys))
+    tracemalloc.start()
+    try:
+        found = ctw.Lookup(keys, values)
+        assert tracemalloc.get_traced_memory()[1] < 24 * len(keys)
+    finally:
+        tracemalloc.stop()
+    assert (found.of(keys[::-1])[0] == values[::-1]).all()
+
+
+def test_ctw_pieces(monkeypatch):
+    """What is done in pieces is as if done at once."""
+    batch = pa.record_batch({"text": pa.array([*TEXTS, "a \t b", " ", "c"], pa.string())})
+    rng = np.random.default_rng(0)
+    keys = [np.unique(rng.integers(0, 90, n, dtype=np.uint64)) for n in (5, 60, 1, 40)]
+    whole, at = ctw.coded(batch, "text")
+    parts = ctw.part_of(whole.astype(np.uint64), 5)
+    monkeypatch.setattr(ctw, "CODE_BYTES", 10)
+    monkeypatch.setattr(ctw, "AT_ONCE", 7)
+    assert all((x == y).all() for x, y in zip((whole, at), ctw.coded(batch, "text")))
+    assert (ctw.part_of(whole.astype(np.uint64), 5) == parts).all()
+    pieces = [[k[i:j] for k, i, j in zip(keys, a, b)] for a, b in ctw._ranges(keys)]
+    assert len(pieces) > 5
+    assert all((np.concatenate(p) == k).all() for p, k in zip(zip(*pieces), keys))
+    assert (np.concatenate([np.unique(np.concatenate(p)) for p in pieces]) == np.unique(np.concatenate(keys))).all()
+    found = ctw.Lookup(np.arange(50, dtype=np.uint64), np.arange(50) * 2)
+    assert (found.of(np.arange(50, dtype=np.uint64))[0] == np.arange(50) * 2).all()
+
+
+def test_ctw_tables_are_bounded(spark, monkeypatch):
+    """Packed rows lie in row groups of some bytes, not by the hundred; only the result stays, and no setting."""
+    limit, groups, folder = 64 << 10, [], Path(shared_folder(spark).removeprefix("file://"))
+    before, plain = {p.name for p in folder.iterdir()}, common.written
+
+    def written(df, label, *more):
+        table = plain(df, label, *more)
+        if label == "ctw-packed":
+            for path in Path(table.written_to.removeprefix("file://")).glob("*.parquet"):
+                meta = pq.ParquetFile(path).metadata
+                groups.extend(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups))
+        return table
+
+    monkeypatch.setattr(common, "written", written)
+    monkeypatch.setattr(ctw, "GROUP_BYTES", limit, raising=False)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was, rng = spark.conf.get(key), np.random.default_rng(0)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 40, 2000))) for _ in range(40)]
+    got = ctw.scored(odd(spark, texts), chunk_bytes=100_000)
+    assert got.count() == len(texts)
+    assert sum(groups) > 10 * limit and max(groups) < 5 * limit  # the row that fills a group is in it
+    assert all(name.startswith("ctw-result") for name in {p.name for p in folder.iterdir()} - before)
+    assert spark.conf.get(key) == was
+
+
 def test_log_gamma():
     x = np.array([0.5, 1, 1.5, 7, 1e3, 1e7])
     assert np.allclose(ctw.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-9)
