@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaline.schemas import FREE, SAVE
@@ -43,18 +43,42 @@ def best_fit(blocks: DataFrame, need: int) -> DataFrame:
     return fits.groupBy("file").agg(F.min(F.struct(size.alias("size"), "start", "end")).alias("b")).select("file", "b.start", "b.end", "b.size")
 
 
+def _level(start: str, end: str) -> Column:
+    """Bits of the smallest bins (16, 256, ... places) of which a range that isn't empty meets two at most; 60 bits are the most."""
+    far = F.coalesce(F.try_subtract(F.col(end).cast("bigint") - 1, F.col(start).cast("bigint")), F.lit((1 << 63) - 1))
+    return F.least(F.lit(60), F.length(F.hex(far)) * 4)
+
+
+def _bin(place: Column, tier: str) -> Column:
+    return F.call_function("shiftright", place.cast("bigint"), F.abs(F.col(tier)))
+
+
+def _binned(ranges: DataFrame, start: str, end: str, levels: DataFrame, tiers: Column) -> DataFrame:
+    """Each range once for every tier, which may depend on the `levels` of the other side (one row), and bin that it meets."""
+    tiered = ranges.join(F.broadcast(levels)).withColumn("tier", F.explode(tiers)).drop("levels", "level")
+    return tiered.withColumn("bin", F.explode(F.sequence(_bin(F.col(start), "tier"), _bin(F.col(end) - 1, "tier"))))
+
+
 def subtract(blocks: DataFrame, spans: DataFrame) -> DataFrame:
     """Free blocks (file, start, end) without the spans (file, start, end) now in use: none, one or more remainders each.
 
-    Spans of a file mustn't overlap. The gaps come from a window over the spans that a block holds.
+    Every row of blocks counts, equal ones too; empty blocks have no remainder and empty spans use nothing. A null file is a file.
+    A block and a span that overlap meet in a bin whose width suits the longer of the two, so an equi-join on file and bin finds
+    them: where spans of a file don't overlap, nor blocks, its work is in proportion to their number and the widths there are
+    (15 at most), whatever lies in one file. The gaps come from a window over the spans that a block holds.
     """
-    b = blocks.select("file", F.col("start").alias("b0"), F.col("end").alias("b1"))
-    s = spans.select("file", F.col("start").alias("s0"), F.col("end").alias("s1"))
-    met = b.join(s, (b.file == s.file) & (b.b0 < s.s1) & (s.s0 < b.b1), "left").select(b.file, "b0", "b1", "s0", "s1")
-    w = Window.partitionBy("file", "b0", "b1").orderBy("s0")
-    gaps = met.select(
-        "file", F.greatest("b0", F.coalesce(F.lag("s1").over(w), F.col("b0"))).alias("start"), F.coalesce("s0", "b1").alias("end"),
-        F.lead("s0").over(w).isNull().alias("last"), "s1", "b1",
-    )
-    tail = gaps.where("last and s1 is not null").select("file", F.col("s1").alias("start"), F.col("b1").alias("end"))
-    return gaps.select("file", "start", "end").union(tail).where("start < end")
+    taken, free = spans.where("start < end"), blocks.where("start < end")
+    level = _level("start", "end").alias("level")
+    b = free.groupBy("file", F.col("start").alias("b0"), F.col("end").alias("b1")).agg(F.count("*").alias("n"))
+    s = taken.select(F.col("file").alias("in"), F.col("start").alias("s0"), F.col("end").alias("s1"), level)
+    of = [x.select(level).agg(F.collect_set("level").alias("levels")) for x in (taken, free)]
+    # Tiers above 0 are of blocks with the spans that are no longer, tiers below 0 of spans with the shorter blocks.
+    longer = F.transform(F.filter("levels", lambda x: x > F.col("level")), lambda x: -x)
+    b_at = _binned(b.withColumn("level", _level("b0", "b1")), "b0", "b1", of[0], F.concat(F.array("level"), longer)).withColumnsRenamed({"tier": "bt", "bin": "bb"})
+    s_at = _binned(s, "s0", "s1", of[1], F.concat(F.array(-F.col("level")), F.filter("levels", lambda x: x >= F.col("level"))))
+    met = b_at.join(s_at.hint("merge"), F.col("file").eqNullSafe(F.col("in")) & F.expr("bt = tier AND bb = bin AND b0 < s1 AND s0 < b1"))
+    once = met.where(F.col("bin") == _bin(F.greatest("b0", "s0"), "tier")).select("file", "b0", "b1", "n", "s0", "s1")
+    w = Window.partitionBy("file", "b0", "b1").orderBy("s0").rowsBetween(Window.unboundedPreceding, -1)
+    ends = once.union(b.select("file", "b0", "b1", "n", F.col("b1").alias("s0"), F.col("b1").alias("s1")))
+    gaps = ends.select("file", F.coalesce(F.max("s1").over(w), "b0").alias("start"), F.col("s0").alias("end"), "n").where("start < end")
+    return gaps.withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))).select("file", "start", "end")

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,6 +213,43 @@ def test_free_space(spark):
     assert space.superseded(log(spark, ROWS[:4])).count() == 2
 
 
+def left_over(block, spans):
+    """What spans leave of a block, by cutting it with one after the other."""
+    left = [block[1:]]
+    for f, a, z in spans:
+        if f == block[0] and a < z:
+            left = [(x, y) for p, q in left for x, y in ((p, min(q, a)), (max(p, z), q)) if x < y]
+    return [(block[0], x, y) for x, y in left if x < y]
+
+
+@pytest.mark.parametrize("reach", [12, 300, 70_000, 1 << 40, 1 << 62])
+def test_subtract_by_brute_force(spark, reach):
+    rng, kind = random.Random(reach), "file string, start bigint, end bigint"
+
+    def ranges(n):
+        starts = [(rng.choice(["f", "g", "", None]), rng.randrange(-reach, reach)) for _ in range(n)]
+        return [(f, a, a + rng.randrange(-1, min(reach, rng.choice([3, 20, 900, reach])) + 1)) for f, a in starts]
+
+    blocks, spans = ranges(150), ranges(60)
+    blocks += blocks[:20] + [("f", -(1 << 63), (1 << 63) - 1), ("f", None, 5), ("g", 5, None), ("h", 0, 5)]
+    spans += spans[:5] + [("g", -(1 << 63), -reach // 2), ("i", 0, 9), ("f", None, 3)]
+    got = space.subtract(spark.createDataFrame(blocks, kind), spark.createDataFrame(spans, kind)).collect()
+    whole = [x for x in spans if None not in x[1:]]
+    want = [x for b in blocks if None not in b[1:] for x in left_over(b, whole)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    none = spark.createDataFrame([], kind)
+    assert space.subtract(none, none).count() == 0 and space.subtract(none, spark.createDataFrame(spans, kind)).count() == 0
+    assert space.subtract(spark.createDataFrame(blocks[:9], kind), none).count() == sum(a < z for _, a, z in blocks[:9])
+
+
+def test_subtract_of_one_large_file(spark):
+    b = spark.range(150_000).select(F.lit("f").alias("file"), (F.col("id") * 100).alias("start"), (F.col("id") * 100 + 40).alias("end"))
+    s = b.select("file", (F.col("start") + 3).alias("start"), (F.col("start") + 5).alias("end"))
+    began = time.perf_counter()
+    assert space.subtract(b, s).agg(F.count("*"), F.sum(F.col("end") - F.col("start"))).first()[:] == (300_000, 150_000 * 38)
+    assert time.perf_counter() - began < 60
+
+
 def test_reclaimable_is_what_was_superseded(spark):
     rng, schema = random.Random(1), "table string, key string, seq long, op string, payload binary"
     rows = [(rng.choice("ab"), rng.choice(["x", "y", None]), i - 50, rng.choice([schemas.SAVE, schemas.FREE]), bytes(rng.randrange(9))) for i in range(200)]
